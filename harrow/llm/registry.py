@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from harrow.llm import line_dedup, mixing
+from harrow.llm import line_dedup, mixing, near_dup, packing, substring_dedup, url_filter, vector_dup
 
 
 def queries() -> dict:
     return {
+        "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+        "op2_packing": packing.op2_packing,
+        "op3_url_filter": url_filter.op3_url_filter,
         "op4_mixing": mixing.op4_mixing,
+        "op8_near_dup": near_dup.op8_near_dup,
+        "op9_vector_dup": vector_dup.op9_vector_dup,
         "op10_line_dedup": line_dedup.op10_line_dedup,
     }
 
