@@ -51,11 +51,11 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 def ngrams(text: Column, tag: str, sizes: tuple[int, ...]) -> Column:
     """Tagged character n-grams of ``^text$``."""
     t = F.concat(F.lit("^"), text, F.lit("$"))
-    parts = [
-        F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(t) - n + 1, F.lit(1))), lambda i, n=n: F.concat(F.lit(f"{tag}{n}:"), F.substring(t, i, F.lit(n))))
-        for n in sizes
-    ]
-    return F.concat(*parts)
+
+    def of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(t) - n + 1, F.lit(1))), lambda i: F.concat(F.lit(f"{tag}{n}:"), F.substring(t, i, F.lit(n))))
+
+    return F.concat(*(of(n) for n in sizes))
 
 
 def featured(urls: DataFrame, sizes: tuple[int, ...] = (2, 3, 4), buckets: int = 1 << 15) -> DataFrame:
