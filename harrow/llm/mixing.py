@@ -28,10 +28,6 @@ from harrow.llm.shared import WORD, hash_bucket, hash_fraction, read
 WEIGHTS = (5, 2, 1)
 
 
-def sized(docs: DataFrame, size: str = "size") -> DataFrame:
-    return docs.withColumn(size, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-
-
 def source_targets(per_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, max_repeats: float = 2.0) -> DataFrame:
     """``target`` for each row of (source, source_size); one row a source, so the windows see sources, not documents."""
     order = Window.orderBy(F.col("source").asc_nulls_last())
@@ -50,9 +46,10 @@ def source_targets(per_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, sh
     return t.withColumn("target", F.when(level.isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), level * F.col("weight")))).select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, max_repeats: float = 2.0, buckets: int = 64, seed: str = "mix") -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) for each row of (doc_id, text, source)."""
-    d = sized(docs.select("doc_id", "source", "text")).drop("text")
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, max_repeats: float = 2.0, buckets: int = 64, seed: str = "mix", carry: bool = False) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies) for each row of (doc_id, text, source); ``carry``: the whole row as struct ``row`` too."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    d = docs.select("doc_id", "source", size.alias("size"), *([F.struct(*docs.columns).alias("row")] if carry else []))
     cls = F.when(F.col("size") < 16, F.col("size")).otherwise(F.floor(F.log2(F.col("size").cast("double")) * 16)).cast("int")
     d = d.withColumn("cls", cls).withColumn("bucket", hash_bucket(buckets, F.lit(seed), F.col("doc_id")))
     cell = ["source", "cls", "bucket"]
@@ -71,7 +68,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     u = hash_fraction(F.lit(seed), F.coalesce("source", F.lit("\x00")))
     copies = F.floor(rank * rate + u) - F.floor((rank - 1) * rate + u)
-    return d.withColumn("copies", copies.cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies")
+    return d.withColumn("copies", copies.cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", *["row"] * carry)
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The mixture: the rows of ``docs``, all columns, each as often as it is taken."""
+    m = mix(docs, carry=True, **how).filter("copies > 0")
+    return m.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,10 +47,8 @@ def shingle_sets(texts: list, k: int = 5) -> Iterator[np.ndarray]:
             if b - a >= k:
                 yield np.unique(runs[a : b - k + 1])
             elif b > a:
-                whole = np.uint64(b - a)
-                for h in words.hash[a:b]:
-                    whole = mix(np.array([whole * np.uint64(31) + h]))[0] if b - a else whole
-                yield np.array([whole], np.uint64)
+                own = words.hash[a:b] ^ mix(np.arange(b - a, dtype=np.uint64) + np.uint64(b - a) * np.uint64(16))  # place and number count
+                yield mix(own.sum(dtype=np.uint64, keepdims=True))
             else:
                 yield np.zeros(0, np.uint64)
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from harrow.llm import line_dedup, mixing, near_dup, packing, substring_dedup, url_filter, vector_dup
+import corpus_pipeline
+from harrow.llm import fingerprint, html_text, line_dedup, mixing, near_dup, packing, substring_dedup, toxicity, url_filter, vector_dup
 
 
 def queries() -> dict:
@@ -11,14 +12,19 @@ def queries() -> dict:
         "op2_packing": packing.op2_packing,
         "op3_url_filter": url_filter.op3_url_filter,
         "op4_mixing": mixing.op4_mixing,
+        "op5_html_text": html_text.op5_html_text,
+        "op6_fingerprint": fingerprint.op6_fingerprint,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op8_near_dup": near_dup.op8_near_dup,
         "op9_vector_dup": vector_dup.op9_vector_dup,
         "op10_line_dedup": line_dedup.op10_line_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_mixing": mixing.OP4_SQL,
+        "op8_near_dup": near_dup.OP8_SQL,
         "op10_line_dedup": line_dedup.OP10_SQL,
     }
