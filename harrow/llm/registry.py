@@ -24,6 +24,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_substring_dedup": substring_dedup.OP1_SQL,
         "op4_mixing": mixing.OP4_SQL,
         "op8_near_dup": near_dup.OP8_SQL,
         "op10_line_dedup": line_dedup.OP10_SQL,

@@ -1,7 +1,7 @@
 """Substring dedup: words covered by a window of ``window`` words whose sequence also starts anywhere else.
 
-1. A pass over the texts cuts each document's windows into segments: runs of consecutive windows with the same anchor,
-   the least hash among the window's k-grams. Equal windows have equal anchors wherever they stand. Only hashes leave
+1. A pass over the texts cuts each document's windows into segments: runs of consecutive windows with the same anchor
+   occurrence, the first k-gram of least hash in the window. Equal windows have equal anchors wherever they stand. Only hashes leave
    this pass (anchor, digest of the segment's words, place).
 2. Anchors that occur once cannot hold a repeated window; that ends most segments by counting hashes. Of the others,
    segments with equal words are represented by one, with its number of copies.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from harrow.llm.fm_index import FMIndex
 from harrow.llm.shared import arrow_rows, read, staged
-from harrow.llm.words import Words, chunks, mix, powers, sliding_min
+from harrow.llm.words import Words, chunks, mix, powers, sliding_argmin
 
 MOST = 60  # windows of a segment: they fit the bits of a long
 _B = 0xD1342543DE82EF95
@@ -41,12 +41,13 @@ def segments(words: Words, window: int, k: int) -> tuple[np.ndarray, ...]:
     n = len(words)
     if n < window:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
-    low = sliding_min(words.runs(k), window - k + 1)
+    grams = words.runs(k)
+    low = sliding_argmin(grams, window - k + 1)
     text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
     at = np.flatnonzero(np.arange(n) + window <= words.first[text + 1])
     if not len(at):
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
-    anchor = low[at]
+    anchor = low[at]  # the place, not the value: equal windows that follow each other have different ones
     new = np.ones(len(at), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (text[at[1:]] != text[at[:-1]])
     place = np.arange(len(at))
@@ -57,7 +58,7 @@ def segments(words: Words, window: int, k: int) -> tuple[np.ndarray, ...]:
     end = start + windows + window - 1
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.hash * powers(_BASE, n), dtype=np.uint64)])
     digest = mix((sums[end] - sums[start]) * powers(_INVERSE, n + 1)[start] + windows.astype(np.uint64))
-    return text[start], start - words.first[text[start]], windows, anchor[begin], digest
+    return text[start], start - words.first[text[start]], windows, grams[anchor[begin]], digest
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -191,3 +192,23 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     with arrow_rows(spark, 500):
         kept = remove(docs, repeated_windows(docs))
         return staged(kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")), "substring-result")
+
+
+OP1_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), p AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM w WHERE len(w) >= 35
+), k AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS k FROM p
+), r AS (
+  SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM k) WHERE n > 1
+), g AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM r
+), n AS (
+  SELECT doc_id, list(j) AS gone FROM g GROUP BY doc_id
+)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(len(n.gone), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN n.gone IS NULL THEN w.w ELSE list_filter(w.w, lambda x, j: NOT list_contains(n.gone, j)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN n USING (doc_id)
+"""

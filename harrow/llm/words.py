@@ -88,13 +88,12 @@ def chunks(texts: list, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
-def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of x[i : i + w] for each i with a whole window."""
-    span = 1
-    m = x
-    while span * 2 <= w:
-        m = np.minimum(m[: len(m) - span], m[span:])
-        span *= 2
-    if w > span:
-        m = np.minimum(m[: len(m) - (w - span)], m[w - span :])
-    return m
+def sliding_argmin(x: np.ndarray, w: int) -> np.ndarray:
+    """Place of the first minimum of x[i : i + w] for each i with a whole window."""
+    span, at = 1, np.arange(len(x))
+    while span < w:
+        step = min(span, w - span)
+        a, b = at[: len(at) - step], at[step:]
+        at = np.where(x[a] <= x[b], a, b)
+        span += step
+    return at
