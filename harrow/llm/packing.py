@@ -21,6 +21,8 @@ are packed each for itself; other columns are left out of the work.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,54 +32,96 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harrow.llm.shared import arrow_rows, hash_bucket, read, staged
+from harrow.llm.words import chunks
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: Letters of Latin-1 with ASCII signs after them: such a word's ids are those of its lower-case letters, then of its signs.
+SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+class _Codes(dict):
+    """Words to numbers; unknown words get the next number and are noted in ``fresh``."""
+
+    def __init__(self):
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.fresh.append(word)
+        return n
+
+
 class WordTokens:
-    """Token ids of whole texts, by way of a bounded store of words: white space never joins tokens in this vocabulary."""
+    """Token ids of whole texts, by way of bounded stores of words and their parts: in this vocabulary no token crosses white space."""
 
-    def __init__(self, tokenizer_path: str, most_words: int = 400_000):
+    stores: dict[str, WordTokens] = {}  # one for a worker process: its tasks share what it has learnt
+
+    def __init__(self, tokenizer_path: str, most_words: int = 600_000, most_parts: int = 900_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most_words = Tokenizer.from_file(tokenizer_path), most_words
+        self.tokenizer, self.most_words, self.most_parts = Tokenizer.from_file(tokenizer_path), most_words, most_parts
+        self.parts: dict[str, tuple[int, ...]] = {"": ()}
         self.clear()
 
+    @classmethod
+    def of(cls, path: str) -> WordTokens:
+        if path not in cls.stores:
+            cls.stores[path] = cls(path)
+        return cls.stores[path]
+
     def clear(self) -> None:
-        self.code: dict[bytes, int] = {}
-        self.flat, self.starts, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 15, np.int64), 0
-
-    def learn(self, words: list[bytes]) -> None:
-        for part in range(0, len(words), 4096):
-            some = words[part : part + 4096]
-            for word, enc in zip(some, self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)):
-                ids, n = enc.ids, len(self.code)
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                if n + 1 >= len(self.starts):
-                    self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.starts[n] = self.used
-                self.used += len(ids)
-                self.starts[n + 1] = self.used
-                self.code[word] = n
-
-    def ids(self, text: str) -> np.ndarray:
-        words = text.encode("utf-8", "replace").split()  # splits at ASCII white space only
-        out = []
-        for at in range(0, len(words), 100_000):
-            some = words[at : at + 100_000]
-            if len(self.code) > self.most_words:
-                self.clear()
-            code = self.code
-            if new := [w for w in set(some) if w not in code]:
-                self.learn(new)
-            c = np.fromiter(map(code.__getitem__, some), np.int64, len(some))
-            first, n = self.starts[c], self.starts[c + 1] - self.starts[c]
-            ends = np.cumsum(n)
-            out.append(self.flat[np.arange(ends[-1]) + np.repeat(first - (ends - n), n)])
-        return np.concatenate(out) if out else np.zeros(0, np.uint32)
+        self.code = _Codes()
+        self.flat, self.starts = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64)
+
+    def learn(self) -> None:
+        """Ids of the words that ``code`` has noted."""
+        cut = []
+        for word in self.code.fresh:
+            text = word.decode()
+            m = SIMPLE.fullmatch(text)
+            cut.append((m[1].lower(), m[2]) if m else (text, ""))
+        if len(self.parts) > self.most_parts:
+            self.parts = {"": ()}
+        new = list({p for pair in cut for p in pair if p not in self.parts})
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids: list[list[int]] = [[] for _ in some]
+            for i, k in zip(e.ids, e.word_ids):
+                ids[k].append(i)
+            self.parts.update(zip(some, map(tuple, ids)))
+        ids = [self.parts[a] + self.parts[b] for a, b in cut]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        more = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
+        used = int(self.starts[-1])
+        if used + len(more) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(more)), np.uint32)])
+        self.flat[used : used + len(more)] = more
+        self.starts = np.concatenate([self.starts, used + np.cumsum(size)])
+        self.code.fresh = []
+
+    def ids(self, text: str | None) -> np.ndarray:
+        return self.many([text])[0]
+
+    def many(self, texts: list[str | None]) -> list[np.ndarray]:
+        if len(self.code) > self.most_words:
+            self.clear()
+        words, count = [], []
+        for t in texts:
+            own = (t or "").encode("utf-8", "replace").split()  # splits at ASCII white space only
+            words += own
+            count.append(len(own))
+        code = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
+        if self.code.fresh:
+            self.learn()
+        first, n = self.starts[code], self.starts[code + 1] - self.starts[code]
+        ends = np.cumsum(n)
+        flat = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - n), n)]
+        return np.split(flat, np.concatenate([[0], ends])[np.cumsum(count)[:-1]])
 
 
 def default_tokenizer() -> str:
@@ -90,14 +134,15 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
     """(doc_id, piece, start, length, ids_crc32[, ids]) of (doc_id, text). The path must hold on every executor; None: the installed package's file."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = WordTokens(tokenizer_path or default_tokenizer())
+        tokens = WordTokens.of(tokenizer_path or default_tokenizer())
         for b in batches:
-            rows = []
-            for doc, text in zip(b["doc_id"], b["text"]):
-                ids = np.append(tokens.ids(text or ""), np.uint32(0)).astype("<u4")
-                for k, at in enumerate(range(0, len(ids), capacity)):
-                    part = ids[at : at + capacity]
-                    rows.append((doc, k, at, len(part), zlib.crc32(part.tobytes()), *([part.astype(np.int64)] if with_ids else [])))
+            rows, texts, docs_of = [], b["text"].tolist(), b["doc_id"].tolist()
+            for lo, hi in chunks(texts):
+                for doc, own in zip(docs_of[lo:hi], tokens.many(texts[lo:hi])):
+                    ids = np.append(own, np.uint32(0)).astype("<u4")
+                    for k, at in enumerate(range(0, len(ids), capacity)):
+                        part = ids[at : at + capacity]
+                        rows.append((doc, k, at, len(part), zlib.crc32(part.tobytes()), *([part.astype(np.int64)] if with_ids else [])))
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
