@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from harrow.plans import queries_core, queries_more  # noqa: F401  they register themselves
+from harrow.plans.declare import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
