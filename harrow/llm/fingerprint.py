@@ -22,15 +22,18 @@ from pyspark.sql import functions as F
 
 from harrow.llm.shared import partitions, read, staged
 
-PIECE = 64
-#: A line's next piece: up to PIECE words with the white space after them, up to the end of the line.
-PIECES = rf"[ \t\x0B\f\r]*+(?:[^\x20\x09-\x0D]++[ \t\x0B\f\r]*+){{1,{PIECE}}}+\n?+|[ \t\x0B\f\r]*+\n|[ \t\x0B\f\r]++"
+PIECE, LONG = 64, 512
+#: The next PIECE words of a long line with the white space around them.
+PIECES = rf"[ \t\x0B\f\r]*+(?:[^\x20\x09-\x0D]++[ \t\x0B\f\r]*+){{1,{PIECE}}}+|[ \t\x0B\f\r]++"
 FIRST, GROW = 8, 2  # cells of a table at first; factor for each retry
 
 
 def digests(text: Column) -> Column:
-    """Distinct digests of the paragraphs of a text."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECES), F.lit(0)), lambda p: F.xxhash64(p)))
+    """Distinct digests of the paragraphs of a text: lines, those of LONG characters or more in pieces of PIECE words."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    cut = F.transform(lines, lambda x: F.when(F.char_length(x) < LONG, F.array(x)).otherwise(F.regexp_extract_all(x, F.lit(PIECES), F.lit(0))))
+    found = F.array_distinct(F.transform(F.flatten(cut), lambda p: F.xxhash64(p)))
+    return F.when(F.coalesce(text, F.lit("")) == "", F.expr("cast(array() as array<bigint>)")).otherwise(found)
 
 
 def check_of(digest: Column) -> Column:
@@ -98,46 +101,49 @@ def printed(cell_array: Column) -> Column:
     return F.array_join(F.transform(cell_array, lambda c: F.concat_ws(":", F.hex(c["n"]), F.hex(c["k"]), F.hex(c["h"]))), " ")
 
 
-def difference(left: Column, right: Column, size: int) -> Column:
-    """The digests on one side only, from sketches of this size; null where peeling does not end with empty cells."""
-    return _once(peel(subtract(cells(left, size), cells(right, size)), size), lambda s: F.when(
+def peeled(left: Column, right: Column, size: int) -> Column:
+    """The digests on one side only, from two sketches of this size; null where peeling does not end with empty cells."""
+    return _once(peel(subtract(left, right), size), lambda s: F.when(
         F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["h"] == 0)), s["found"]))
 
 
-def wanted_size(left: Column, right: Column, size: int) -> Column:
+def wanted_size(left: Column, right: Column, surplus: Column, size: int) -> Column:
     """Cells a table needs, estimated from the counts in the difference of two sketches of ``size``.
 
     Digests of either side fall into cells at random with opposite signs, so the squares of the counts of a table add
     up to about the number of differing digests, plus the square of the surplus over the cells.
     """
-    squares = F.aggregate(subtract(cells(left, size), cells(right, size)), F.lit(0).cast("long"), lambda s, c: s + c["n"] * c["n"])
-    surplus = (F.array_size(left) - F.array_size(right)).cast("double")
+    squares = F.aggregate(subtract(left, right), F.lit(0).cast("long"), lambda s, c: s + c["n"] * c["n"])
     number = (squares / 3 - surplus * surplus / size) * size / (size - 1)
-    return F.greatest(F.lit(2.0 * size), number * 0.45, F.abs(surplus) * 0.4)
+    return F.greatest(number * 0.45, F.abs(surplus) * 0.4)
 
 
-def differing(rows: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
-    """``rows`` plus, for each name in ``pairs``, the digests on one side only of two digest arrays.
+def differing(rows: DataFrame, left: str, rights: dict[str, str], print_too: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` plus, for each name in ``rights``, the digests on one side only of the digest arrays ``left`` and that one.
 
-    The first job tries the smallest size and, where that fails, estimates the size wanted. The next ones, each with
-    tables ``GROW`` times as large, take the rows whose pairs want their size or failed at a smaller one, until none is
-    left; what succeeds stays in the written table of its job.
+    ``sketch_<column>`` holds the sketches of the first size. The first job estimates from them the size each pair wants
+    and peels what is small enough. The next jobs, each with tables ``GROW`` times as large, take the rows whose pairs
+    want their size or failed at a smaller one, until none is left; what succeeds stays in the written table of its job.
     """
     kept, size = rows.columns, FIRST
     missing = F.lit(False)
-    for n in pairs:
+    for n in rights:
         missing = missing | F.col(n).isNull()
-    first = rows.select(*kept, *(difference(F.col(a), F.col(b), size).alias(n) for n, (a, b) in pairs.items()))
-    first = first.select("*", *(F.when(F.col(n).isNull(), wanted_size(F.col(a), F.col(b), size)).alias(f"{n}_size") for n, (a, b) in pairs.items()))
+    surplus = {n: (F.array_size(left) - F.array_size(c)).cast("double") for n, c in rights.items()}
+    sketched = rows.select("*", *(cells(F.col(c), size).alias(f"sketch_{c}") for c in (left, *rights.values())))
+    sized = sketched.select("*", *(wanted_size(F.col(f"sketch_{left}"), F.col(f"sketch_{c}"), surplus[n], size).alias(f"{n}_size") for n, c in rights.items()))
+    first = sized.select(*kept, printed(F.col(f"sketch_{left}")).alias(f"printed_{left}"), *(printed(F.col(f"sketch_{c}")).alias(f"printed_{c}") for c in print_too),
+                         *(F.when(F.col(f"{n}_size") <= size, peeled(F.col(f"sketch_{left}"), F.col(f"sketch_{c}"), size)).alias(n) for n, c in rights.items()), *(f"{n}_size" for n in rights))
+    kept = [c for c in first.columns if c not in rights and c not in {f"{n}_size" for n in rights}]
     tried, done = staged(first, f"fingerprint-{size}"), []
     while True:
-        done.append(tried.filter(~missing).select(*kept, *pairs))
+        done.append(tried.filter(~missing).select(*kept, *rights))
         todo = tried.filter(missing)
         if todo.isEmpty():
             break
         size *= GROW
-        tried = staged(todo.select(*kept, *(F.when(F.col(n).isNotNull(), F.col(n)).when(F.col(f"{n}_size") <= size, difference(F.col(a), F.col(b), size)).alias(n) for n, (a, b) in pairs.items()),
-                                   *(f"{n}_size" for n in pairs)), f"fingerprint-{size}")
+        again = (F.when(F.col(n).isNotNull(), F.col(n)).when(F.col(f"{n}_size") <= size, peeled(cells(F.col(left), size), cells(F.col(c), size), size)).alias(n) for n, c in rights.items())
+        tried = staged(todo.select(*kept, *again, *(f"{n}_size" for n in rights)), f"fingerprint-{size}")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -150,7 +156,7 @@ def likeness(left: Column, right: Column, difference: Column) -> Column:
 
 
 def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """(doc_id, text, next_text) in ascending doc_id; after the last comes the first."""
+    """(doc_id, text, own, next_text, next_own) in ascending doc_id, own being the digests; after the last comes the first."""
     spark = docs.sparkSession
     ranges = ranges or 4 * partitions(spark)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
@@ -172,9 +178,10 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("ahead"))
     also = F.struct(F.col("before").alias("bucket"), F.lit(1).alias("ahead"))
     sent = d.join(F.broadcast(firsts), "at", "left").withColumn("to", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, also))))
-    rows = sent.select("doc_id", "at", "text", "to.*")
+    rows = sent.select("doc_id", "at", "text", digests(F.col("text")).alias("own"), "to.*")
     inside = Window.partitionBy("bucket").orderBy("ahead", "at", F.xxhash64("text"))
-    return rows.withColumn("next_text", F.lead("text").over(inside)).filter("ahead = 0").select("doc_id", "text", "next_text")
+    ahead = F.lead(F.struct("text", "own")).over(inside)
+    return rows.withColumn("following", ahead).filter("ahead = 0").select("doc_id", "text", "own", F.col("following.text").alias("next_text"), F.col("following.own").alias("next_own"))
 
 
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,11 +190,9 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.char_length(text)
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(text, F.lit(1), n - half), F.substring(following, F.lit(1), half))
-    d = docs.withColumn("n_chars", n.cast("long")).withColumn("edited", edited).select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-        digests(text).alias("own"), digests(F.col("edited")).alias("changed"), digests(following).alias("after"))
-    d = staged(d, "fingerprint-digests")
-    d = differing(d, {"d_edited": ("own", "changed"), "d_next": ("own", "after")})
+    d = docs.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "own", F.col("next_own").alias("after"))
+    d = staged(d.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", digests(F.col("edited")).alias("changed"), "after"), "fingerprint-digests")
+    d = differing(d, "own", {"d_edited": "changed", "d_next": "after"}, ("changed",))
     return d.select(
-        "doc_id", "n_chars", "edited_sha256", printed(cells(F.col("own"), FIRST)).alias("fingerprint"), printed(cells(F.col("changed"), FIRST)).alias("edited_fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", F.col("printed_own").alias("fingerprint"), F.col("printed_changed").alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed"), F.col("d_edited")).alias("near_edited"), likeness(F.col("own"), F.col("after"), F.col("d_next")).alias("near_next"))
