@@ -266,6 +266,9 @@ def _plan(counts: dict[int, int], capacity: int, groups: int, large: int) -> tup
                         runs[0] = [length, rank + q, n - q]
                         if n == q:
                             runs.pop(0)
+                if not at:  # no pieces left for these bins
+                    room.bins -= bins_left
+                    break
                 room.add(capacity - at, first, q)
                 first, bins_left = first + q, bins_left - q
         for queue in queues.values():
