@@ -201,7 +201,7 @@ class _Room:
                 room += 1
             if room > self.capacity:
                 first, q, at = self.bins, -(-n // (self.capacity // length)), self.capacity
-                self.bins += q
+                self.bins, room = self.bins + q, self.capacity
             else:
                 (first, q), at = self.runs[room].pop(), room
             each = at // length
