@@ -336,7 +336,7 @@ def _(t):
     return g.join(features.arc_cosine_kernel(g).withColumnRenamed("k", "arc"), ["i", "j"]).select("i", "j", F.round("k", 5).alias("vanraden"), F.round("arc", 5).alias("arc"))
 
 
-@query("f11_mixed_correlation", "SELECT a.entity AS i, b.entity AS j, round(CASE WHEN a.entity = b.entity THEN 0.6 + 0.4 * sum(a.dosage * b.dosage) ELSE 0.4 * sum(a.dosage * b.dosage) END, 6) AS k FROM feats a JOIN feats b ON a.feature = b.feature AND a.entity <= b.entity WHERE a.entity < 50 AND b.entity < 50 GROUP BY a.entity, b.entity")
+@query("f11_mixed_correlation", "SELECT a.entity AS i, b.entity AS j, round(CASE WHEN a.entity = b.entity THEN 0.6::DOUBLE + 0.4::DOUBLE * sum(a.dosage * b.dosage) ELSE 0.4::DOUBLE * sum(a.dosage * b.dosage) END, 6)::DOUBLE AS k FROM feats a JOIN feats b ON a.feature = b.feature AND a.entity <= b.entity WHERE a.entity < 50 AND b.entity < 50 GROUP BY a.entity, b.entity")
 def _(t):
     g = features.gram(t.feats.filter("entity < 50").withColumn("z", F.col("dosage").cast("double")), "entity", "feature")
     return features.mixed_correlation(g, 0.4).withColumn("k", r6("k"))
