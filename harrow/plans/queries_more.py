@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from harrow.operators import clean, ensemble, features, inference, metrics, splits, windows
+from harrow.functions import clean
+from harrow.operators import ensemble, features, inference, metrics, splits, windows
 from harrow.plans.declare import query
 from harrow.plans.queries_core import RANKED, corr_sql
 from harrow.plans.testbed import r6

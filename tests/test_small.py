@@ -5,7 +5,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from harrow.operators import aggs, clean, ensemble, inference, joins, metrics, splits, windows
+from harrow.functions import clean
+from harrow.operators import aggs, ensemble, inference, joins, metrics, splits, windows
 from harrow.sources import genotypes
 
 
