@@ -6,9 +6,9 @@
 2. Anchors that occur once cannot hold a repeated window; that ends most segments by counting hashes. Of the others,
    segments with equal words are represented by one, with its number of copies.
 3. The words of those representatives are fetched and dealt to shards by anchor. An anchor with more than ``hot``
-   occurrences would make a hot shard: its segments are dealt as single windows by window hash instead, where again
-   equal ones are represented by one. So every pair of equal windows meets in one shard, and no shard grows with a
-   passage's popularity.
+   occurrences would make a hot shard: its segments are cut into single windows, equal ones are merged by digest, with
+   their copies added up before the shuffle, and one representative each is dealt by window hash; its decision is joined
+   back to all of them. So every pair of equal windows meets in one shard, and no shard grows with a passage's popularity.
 4. Each shard builds a compressed FM-index (wavelet tree) of its segments and streams them through it: backward search
    with parent intervals gives matching statistics, and windows with a match of ``window`` words in two places or more
    are repeated. All decisions come from here.
@@ -21,6 +21,7 @@ another row whole are repeats of each other; null doc_ids are allowed; other col
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pandas as pd
@@ -80,7 +81,7 @@ def scan(docs: DataFrame, window: int, k: int) -> DataFrame:
 
 
 def fetch(texts: DataFrame, window: int) -> DataFrame:
-    """(shard, anchor, seg, shift, copies, words) of the wanted segments; those of hot anchors as single windows."""
+    """(anchor, seg, hot, copies, words) of the wanted segments."""
 
     def run(batches):
         for b in batches:
@@ -92,20 +93,49 @@ def fetch(texts: DataFrame, window: int) -> DataFrame:
                     base = w.first[d - lo]
                     for x in b["wanted"].iloc[d]:
                         i, j = base + x["start"], base + x["start"] + x["windows"] + window - 1
-                        if not x["hot"]:
-                            out.append((x["anchor"], x["anchor"], x["seg"], 0, x["copies"], w.text(i, j)))
-                            continue
-                        for s in range(x["windows"]):
-                            words = w.text(i + s, i + s + window)
-                            key = int.from_bytes(hashlib.blake2b(words, digest_size=8).digest(), "little", signed=True)
-                            out.append((key, x["anchor"], x["seg"], s, x["copies"], words))
-            yield pd.DataFrame(out, columns=["shard", "anchor", "seg", "shift", "copies", "words"])
+                        out.append((x["anchor"], x["seg"], x["hot"], x["copies"], w.text(i, j)))
+            yield pd.DataFrame(out, columns=["anchor", "seg", "hot", "copies", "words"])
 
-    return texts.mapInPandas(run, "shard long, anchor long, seg long, shift int, copies long, words binary")
+    return texts.mapInPandas(run, "anchor long, seg long, hot boolean, copies long, words binary")
+
+
+def single_windows(segments: DataFrame, window: int) -> DataFrame:
+    """(key, rest, anchor, seg, shift, copies) of each window of the segments; key and rest are the digest of its words."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for anchor, seg, copies, text in zip(b["anchor"], b["seg"], b["copies"], b["words"]):
+                words = text.split()
+                for s in range(len(words) - window + 1):
+                    key, rest = struct.unpack("<qq", hashlib.blake2b(b" ".join(words[s : s + window]), digest_size=16).digest())
+                    out.append((key, rest, anchor, seg, s, copies))
+            yield pd.DataFrame(out, columns=["key", "rest", "anchor", "seg", "shift", "copies"])
+
+    return segments.select("anchor", "seg", "copies", "words").mapInPandas(run, "key long, rest long, anchor long, seg long, shift int, copies long")
+
+
+def one_each(windows: DataFrame, segments: DataFrame, window: int) -> DataFrame:
+    """(shard, anchor, seg, hot, copies, words): a representative of equal windows with all their copies; their digest stands for anchor and seg.
+
+    Tasks add up their own windows before the shuffle. A window with one copy in all is left out.
+    """
+    most = windows.groupBy("key", "rest").agg(F.sum("copies").alias("n"), F.min(F.struct("anchor", "seg", "shift")).alias("x")).filter("n > 1")
+    chosen = most.select("key", "rest", "n", "x.*").groupBy("anchor", "seg").agg(F.collect_list(F.struct("shift", "key", "rest", "n")).alias("chosen"))  # MOST at most
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for text, chosen in zip(b["words"], b["chosen"]):
+                words = text.split()
+                out.extend((x["key"], x["key"], x["rest"], True, x["n"], b" ".join(words[x["shift"] : x["shift"] + window])) for x in chosen)
+            yield pd.DataFrame(out, columns=["shard", "anchor", "seg", "hot", "copies", "words"])
+
+    return segments.join(chosen, ["anchor", "seg"]).select("words", "chosen").mapInPandas(run, "shard long, anchor long, seg long, hot boolean, copies long, words binary")
 
 
 def search(shards: DataFrame, window: int) -> DataFrame:
-    """(anchor, seg, bits) of the repeated windows; one task is one shard."""
+    """(anchor, seg, hot, bits) of the repeated windows; one task is one shard."""
 
     def run(batches):
         frames = list(batches)
@@ -126,11 +156,11 @@ def search(shards: DataFrame, window: int) -> DataFrame:
         match = FMIndex(tokens, weight, window).matching_statistics(tokens, first, size)
         hit = np.flatnonzero(match >= window)
         row = np.searchsorted(first, hit, side="right") - 1
-        bit = np.int64(1) << (hit - first[row] + g["shift"].to_numpy()[row])
-        out = pd.DataFrame({"anchor": g["anchor"].to_numpy()[row], "seg": g["seg"].to_numpy()[row], "bits": bit})
-        yield out.groupby(["anchor", "seg"], as_index=False)["bits"].sum()
+        bit = np.int64(1) << (hit - first[row])
+        out = pd.DataFrame({"anchor": g["anchor"].to_numpy()[row], "seg": g["seg"].to_numpy()[row], "hot": g["hot"].to_numpy()[row], "bits": bit})
+        yield out.groupby(["anchor", "seg", "hot"], as_index=False)["bits"].sum()
 
-    return shards.mapInPandas(run, "anchor long, seg long, bits long")
+    return shards.mapInPandas(run, "anchor long, seg long, hot boolean, bits long")
 
 
 def repeated_windows(docs: DataFrame, window: int = 35, k: int = 8, hot: int = 1000, shard_words: int = 400_000) -> DataFrame:
@@ -142,14 +172,26 @@ def repeated_windows(docs: DataFrame, window: int = 35, k: int = 8, hot: int = 1
         maybe = staged(found.join(counts, "anchor"), "substring-maybe")
         one = maybe.groupBy("anchor", "seg", "hot").agg(F.min(F.struct("doc_id", "th", "start", "windows")).alias("x"), F.count(F.lit(1)).alias("copies"))
         one = staged(one.select("anchor", "seg", "hot", "copies", "x.*"), "substring-representatives")
-        total = one.agg(F.sum(F.when(F.col("hot"), F.lit(window) * F.col("windows")).otherwise(F.col("windows") + window - 1))).first()[0] or 0
+        total, n_hot = one.agg(F.sum(F.when(~F.col("hot"), F.col("windows") + window - 1)), F.count_if("hot")).first()
         wanted = one.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "windows", "anchor", "seg", "copies", "hot")).alias("wanted"))
         d, w = _keyed(docs).alias("d"), wanted.alias("w")
         texts = d.join(w, (F.col("d.th") == F.col("w.th")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("d.text", "w.wanted")
-        shards = fetch(texts, window).repartition(int(total // shard_words) + 1, "shard")
+        fetched, total = fetch(texts, window), total or 0
+        if n_hot:
+            fetched = staged(fetched, "substring-fetched")
+        shards = fetched.filter("not hot").select(F.col("anchor").alias("shard"), "anchor", "seg", "hot", "copies", "words")
         with arrow_rows(spark, 5000):
-            bits = staged(search(shards, window), "substring-bits")
-        bits = bits.groupBy("anchor", "seg").agg(F.bit_or("bits").alias("bits"))
+            if n_hot:
+                windows = staged(single_windows(fetched.filter("hot"), window), "substring-windows")
+                singles = staged(one_each(windows, fetched.filter("hot"), window), "substring-singles")
+                total += window * singles.count()
+                shards = shards.unionByName(singles)
+            bits = staged(search(shards.repartition(int(total // shard_words) + 1, "shard"), window), "substring-bits")
+        found = bits.filter("not hot").select("anchor", "seg", "bits")
+        if n_hot:
+            again = bits.filter("hot").select(F.col("anchor").alias("key"), F.col("seg").alias("rest"))
+            found = found.unionByName(windows.join(again, ["key", "rest"]).select("anchor", "seg", F.expr("shiftleft(1L, shift)").alias("bits")))
+        bits = found.groupBy("anchor", "seg").agg(F.bit_or("bits").alias("bits"))
         marks = maybe.join(bits, ["anchor", "seg"]).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "bits")).alias("marks"))
         return staged(marks, "substring-marks")
 

@@ -61,6 +61,23 @@ def test_substring_dedup(spark, docs, hot):
     assert got == want
 
 
+def test_hot_windows_are_indexed_once(spark, monkeypatch):
+    passage = " ".join(f"shared{i}" for i in range(40))
+    texts = [" ".join(f"a{d}x{i}" for i in range(20)) + f" {passage} " + " ".join(f"b{d}x{i}" for i in range(20)) for d in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    seen, search = [], substring_dedup.search
+
+    def watched(shards, window):
+        seen.extend(bytes(r["words"]) for r in shards.select("words").collect())
+        return search(shards, window)
+
+    monkeypatch.setattr(substring_dedup, "search", watched)
+    got = [(r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.remove(df, substring_dedup.repeated_windows(df, hot=50)).orderBy("doc_id").collect()]
+    assert got == brute_kept(texts, 35) and all(g[1] == 40 for g in got)
+    inside = [x for x in seen if x.decode() in passage]
+    assert len(inside) == len(set(inside)) == 6
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_substring_dedup_on_random_words(spark, seed):
     rng = random.Random(seed)
