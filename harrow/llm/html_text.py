@@ -2,15 +2,17 @@
 
 1. Each page is read into blocks: the text of block elements with the path of elements above it (tag and class).
    Elements whose tag, role or class names say menu, header, footer, sidebar, notice, advert, form or reader comment are
-   noise at once, and if a page has an article (or else a main element) only what is inside counts.
+   noise at once, and if a page has an article (or else a main element) only what is inside counts. A form, or an
+   element that only its name calls noise, is none around the article or main.
 2. The pages of a host are merged into a style tree: for each path, on how many pages it stands, how its contents spread
    and how its presentation (the tags around the texts) spreads. The entropy of both is the node's importance: a branch
    that looks and reads the same page after page has little.
-3. Paths of low importance are removed from each page of the host; what remains is the text.
+3. On paths of low importance the blocks whose text repeats are removed from each page of the host; what remains is the
+   text. A page's own text stays, whatever its path.
 
-The tree is built from counts: a task adds up its pages' counts before they are shuffled, so a host that a third of
-all pages share costs its paths, not its pages. Contents are counted in ``BUCKETS`` hash buckets. Low paths are joined
-to the pages by host; Spark broadcasts them where they are small and else splits a hot host's pages.
+Pages of a host with equal contents are one page of the tree: they are merged by digest before anything is counted.
+Contents are counted in ``BUCKETS`` hash buckets. Low paths are joined to the pages by host; Spark broadcasts them where
+they are small and else splits a hot host's pages.
 
 A host is judged only if at least ``least_pages`` of its pages have the path, and only if its pages differ from each
 other as wholes: copies of one page say nothing about a template.
@@ -21,6 +23,7 @@ html without tags is one block; unclosed elements end where HTML ends them; othe
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import zlib
@@ -63,51 +66,54 @@ ENDS = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "body": ({"head"}, set()),
 }
 SHIELD = {"td", "th", "table", "button", "object", "html", "body", "article", "section", "div", "li", "blockquote"}
+FORM, NAMED, NOISE = 1, 2, 3
 CAMEL = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
 
 
-def _noise(tag: str, attrs: str, in_article: bool) -> tuple[bool, str]:
-    """Whether an element is noise by itself, and its class for the path."""
-    if tag in NOISE_TAGS or tag == "header" and not in_article:
-        return True, ""
+def _noise(tag: str, attrs: str, in_article: bool) -> tuple[int, str]:
+    """How surely an element is noise by itself (FORM and NAMED: unless it holds the article or main), and its class for the path."""
+    if tag != "form" and (tag in NOISE_TAGS or tag == "header" and not in_article):
+        return NOISE, ""
+    form = FORM if tag == "form" else 0
     if not attrs or "=" not in attrs and "hidden" not in attrs:
-        return False, ""
+        return form, ""
     a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(attrs)}
     name = a.get("class", "")
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
-        return True, name
+        return NOISE, name
     if a.get("role", "").lower() in NOISE_ROLES:
-        return True, name
+        return NOISE, name
     if tag not in ("html", "body", "main"):
         for word in re.split(r"[^A-Za-z]+", f"{name} {a.get('id', '')}"):
             if word and (word.lower() in NOISE_NAMES or not in_article and word.lower() == "header"
                          or not word.islower() and any(p.lower() in NOISE_NAMES for p in CAMEL.findall(word))):
-                return True, name
-    return False, name
+                return NAMED, name
+    return form, name
 
 
 def blocks(source: str) -> list[tuple[str, str]]:
     """(path, text) of the blocks of a page's content in page order, before the style tree."""
-    found: list[tuple[str, str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool, bool, str]] = [("", False, False, False, "")]  # tag, noise, in article, in main, path
+    found: list[tuple[str, str, bool, bool, int]] = []
+    stack: list[tuple[str, int, bool, bool, str, int]] = [("", 0, False, False, "", 0)]  # tag, noise, in article, in main, path, number of the article inside NAMED
     parts: list[str] = []
-    place: list[tuple[str, bool, bool]] = []  # where the block of ``parts`` began
+    place: list[tuple[str, bool, bool, int]] = []  # where the block of ``parts`` began
+    doubtful = 0
     at, n = 0, len(source)
 
     def flush() -> None:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                path, article, main = place[0]
-                found.append((path, text, article, main))
+                path, article, main, inner = place[0]
+                found.append((path, text, article, main, inner))
             parts.clear()
             place.clear()
 
     def add(text: str) -> None:
-        _, noise, article, main, path = stack[-1]
+        _, noise, article, main, path, inner = stack[-1]
         if not noise:
             if not parts:
-                place.append((path, article, main))
+                place.append((path, article, main, inner))
             parts.append(text)
 
     def pop_to(k: int) -> None:
@@ -157,32 +163,63 @@ def blocks(source: str) -> list[tuple[str, str]]:
                 if stack[k][0] in SHIELD:
                     break
             flush()
-        _, noise, article, main, path = stack[-1]
+        _, noise, article, main, path, inner = stack[-1]
         own, name = _noise(tag, m["attrs"], article)
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(source, at)
             at = close.end()
             continue
         if block or own:
+            starts_main = tag == "main" or "main" in m["attrs"] and 'role="main"' in m["attrs"]
+            if not own and (starts_main and noise <= NAMED or tag == "article" and noise == FORM):
+                noise = 0
+            elif not own and tag == "article" and noise == NAMED:
+                doubtful += 1
+                noise, inner = 0, doubtful
             inside = article or tag == "article" and not (own or noise)
-            stack.append((tag, noise or own, inside, main or tag == "main" or "main" in m["attrs"] and 'role="main"' in m["attrs"], f"{path}>{tag}.{name}" if name else f"{path}>{tag}"))
+            stack.append((tag, max(noise, own), inside, main or starts_main, f"{path}>{tag}.{name}" if name else f"{path}>{tag}", inner))
     flush()
-    for k in (2, 3):
-        if any(b[k] for b in found):
-            return [b[:2] for b in found if b[k]]
-    return [b[:2] for b in found]
+    return [b[:2] for b in _content(found)]
+
+
+def _content(found: list[tuple[str, str, bool, bool, int]]) -> list[tuple[str, str, bool, bool, int]]:
+    """The blocks that count: the articles' or else main's or else all.
+
+    Of the articles inside elements that are noise by name the longest is the article if it is longer than the rest;
+    otherwise it is a teaser beside an article, and kept with the rest where there is none.
+    """
+    firm = [b for b in found if not b[4]]
+    articles = [b for b in firm if b[2]]
+    body = articles or [b for b in firm if b[3]] or firm
+    size: Counter = Counter()
+    for b in found:
+        if b[4]:
+            size[b[4]] += len(b[1])
+    if not size:
+        return body
+    best, longest = size.most_common(1)[0]
+    if longest > sum(len(b[1]) for b in body):
+        body = articles
+    elif articles:
+        return body
+    kept = {id(b) for b in body}
+    return [b for b in found if b[4] == best or id(b) in kept]
+
+
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
 def _bucket(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "replace")) % BUCKETS
 
 
-def style_counts(pages: DataFrame) -> DataFrame:
-    """(host, path, kind, bucket, n): in how many pages a path's contents or presentation fall into a bucket. Path '' is the page."""
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """(host, paths): each content of a host's pages once. For each path the buckets of its contents and presentation, and its texts' digests."""
 
     def run(batches):
-        count: Counter = Counter()
         for b in batches:
+            out = []
             for host, source in zip(b["host"], b["html"]):
                 if not host or not source:
                     continue
@@ -190,23 +227,28 @@ def style_counts(pages: DataFrame) -> DataFrame:
                 found = blocks(source)
                 for path, text in found:
                     of.setdefault(path, []).append(text)
-                count[host, "", "c", _bucket("\n".join(t for _, t in found))] += 1
+                whole = "\n".join(t for _, t in found)
                 order = [p for p, _ in found]
+                paths = [("", _bucket(whole), None, [])]
                 for path, texts in of.items():
                     k = order.index(path)
                     around = f"{order[k - 1] if k else ''}|{len(texts)}|{order[k + len(texts)] if k + len(texts) < len(order) else ''}"
-                    count[host, path, "c", _bucket("\n".join(texts))] += 1
-                    count[host, path, "p", _bucket(around)] += 1
-            if len(count) > 100_000:
-                yield pd.DataFrame([(*k, n) for k, n in count.items()], columns=["host", "path", "kind", "bucket", "n"])
-                count.clear()
-        yield pd.DataFrame([(*k, n) for k, n in count.items()], columns=["host", "path", "kind", "bucket", "n"])
+                    paths.append((path, _bucket("\n".join(texts)), _bucket(around), sorted({_digest(t) for t in texts})))
+                out.append((host, _digest(whole), _digest(f"{len(whole)}|{whole}"), paths))
+            yield pd.DataFrame(out, columns=["host", "page", "rest", "paths"])
+
+    found = pages.select("host", "html").mapInPandas(run, "host string, page long, rest long, paths array<struct<path string, c int, p int, texts array<long>>>")
+    return found.groupBy("host", "page", "rest").agg(F.min("paths").alias("paths")).select("host", "paths")
 
-    return pages.select("host", "html").mapInPandas(run, "host string, path string, kind string, bucket int, n long").groupBy("host", "path", "kind", "bucket").agg(F.sum("n").alias("n"))
+
+def style_counts(distinct: DataFrame) -> DataFrame:
+    """(host, path, kind, bucket, n): in how many pages a path's contents or presentation fall into a bucket. Path '' is the page."""
+    x = distinct.select("host", F.explode("paths").alias("x")).select("host", "x.path", F.explode(F.create_map(F.lit("c"), "x.c", F.lit("p"), "x.p")).alias("kind", "bucket"))
+    return x.filter("bucket is not null").groupBy("host", "path", "kind", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 def low_paths(counts: DataFrame, least_pages: int = 10, low: float = 0.15, differing: float = 0.5, content: float = 0.9) -> DataFrame:
-    """(host, low): the paths of each host whose importance is under ``low``.
+    """(host, path, pages): the paths of each host whose importance is under ``low``.
 
     Importance is ``content`` parts content entropy and the rest presentation entropy, each over its greatest value.
     """
@@ -218,7 +260,19 @@ def low_paths(counts: DataFrame, least_pages: int = 10, low: float = 0.15, diffe
         F.coalesce(F.max(F.when(F.col("kind") == "p", F.col("spread"))), F.lit(0.0)).alias("presentation"))
     whole = wide.filter("path = ''").select(F.col("host").alias("__host"), F.col("contents").alias("whole"))
     weak = wide.filter((F.col("path") != "") & (F.col("pages") >= least_pages) & (content * F.col("contents") + (1 - content) * F.col("presentation") < low))
-    return weak.join(whole, F.col("host") == F.col("__host")).filter(F.col("whole") >= differing).groupBy("host").agg(F.collect_set("path").alias("low"))
+    return weak.join(whole, F.col("host") == F.col("__host")).filter(F.col("whole") >= differing).select("host", "path", "pages")
+
+
+def repeated_texts(distinct: DataFrame, low: DataFrame, share: float = 1 / 256) -> DataFrame:
+    """(host, low): for each host the low paths with the digests of the texts that repeat on them.
+
+    A text repeats if two pages that differ have it, and at least ``share`` of the path's pages; so a path has at most
+    1 / share of them for each text of a page.
+    """
+    x = distinct.select("host", F.explode("paths").alias("x")).select("host", "x.path", "x.texts").join(low, ["host", "path"])
+    x = x.select("host", "path", "pages", F.explode("texts").alias("text")).groupBy("host", "path", "pages", "text").agg(F.count(F.lit(1)).alias("n"))
+    x = x.filter((F.col("n") >= 2) & (F.col("n") >= F.col("pages") * share)).groupBy("host", "path").agg(F.collect_list("text").alias("texts"))
+    return x.groupBy("host").agg(F.collect_list(F.struct("path", "texts")).alias("low"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -226,15 +280,16 @@ def extract(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     p = pages.select("page_id", "url", "html", url_host(F.col("url")).alias("host"))
     with arrow_rows(spark, 500):
-        low = staged(low_paths(style_counts(p)), "html-low")
+        distinct = staged(distinct_pages(p), "html-pages")
+        low = staged(repeated_texts(distinct, low_paths(style_counts(distinct))), "html-low")
         joined = p.join(low, "host", "left").select("page_id", "url", "html", "low")
 
         def run(batches):
             for b in batches:
                 out = []
                 for source, weak in zip(b["html"], b["low"]):
-                    gone = set(weak) if weak is not None else ()
-                    out.append("\n\n".join(t for path, t in blocks(source or "") if path not in gone))
+                    gone = {x["path"]: set(x["texts"]) for x in weak} if weak is not None else {}
+                    out.append("\n\n".join(t for path, t in blocks(source or "") if path not in gone or _digest(t) not in gone[path]))
                 yield pd.DataFrame({"page_id": b["page_id"].astype("Int64"), "url": b["url"], "text": out})
 
         return staged(joined.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "low").mapInPandas(run, "page_id long, url string, text string"), "html-text")

@@ -84,6 +84,25 @@ def test_style_tree_removes_what_repeats(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_style_tree_keeps_copies_and_own_text(spark):
+    pages = [(i, f"http://a.com/{i}", f"<article><h1>Title {i}</h1><p>Body {i}</p></article>") for i in range(100)]
+    pages += [(100 + i, f"http://a.com/c{i}", "<article><h1>Copy</h1><blockquote>Quoted</blockquote></article>") for i in range(12)]
+    pages += [(200 + i, f"http://b.com/{i}", f"<article><p>Body {i}</p><ul><li>{'Own item' if i == 3 else 'Share'}</ul></article>") for i in range(10)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    assert all(got[100 + i] == "Copy\n\nQuoted" for i in range(12)) and got[7] == "Title 7\n\nBody 7"
+    assert got[203] == "Body 3\n\nOwn item" and got[204] == "Body 4"
+
+
+def test_noise_around_the_article():
+    of = lambda page: [t for _, t in html_text.blocks(page)]
+    assert of("<div class=has-sidebar><p>menu</p><main><p>in</p></main></div>") == ["in"]
+    assert of("<form id=aspnetForm><p>top</p><article><p>in</p><form>f</form></article></form>") == ["in"]
+    assert of("<div class=with-ads><article><p>the long article</p></article></div><p>short</p>") == ["the long article"]
+    assert of("<article><p>the long article</p></article><div class=related><article>tease</article></div>") == ["the long article"]
+    assert of("<nav><article>a</article></nav><p>b</p>") == ["b"]
+
+
 def test_html_query(spark):
     import html
     import re
