@@ -19,8 +19,10 @@ the score is the share of toxic labels (0 without any); null labels and repeated
 from __future__ import annotations
 
 import math
+import os
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,6 +41,7 @@ LEET = {
 }
 GAPS = set("-_.*~'`^:,/\\ ·•​­")
 N = 28
+PIECE = 64  # signs of a token that are decoded at a time; longer tokens are not stored
 SPACED = re.compile(r"(?<!\S)(?:[^\W_] ){2,}[^\W_](?!\w)|(?<!\S)(?:[^\W_]  ?){3,}[^\W_](?!\w)")
 ODD = re.compile(r"[^\W\d_][\d@$!|+(<€£]+[^\W\d_]?|[\d@$!|+(<€£]+[^\W\d_]|[^\W\d_][-_.*~'`^:,/\\·•​­]+[^\W\d_]|([^\W\d_])\1\1")
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -83,9 +86,9 @@ class Restorer:
     def code(ch: str) -> int:
         return ord(ch) - 96 if "a" <= ch <= "z" else 27 if ch.isalpha() else 0
 
-    def lattice(self, word: str) -> list[list[tuple[str, float]]]:
+    def lattice(self, word: str) -> Iterator[list[tuple[str, float]]]:
         """For each sign, or run of one letter, what it may stand for and at what cost."""
-        out, i = [], 0
+        i = 0
         while i < len(word):
             ch = word[i]
             j = i
@@ -96,21 +99,23 @@ class Restorer:
                 ways = [(ch, 0.0 if n == 1 else self.SQUEEZE * (n - 1))]
                 if n >= 2:
                     ways.append((ch * 2, 0.0 if n == 2 else self.SQUEEZE * (n - 2)))
-                out.append(ways)
+                yield ways
             else:
                 ways = [(x * k, self.SWAP * k + self.SQUEEZE * (j - i - k)) for x in LEET.get(ch, "") for k in ((1,) if j - i == 1 else (1, 2))]
                 if ch in GAPS or ch in "!|+(<":
                     ways.append(("", self.DROP if ch in GAPS else 2.5))
                 if ch in GAPS and j - i > 1 or not ways:
                     ways.append((" ", self.KEEP_SIGN if not ways else 1.5))
-                out.append(ways)
+                yield ways
             i = j
-        return out
 
     def restore(self, word: str) -> str:
-        """The likeliest letters behind ``word`` (lower case); breaks come out as spaces."""
-        states = {(0, 0): (0.0, "")}  # last two letter classes -> cost, text so far
-        for ways in self.lattice(word):
+        """The likeliest letters behind ``word`` (lower case); breaks come out as spaces.
+
+        Every ``PIECE`` signs what all paths have in common is settled, so that the time is linear in the word.
+        """
+        done, states = [], {(0, 0): (0.0, "")}  # last two letter classes -> cost, text since the last piece
+        for at, ways in enumerate(self.lattice(word), 1):
             new: dict = {}
             for (a, b), (cost, text) in states.items():
                 for way, price in ways:
@@ -122,7 +127,11 @@ class Restorer:
                     if (x, y) not in new or total < new[x, y][0]:
                         new[x, y] = total, text + way
             states = new
-        return min(((cost + self.cost[a][b][0], text) for (a, b), (cost, text) in states.items()), default=(0, ""))[1]
+            if at % PIECE == 0:
+                same = os.path.commonprefix([text for _, text in states.values()])
+                done.append(same)
+                states = {k: (cost, text[len(same):]) for k, (cost, text) in states.items()}
+        return "".join(done) + min(((cost + self.cost[a][b][0], text) for (a, b), (cost, text) in states.items()), default=(0, ""))[1]
 
     def words(self, token: str) -> list[str]:
         """Words of letters behind one lower-case token."""
@@ -131,7 +140,7 @@ class Restorer:
             core = core.rstrip("!(<+")
         if len(core) > 3 and core[-1] in "$@|" and core[-3:] == core[-1] * 3:
             core = core.rstrip(core[-1])
-        if len(core) > 64 or not ODD.search(core):
+        if not ODD.search(core):
             return LETTERS.findall(core)
         return LETTERS.findall(self.restore(core))
 
@@ -165,7 +174,8 @@ class Featurizer:
         found = tuple(found) if self.number is None else tuple(self.number[f] for f in found if f in self.number)
         if len(self.store) > self.most:
             self.store.clear()
-        self.store[token] = found
+        if len(token) <= PIECE:
+            self.store[token] = found
         return found
 
     def __call__(self, text: str | None) -> set:

@@ -288,6 +288,23 @@ def test_restored_words():
     assert "i·d·i·o·t" in toxicity.tokens("you i d i o t !")
 
 
+def test_long_tokens_are_restored():
+    import numpy as np
+
+    plain = "people letter address idiot stupid trash loser clown moron".split()
+    counts = np.zeros(28**3, np.int64)
+    for w in plain:
+        c = [0, 0, *(ord(x) - 96 for x in w), 0]
+        for x in zip(c, c[1:], c[2:]):
+            counts[(x[0] * 28 + x[1]) * 28 + x[2]] += 50
+    of = toxicity.Featurizer(counts)
+    assert {"stupid", "moron", "people"} <= of("  ".join(" ".join(w) for w in plain))
+    assert of("st" + "u" * 100 + "pid") >= {"stupid"} and of("l" + "." * 70 + "oser") >= {"loser"}
+    assert all(len(t) <= toxicity.PIECE for t in of.store)
+    r = of.restorer
+    assert r.restore("1d10t-" * 400).replace(" ", "") == "idiot" * 400
+
+
 def test_toxicity_on_held_out_labels(spark):
     got = registry.queries()["op7_toxicity"](spark, "/root/testdata/sf0.01").toPandas()
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas()
