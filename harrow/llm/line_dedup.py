@@ -4,14 +4,16 @@ A line's key is the line without ASCII white space at its ends, A-Z lower-cased.
 ``min_chars`` code points all lines go but those of the smallest document that holds it. The operator returns, for
 each document, a compressed bitmap of the lines to keep; ``apply_bitmaps`` turns bitmaps into text where one wants it.
 
-How it scales. Texts are read by the map side only; the shuffles carry (hash, document, position). Each map task
-first reduces its lines to one row for a hash and salt (``salts`` of them, by document), so that a line that a third of
-all documents hold reaches the ordering step as at most ``salts`` rows. That step range-partitions by hash, sorts by
-document and position within a hash, and streams the first occurrence. Keys held by one document end there.
-
-Defined cases: a null or empty text is one empty line; an empty table gives an empty result; repeated rows of the
-same doc_id count as one document; a null doc_id is a document of its own kind, ordered before all others; other
-columns are left out of the work, so their names cannot clash.
+How it scales. One pass over the texts writes (hash, document, text, position) of each line; both the ordering and the
+marking read that narrow table. Each map task first reduces its lines to one row for a hash and salt (``salts`` of
+them, by document), so that a line that a third of all documents hold reaches the ordering step as at most ``salts``
+rows. That step range-partitions by hash, sorts by document and position within a hash, and streams the first
+occurrence. Keys held by one document end there.
+
+Defined cases: a null or empty text is one empty line; an empty table gives an empty result; rows that share a doc_id
+count as one document when keys are compared, and each has a bitmap of its own text (``th`` tells them apart); a null
+doc_id is a document of its own kind, ordered before all others; other columns are left out of the work, so their
+names cannot clash.
 """
 
 from __future__ import annotations
@@ -19,53 +21,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from harrow.llm.shared import ascii_lower, partitions, read
+from harrow.llm.shared import ascii_lower, partitions, read, staged
 
-EDGE = "[\\x20\\x09-\\x0D]+"
+SPACES = " \t\n\x0b\f\r"
 
 
 def line_key(line: Column) -> Column:
-    return ascii_lower(F.regexp_replace(line, f"^{EDGE}|{EDGE}\\z", ""))
+    return ascii_lower(F.btrim(line, F.lit(SPACES)))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """Document, position and hash of each line whose key is long enough; two hashes make 128 bits."""
+def line_hashes(docs: DataFrame, min_chars: int = 10) -> DataFrame:
+    """(h1, h2, doc_id, th, pos) of each line whose key is long enough; h1 and h2 are 128 bits of the key, th is a hash of the text."""
     split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    return docs.select(F.col("doc_id").alias("doc_id"), F.posexplode(split).alias("pos", "line"))
+    lines = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(split).alias("pos", "line"))
+    lines = lines.withColumn("key", line_key(F.col("line"))).filter(F.char_length("key") >= min_chars)
+    return lines.select(F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"), "doc_id", "th", "pos")
 
 
-def first_occurrences(docs: DataFrame, min_chars: int = 10, salts: int = 16) -> DataFrame:
+def first_occurrences(hashed: DataFrame, salts: int = 16) -> DataFrame:
     """(h1, h2, first_doc, first_pos) of the keys that two documents or more hold."""
-    key = line_key(F.col("line"))
-    lines = _lines(docs).withColumn("key", key).filter(F.char_length("key") >= min_chars)
-    hashed = lines.select(F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"), "doc_id", "pos")
-    place = F.struct("doc_id", "pos")
+    has_null = F.max(F.col("doc_id").isNull())
     local = hashed.groupBy("h1", "h2", F.pmod(F.hash("doc_id"), F.lit(salts)).alias("salt")).agg(
-        F.min(place).alias("place"), F.max("doc_id").alias("last_doc"))
-    ranged = local.repartitionByRange(partitions(docs.sparkSession), "h1", "h2")
-    by_place = Window.partitionBy("h1", "h2").orderBy("place")
+        F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), has_null.alias("none"),
+        F.min_by("pos", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))).alias("pos"))
+    ranged = local.repartitionByRange(partitions(hashed.sparkSession), "h1", "h2")
+    first = F.when(~F.col("none"), F.col("low"))
+    by_place = Window.partitionBy("h1", "h2").orderBy(first.asc_nulls_first(), "pos")
     key_rows = Window.partitionBy("h1", "h2")
     return (
-        ranged.withColumn("n", F.row_number().over(by_place)).withColumn("last_doc", F.max("last_doc").over(key_rows))
-        .filter((F.col("n") == 1) & ~F.col("place.doc_id").eqNullSafe(F.col("last_doc")))
-        .select("h1", "h2", F.col("place.doc_id").alias("first_doc"), F.col("place.pos").alias("first_pos"))
+        ranged.withColumn("n", F.row_number().over(by_place)).withColumn("last", F.max("high").over(key_rows))
+        .filter((F.col("n") == 1) & ~first.eqNullSafe(F.col("last")))
+        .select("h1", "h2", first.alias("first_doc"), F.col("pos").alias("first_pos"))
     )
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 10, salts: int = 16) -> DataFrame:
-    """For each document with dropped lines: ``words``, a map from position div 64 to the 64 bits of dropped lines.
+    """For each row with dropped lines, by (doc_id, th): ``words``, a map from position div 64 to the 64 bits of dropped lines.
 
     Blocks of 64 lines that stay whole have no entry: that is the compression. A line is kept if its bit is 0.
     """
-    firsts = first_occurrences(docs, min_chars, salts)
-    key = line_key(F.col("line"))
-    lines = _lines(docs).withColumn("key", key).filter(F.char_length("key") >= min_chars).select(
-        F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"), "doc_id", "pos")
-    dropped = lines.join(firsts, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    hashed = staged(line_hashes(docs, min_chars), "line-hashes")
+    dropped = hashed.join(first_occurrences(hashed, salts), ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     word = (F.col("pos") / 64).cast("int").alias("word")
-    bits = dropped.groupBy("doc_id", word).agg(
-        F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
-    return bits.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))
+    bits = dropped.groupBy("doc_id", "th", word).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
+    return bits.groupBy("doc_id", "th").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))
 
 
 def kept_lines(text: Column, words: Column) -> Column:
@@ -76,19 +75,19 @@ def kept_lines(text: Column, words: Column) -> Column:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with ``kept`` (array of lines) and ``n_lines``."""
-    marks = bitmaps.select(F.col("doc_id").alias("__doc"), F.col("words").alias("__words"))
-    joined = docs.join(marks, docs["doc_id"].eqNullSafe(marks["__doc"]), "left")
-    lines = F.split(F.coalesce(docs["text"], F.lit("")), "\n", -1)
-    return joined.withColumn("n_lines", F.size(lines).cast("long")).withColumn(
-        "kept", kept_lines(docs["text"], F.col("__words"))).drop("__doc", "__words")
+    """The columns of ``docs`` as a struct ``row`` with ``kept`` (array of lines) and ``n_lines``: no input column can clash."""
+    marks = bitmaps.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), "words")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__own"))
+    joined = rows.join(marks, (F.col("__own") == F.col("__th")) & F.col("__id").eqNullSafe(F.col("__doc")), "left")
+    lines = F.split(F.coalesce("row.text", F.lit("")), "\n", -1)
+    return joined.select("row", kept_lines(F.col("row.text"), F.col("words")).alias("kept"), F.size(lines).cast("long").alias("n_lines"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = apply_bitmaps(docs, keep_bitmaps(docs))
     return out.select(
-        "doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"),
+        "row.doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"),
         F.sha2(F.array_join("kept", "\n"), 256).alias("kept_sha256"))
 
 

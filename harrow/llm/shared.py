@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -15,9 +16,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset and Spark is one local process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='harrow-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,15 +35,17 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int):
-    """Arrow batches of at most ``rows`` rows for the jobs run inside the block, so that long texts fit in a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def arrow_rows(spark: SparkSession, rows: int, size: str = "4m"):
+    """Arrow batches of at most ``rows`` rows and about ``size`` for the jobs run inside the block, so that long texts fit in a worker."""
+    new = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    old = {key: spark.conf.get(key) for key in new}
     try:
+        for key, value in new.items():
+            spark.conf.set(key, value)
         yield
     finally:
-        spark.conf.set(key, old)
+        for key, value in old.items():
+            spark.conf.set(key, value)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -63,5 +68,10 @@ def hash_bucket(n: int, *parts: Column | str) -> Column:
     return (F.conv(F.substring(F.md5(F.concat_ws("|", *cols)), 1, 8), 16, 10).cast("long") % n).cast("int")
 
 
+def buckets_for(rows: int, most: int = 50_000) -> int:
+    """Hash buckets that leave about ``most`` rows to a cell, whatever share of all rows has one length or source; 64 at least."""
+    return max(64, -(-rows // most))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
