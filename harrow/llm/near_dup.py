@@ -9,15 +9,20 @@ Documents are sets of distinct 5-word shingles (A-Z lower-cased); two are linked
 3. Classes that share a band key are candidates. In a bucket, odd sketches are compared in place; a pair stays a
    candidate if its estimate is at least ``floor`` (0.5: six standard deviations below 0.75). A bucket gives a
    spanning forest of its candidates, never its pairs; connected components make candidate clusters.
-4. The texts of each cluster (those of candidates only) meet in one task, or in pairs of blocks if the cluster is large,
-   and all their pairs are compared on full sets there. Again a spanning forest comes out; its components are the result.
+4. The texts of each cluster (those of candidates only) are compared on full sets. A cluster that fits one block is
+   compared whole in one task. A larger one is dealt to blocks at random, and a few of its members, the pivots, go to all
+   of them: what belongs together mostly comes together there. Its members outside the largest component found are then
+   compared with all its members, in pairs of blocks; what is in one component already needs no more. So a large group
+   of copies costs one pass over its texts, and only loose clusters cost more. Tasks give spanning forests; their
+   components are the result.
 
 A pair at 0.75 shares no band key with probability (1 - 0.75^4)^30 = 1.1e-5; more similar pairs are far safer, and
 what shares a cluster is compared even so. No bucket, partner list or candidate list is capped.
 
 Defined cases: no text or no words: empty set, linked with nothing, kept; fewer than 5 words: the whole sequence is the
-one shingle; rows that share a doc_id are one node; rows without doc_id are kept and linked with nothing; other columns
-are left out of the work.
+one shingle; rows that share a doc_id are one node in ``near_duplicates`` (all their sets' links are its links), and
+each a node of its own in ``groups``; rows without doc_id are kept and linked with nothing; other columns are left out
+of the work.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrow.llm.components import block_pairs, components
-from harrow.llm.shared import arrow_rows, partitions, read, staged
+from harrow.llm.shared import WORD, arrow_rows, partitions, read, staged
 from harrow.llm.words import Words, chunks, mix
 
 ODD_BITS = 512
@@ -135,40 +140,44 @@ def forest(n: int, row, ids: np.ndarray) -> tuple[list, list]:
     return a, b
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, text): th, a hash of the text, tells rows of one doc_id apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+
+
 def sketches(docs: DataFrame, bands: int = 30, rows: int = 4, k: int = 5) -> DataFrame:
     def run(batches):
         sketcher = Sketcher(bands, rows)
         for b in batches:
             out = []
-            for doc, s in zip(b["doc_id"], shingle_sets(b["text"].tolist(), k)):
+            for s in shingle_sets(b["text"].tolist(), k):
                 if len(s):
                     digest = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-                    out.append((doc, len(s), digest[0], digest[1], *sketcher.sketch(s)))
+                    out.append((len(s), digest[0], digest[1], *sketcher.sketch(s)))
                 else:
-                    out.append((doc, 0, None, None, None, None))
-            frame = pd.DataFrame(out, columns=["doc_id", "n_shingles", "s1", "s2", "keys", "odd"])
-            for c in ("doc_id", "s1", "s2"):
-                frame[c] = frame[c].astype("Int64")
+                    out.append((0, None, None, None, None))
+            frame = pd.DataFrame(out, columns=["n_shingles", "s1", "s2", "keys", "odd"]).astype({"s1": "Int64", "s2": "Int64"})
+            frame.insert(0, "doc_id", b["doc_id"].astype("Int64"))
+            frame.insert(1, "th", b["th"])
             yield frame
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        run, "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>, odd binary")
+    return keyed(docs).mapInPandas(run, "doc_id long, th long, n_shingles long, s1 long, s2 long, keys array<long>, odd binary")
 
 
 def candidate_links(classes: DataFrame, bands: int = 30, rows: int = 4, floor: float = 0.5, block: int = 8192) -> DataFrame:
-    """Spanning forests (a, b) of the candidates of each bucket. ``classes``: doc_id, keys, odd."""
+    """Spanning forests (a, b) of the candidates of each bucket. ``classes``: node, keys, odd."""
     spark, samples = classes.sparkSession, bands * rows
-    members = classes.select("doc_id", F.posexplode("keys").alias("band", "key"))
-    members = members.select("doc_id", F.xxhash64("band", "key").alias("bucket"))
+    members = classes.select("node", F.posexplode("keys").alias("band", "key"))
+    members = members.select("node", F.xxhash64("band", "key").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = members.join(sizes, "bucket").join(classes.select("doc_id", "odd"), "doc_id")
-    dealt = block_pairs(shared, F.ceil(F.col("n") / block), "doc_id")
+    shared = members.join(sizes, "bucket").join(classes.select("node", "odd"), "node")
+    dealt = block_pairs(shared, F.ceil(F.col("n") / block), "node")
     keys = ["bucket", "block_a", "block_b"]
-    dealt = dealt.select(*keys, "doc_id", "odd").repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
+    dealt = dealt.select(*keys, "node", "odd").repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
 
     def run(batches):
         for g in _grouped(batches, keys):
-            cut, ids = bounds(g, keys), g["doc_id"].to_numpy()
+            cut, ids = bounds(g, keys), g["node"].to_numpy()
             odd = np.frombuffer(b"".join(g["odd"]), np.uint64).reshape(len(g), -1)
             size = np.diff(cut)
             two = cut[:-1][size == 2]
@@ -196,59 +205,128 @@ def linked(i: int, others: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray
     return 100 * both >= share * (sizes[i] + sizes[others] - both)
 
 
-def exact_links(texts: DataFrame, k: int = 5, share: int = 75, block_shingles: int = 2_000_000, block: int = 2048) -> DataFrame:
-    """Spanning forests (a, b) of the links inside each cluster. ``texts``: cluster, doc_id, text, n_shingles."""
-    spark = texts.sparkSession
-    load = texts.groupBy("cluster").agg(
-        F.greatest(F.ceil(F.sum("n_shingles") / block_shingles), F.ceil(F.count(F.lit(1)) / block)).alias("blocks"))
-    keys = ["cluster", "block_a", "block_b"]
-    dealt = block_pairs(texts.join(load, "cluster"), F.col("blocks"), "doc_id").select(*keys, "doc_id", "text")
-    dealt = dealt.repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
+def set_links(dealt: DataFrame, keys: list[str], k: int, share: int) -> DataFrame:
+    """Spanning forests (cluster, a, b) of the links among the texts of each group. ``dealt``: keys (cluster first), node, text."""
+    dealt = dealt.select(*keys, "node", "text").repartition(partitions(dealt.sparkSession), *keys).sortWithinPartitions(*keys)
 
     def run(batches):
         for g in _grouped(batches, keys):
-            cut, ids = bounds(g, keys), g["doc_id"].to_numpy()
-            sets = list(shingle_sets(g["text"].tolist(), k))
-            a, b = [], []
+            g = g.drop_duplicates([*keys, "node"])
+            cut, ids, cluster = bounds(g, keys), g["node"].to_numpy(), g[keys[0]].to_numpy()
+            a, b, of = [], [], []
             for lo, hi in zip(cut[:-1], cut[1:]):
                 if hi - lo < 2:
                     continue
-                own = sets[lo:hi]
+                own = list(shingle_sets(g["text"].iloc[lo:hi].tolist(), k))
                 sizes = np.array([len(s) for s in own])
                 value, place = np.unique(np.concatenate(own), return_inverse=True)
                 member = np.repeat(np.arange(hi - lo), sizes)
                 order = np.argsort(place, kind="stable")
-                start = np.searchsorted(place[order], np.arange(len(value) + 1))
+                start = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(value)))])
                 postings = member[order], start, np.split(place, np.cumsum(sizes)[:-1])
                 x, y = forest(hi - lo, lambda i, others: linked(i, others, own, sizes, postings, share), ids[lo:hi])
                 a.extend(x)
                 b.extend(y)
-            yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-    return dealt.mapInPandas(run, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, bands: int = 30, rows: int = 4, k: int = 5, share: int = 75, floor: float = 0.5) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of (doc_id, text)."""
+                of.extend([cluster[lo]] * len(x))
+            yield pd.DataFrame({"cluster": np.array(of, np.int64), "a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return dealt.mapInPandas(run, "cluster long, a long, b long")
+
+
+def exact_links(texts: DataFrame, nodes: DataFrame, k: int = 5, share: int = 75, block_shingles: int = 500_000, block: int = 512) -> DataFrame:
+    """Links (a, b) with the components of all links inside each cluster. ``texts``: cluster, node, text; ``nodes``: cluster, node, n_shingles."""
+    load = nodes.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("n"), F.greatest(F.ceil(F.sum("n_shingles") / block_shingles), F.ceil(F.count(F.lit(1)) / block)).cast("int").alias("blocks"))
+    sized = texts.join(load, "cluster")
+    pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", F.lit(7)), F.col("n")) < F.greatest(F.col("n") / F.col("blocks") / 16, F.lit(1)))
+    last = F.col("blocks") - 1
+    to = F.when(pivot, F.sequence(F.lit(0), last)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    first = staged(set_links(sized.withColumn("block", F.explode(to)), ["cluster", "block"], k, share), "near-links")
+    large = staged(load.filter("blocks > 1"), "near-large")
+    if large.isEmpty():
+        return first.select("a", "b")
+    found = components(first.join(large, "cluster", "left_semi"), "near-parts")
+    members = staged(texts.join(large, "cluster"), "near-members")
+    part = nodes.join(large.select("cluster"), "cluster", "left_semi").join(found, "node", "left").select("cluster", "node", "n_shingles", F.coalesce("component", "node").alias("part"))
+    each = part.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
+    main = each.groupBy("cluster").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("all"), F.sum("shingles").alias("all_shingles"), F.max("n").alias("most"))
+    loose = part.join(main.filter("most < all"), "cluster").filter("part <> main")
+    deal = loose.groupBy("cluster").agg(
+        F.greatest(F.ceil(F.sum("n_shingles") / (block_shingles / 2)), F.ceil(F.count(F.lit(1)) / (block / 2))).cast("int").alias("lefts"),
+        F.first(F.greatest(F.ceil(F.col("all_shingles") / (block_shingles / 2)), F.ceil(F.col("all") / (block / 2))).cast("int")).alias("rights"))
+    deal = staged(deal, "near-loose")
+    rows = members.select("cluster", "node", "text").join(deal, "cluster")
+    left, right = F.pmod(F.xxhash64("node", F.lit(11)), F.col("lefts")).cast("int"), F.pmod(F.xxhash64("node", F.lit(13)), F.col("rights")).cast("int")
+    one = rows.join(loose.select("node"), "node", "left_semi").select("cluster", "node", "text", left.alias("left"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("right"))
+    two = rows.select("cluster", "node", "text", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("left"), right.alias("right"))
+    more = staged(set_links(one.unionByName(two), ["cluster", "left", "right"], k, share), "near-more-links")
+    return first.unionByName(more).select("a", "b")
+
+
+class Groups:
+    """The rows of documents with their set's digest (``rows``: doc_id, th, n_shingles, s1, s2), the distinct sets
+    (``classes``: node, doc_id, th, s1, s2, n_shingles; doc_id and th are the smallest that have it) and ``links`` (a, b) between their nodes.
+    """
+
+    def __init__(self, rows: DataFrame, classes: DataFrame, links: DataFrame):
+        self.rows, self.classes, self.links = rows, classes, links
+
+    def named(self, ties: DataFrame | None = None) -> DataFrame:
+        """``classes`` with ``component``, a node, from the links and from ``ties`` (a, b)."""
+        links = self.links if ties is None else self.links.unionByName(ties)
+        found = components(links, "near-components")
+        return self.classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def groups(docs: DataFrame, bands: int = 30, rows: int = 4, k: int = 5, share: int = 75, floor: float = 0.5) -> Groups:
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with arrow_rows(spark, 500):
         every = staged(sketches(docs, bands, rows, k), "near-sketches")
-        classes = staged(
-            every.filter("s1 is not null and doc_id is not null").groupBy("s1", "s2")
-            .agg(F.min_by(F.struct("doc_id", "n_shingles", "keys", "odd"), "doc_id").alias("x")).select("s1", "s2", "x.*"), "near-classes")
+        whole = F.struct("doc_id", "th", "n_shingles", "keys", "odd")
+        distinct = every.filter("s1 is not null and doc_id is not null").groupBy("s1", "s2").agg(F.min_by(whole, F.struct("doc_id", "th")).alias("x"))
+        classes = staged(distinct.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "x.*"), "near-classes")  # written, so the numbers stay
         with arrow_rows(spark, 20_000):
             maybe = staged(candidate_links(classes, bands, rows, floor), "near-candidates")
-        clusters = components(maybe, "near-clusters").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
-        wanted = clusters.join(classes.select("doc_id", "n_shingles"), "doc_id")
-        texts = docs.filter("doc_id is not null").join(wanted, "doc_id")
-        sure = staged(exact_links(texts, k, share), "near-links")
-    found = components(sure, "near-components").select(F.col("node").alias("rep"), "component")
-    named = classes.select("s1", "s2", F.col("doc_id").alias("rep")).join(found, "rep", "left").select(
-        "s1", "s2", F.coalesce("component", "rep").alias("component"))
-    out = every.select("doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+        clusters = components(maybe, "near-clusters").withColumnRenamed("component", "cluster")
+        wanted = clusters.join(classes.select("node", "doc_id", "th", "n_shingles"), "node")
+        texts = keyed(docs).join(wanted, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("cluster", "node", "text")
+        links = exact_links(texts, wanted.select("cluster", "node", "n_shingles"), k, share)
+    return Groups(every.drop("keys", "odd"), classes.drop("keys", "odd"), links)
+
+
+def near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of (doc_id, text)."""
+    found = groups(docs, **how)
+    several = staged(found.rows.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "near-shared-ids")
+    shared = not several.isEmpty()
+    ties = None
+    if shared:  # rows of one doc_id are one node: their sets are tied to each other
+        sets = found.rows.join(several, "doc_id").select("doc_id", "s1", "s2").distinct().join(found.classes.select("s1", "s2", "node"), ["s1", "s2"])
+        sets = staged(sets.select("doc_id", "node"), "near-ties")
+        low = sets.groupBy("doc_id").agg(F.min("node").alias("a"))
+        ties = sets.join(low, "doc_id").filter("a <> node").select("a", F.col("node").alias("b"))
+    named = staged(found.named(ties).select("node", "s1", "s2", "doc_id", "component"), "near-named")
+    low = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = named.drop("doc_id").join(low, "component")
+    out = found.rows.join(named.select("s1", "s2", "component_id"), ["s1", "s2"], "left").select("doc_id", "n_shingles", "component_id")
+    if shared:
+        of_id = sets.join(named.select("node", "component_id"), "node").groupBy("doc_id").agg(F.min("component_id").alias("tied"))
+        out = out.join(of_id, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "tied")).drop("tied")
+    component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", component_id.alias("component_id"), F.coalesce(component_id == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs``, all columns, one of each group: the one with the smallest doc_id (and hash of the text), once.
+
+    Each row is judged by its own text, whatever rows share its doc_id. Rows without words or doc_id all stay.
+    """
+    found = groups(docs, **how)
+    stay = found.named().groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("x")).select(F.col("x.doc_id").alias("__doc"), F.col("x.th").alias("__th"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("__doc"), F.xxhash64("text").alias("__th"))
+    judged = F.col("__doc").isNotNull() & F.coalesce(F.col("row.text").rlike(WORD), F.lit(False))
+    once = rows.filter(judged).join(stay, ["__doc", "__th"], "left_semi").dropDuplicates(["__doc", "__th"])
+    return once.select("row.*").unionByName(rows.filter(~judged).select("row.*"))
 
 
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
