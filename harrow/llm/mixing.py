@@ -9,12 +9,12 @@ offset in [0, 1) from a hash of seed and source is added, and a document is emit
 its step crosses: floor(rate * rank + u) - floor(rate * (rank - 1) + u) copies, that is the rate rounded down or up.
 Ranking by size makes each size class lose or gain less than one copy, so the words taken come near the target.
 
-How it scales. No sort of a whole source: ranks come from counts by (source, size class, hash bucket), whose number is
-bounded by sources x 400 x buckets whatever the rows, plus a row number inside each such cell. A hot source is split
-over all its cells. Reruns agree: nothing is drawn, all is hashed.
+How it scales. No sort of a whole source: ranks come from counts by (source, size class, hash bucket) plus a row number
+inside each such cell. The number of buckets grows with the rows, so that a hot source, or one hot size in it, is split
+into cells of bounded size. Reruns agree: nothing is drawn, all is hashed.
 
 Defined cases: null text has size 0; a null source is a source, last in order; an empty table gives an empty result;
-repeated doc_ids are ranked in any order among themselves and taken independently (equal rows: same total).
+rows that share a doc_id are ranked by size and a hash of the text and taken independently.
 A source of size 0 has target 0 and its documents no copies.
 """
 
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from harrow.llm.shared import WORD, hash_bucket, hash_fraction, read
+from harrow.llm.shared import WORD, buckets_for, hash_bucket, hash_fraction, read
 
 WEIGHTS = (5, 2, 1)
 
@@ -46,22 +46,27 @@ def source_targets(per_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, sh
     return t.withColumn("target", F.when(level.isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), level * F.col("weight")))).select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, max_repeats: float = 2.0, buckets: int = 64, seed: str = "mix", carry: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, max_repeats: float = 2.0, buckets: int | None = None, seed: str = "mix", carry: bool = False) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) for each row of (doc_id, text, source); ``carry``: the whole row as struct ``row`` too."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    d = docs.select("doc_id", "source", size.alias("size"), *([F.struct(*docs.columns).alias("row")] if carry else []))
+    buckets = buckets or buckets_for(docs.count())
+    d = docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("th"), *([F.struct(*docs.columns).alias("row")] if carry else []))
     cls = F.when(F.col("size") < 16, F.col("size")).otherwise(F.floor(F.log2(F.col("size").cast("double")) * 16)).cast("int")
     d = d.withColumn("cls", cls).withColumn("bucket", hash_bucket(buckets, F.lit(seed), F.col("doc_id")))
     cell = ["source", "cls", "bucket"]
     counts = d.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
     per_source = counts.groupBy("source").agg(F.sum("words").alias("source_size"))
     targets = source_targets(per_source, weights, share, max_repeats)
-    earlier = Window.partitionBy("source").orderBy("cls", "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cells = counts.withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n", "words")
-    t, c = targets.alias("t"), cells.alias("c")
+    before = Window.partitionBy("source").orderBy("cls").rowsBetween(Window.unboundedPreceding, -1)  # some 400 classes a source
+    classes = counts.groupBy("source", "cls").agg(F.sum("n").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    classes = classes.select(F.col("source").alias("__of"), F.col("cls").alias("__in"), "base")
+    earlier = Window.partitionBy("source", "cls").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    cells = counts.withColumn("inside", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    cells = cells.join(classes, cells["source"].eqNullSafe(F.col("__of")) & (cells["cls"] == F.col("__in")))
+    t, c = targets.alias("t"), cells.select(*cell, (F.col("base") + F.col("inside")).alias("offset")).alias("c")
     rates = c.join(t, F.col("c.source").eqNullSafe(F.col("t.source"))).select(
         F.col("c.source").alias("__source"), F.col("c.cls").alias("__cls"), F.col("c.bucket").alias("__bucket"), "offset", "source_size", "target")
-    inside = Window.partitionBy(*cell).orderBy("size", "doc_id")
+    inside = Window.partitionBy(*cell).orderBy("size", "doc_id", "th")
     d = d.withColumn("rn", F.row_number().over(inside))
     d = d.join(rates, d["source"].eqNullSafe(F.col("__source")) & (d["cls"] == F.col("__cls")) & (d["bucket"] == F.col("__bucket")))
     rank = (F.col("offset") + F.col("rn")).cast("double")
@@ -87,7 +92,7 @@ WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
 ), c AS (
   SELECT *, CASE WHEN size < 16 THEN size ELSE floor(log2(size::DOUBLE) * 16) END::INT AS cls,
-    (('0x' || substr(md5('mix|' || doc_id), 1, 8))::BIGINT % 64)::INT AS bucket
+    (('0x' || substr(md5('mix|' || doc_id), 1, 8))::BIGINT % (SELECT greatest(64, ceil(count(*) / 50000.0)::BIGINT) FROM d))::INT AS bucket
   FROM d
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS no FROM d GROUP BY source

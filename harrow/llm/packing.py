@@ -12,8 +12,9 @@ Documents become token ids plus a closing 0; longer ones than ``capacity`` are c
 
 Everything is done on runs (length, first rank, count, first bin), so the plan is as small as the histogram; it is a
 list of a few thousand runs. Each piece finds its run by its length and its rank among the pieces of that length. Ranks
-come from counts by (length, hash bucket) and a row number inside each such cell: a length that a third of all pieces
-have is split over all buckets, and nothing is sorted as a whole.
+come from counts by (length, hash bucket) and a row number inside each such cell. The number of buckets grows with the
+pieces, so that a length that a third of all pieces have is split into cells of bounded size, and nothing is sorted as a
+whole.
 
 Defined cases: a null or empty text is one token (the closing 0); an empty table gives an empty result; repeated rows
 are packed each for itself; other columns are left out of the work.
@@ -31,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from harrow.llm.shared import arrow_rows, hash_bucket, read, staged
+from harrow.llm.shared import arrow_rows, buckets_for, hash_bucket, read, staged
 from harrow.llm.words import chunks
 
 CAPACITY = 2048
@@ -287,9 +288,9 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, tries: tuple[tuple[in
     return min((_plan(dict(counts), capacity, g, capacity // part) for g, part in tries), key=lambda p: p[0])
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, buckets: int = 64) -> DataFrame:
-    """``cut`` (with doc_id, piece, length) plus sequence_id and offset."""
-    spark = cut.sparkSession
+def pack(cut: DataFrame, capacity: int = CAPACITY, buckets: int | None = None) -> DataFrame:
+    """``cut`` (with doc_id, piece, length; a written table, as it is counted first) plus sequence_id and offset."""
+    spark, buckets = cut.sparkSession, buckets or buckets_for(cut.count())
     keyed = cut.withColumn("bucket", hash_bucket(buckets, F.col("doc_id"), F.col("piece")))
     cells = staged(keyed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "pack-cells")
     counts = {int(r[0]): int(r[1]) for r in cells.groupBy("length").agg(F.sum("n")).collect()}  # capacity rows at most
