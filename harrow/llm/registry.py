@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from harrow.llm import fingerprint, html_text, line_dedup, mixing, near_dup, packing, substring_dedup, toxicity, url_filter, vector_dup
+from harrow.llm import fingerprint, html_text, line_dedup, mixing, near_dup, packing, pipeline, substring_dedup, toxicity, url_filter, vector_dup
 
 
 def queries() -> dict:
@@ -18,7 +17,7 @@ def queries() -> dict:
         "op8_near_dup": near_dup.op8_near_dup,
         "op9_vector_dup": vector_dup.op9_vector_dup,
         "op10_line_dedup": line_dedup.op10_line_dedup,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 

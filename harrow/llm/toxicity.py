@@ -165,7 +165,7 @@ def features(words: list[str]) -> list[str]:
 class Featurizer:
     """Features of texts through a bounded store of tokens; with a vocabulary, their numbers in it."""
 
-    def __init__(self, counts: np.ndarray, vocabulary: list[str] | None = None, most: int = 300_000):
+    def __init__(self, counts: np.ndarray, vocabulary: list[str] | None = None, most: int = 150_000):
         self.restorer, self.most, self.store = Restorer(counts), most, {}
         self.number = None if vocabulary is None else {v: i for i, v in enumerate(vocabulary)}
 
@@ -261,25 +261,26 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 10_000, most_f
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (any columns, ``text`` among them) plus ``toxic_score``."""
+    """The columns of ``docs`` (``text`` among them) as a struct ``row``, and ``toxic_score``: no input column can clash."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
 
     def run(batches):
         of = Featurizer(model.counts, model.vocabulary)
         for b in batches:
-            z = [model.logit(of(t)) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            z = [model.logit(of(t)) for t in b.column(0).field("text").to_pylist()]
             p = pa.array([1 / (1 + math.exp(-min(max(x, -700), 700))) for x in z], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, p], names=[*b.schema.names, "toxic_score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), p], names=["row", "toxic_score"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("toxic_score", DoubleType())]))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("toxic_score", DoubleType())]))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")
     model = learn(docs, labels)
     with arrow_rows(spark, 1000):
-        found = staged(score(docs, model).drop("text"), "toxic-scores")
+        found = staged(score(docs, model).select("row.doc_id", "toxic_score"), "toxic-scores")
     return found.select(
         "doc_id", (F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % 4 == 2).alias("held_out"),
         F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.3).cast("int").alias("predicted"))

@@ -97,20 +97,27 @@ def test_substring_dedup_on_random_words(spark, seed):
 
 
 def test_line_dedup(docs):
-    got = {r["doc_id"]: r for r in line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs)).collect()}
+    got = {r["row"]["doc_id"]: r for r in line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs)).collect()}
     assert got[9]["kept"][:2] == ["A line that repeats", "  a LINE that repeats "] and got[9]["n_lines"] == 4
     assert got[10]["kept"] == ["short", ""]
     assert got[0]["kept"] == [""] and got[1]["n_lines"] == 1 and got[6]["kept"] == []
-    assert got[4]["kept"] == [PASSAGE] and got[10]["bucket"] == "clash"
+    assert got[4]["kept"] == [PASSAGE] and got[10]["row"]["bucket"] == "clash"
 
 
 def test_line_dedup_of_long_documents(spark):
     lines = [f"line number {i:05d}" for i in range(1000)]
     df = spark.createDataFrame([(2, "\n".join(lines)), (1, "\n".join(lines[::3]))], "doc_id long, text string")
-    got = {r["doc_id"]: r["kept"] for r in line_dedup.apply_bitmaps(df, line_dedup.keep_bitmaps(df)).collect()}
+    got = {r["row"]["doc_id"]: r["kept"] for r in line_dedup.apply_bitmaps(df, line_dedup.keep_bitmaps(df)).collect()}
     assert got[1] == lines[::3] and got[2] == [x for i, x in enumerate(lines) if i % 3]
 
 
+def test_line_dedup_of_shared_ids_and_long_blanks(spark):
+    blanks = "x" + " " * 100_000 + "y"
+    df = spark.createDataFrame([(7, "an old line here\nfirst line of seven"), (7, "second line of seven\nan old line here"), (3, "an old line here\n" + blanks), (9, "\t" + blanks + "\r")], "doc_id long, text string")
+    got = sorted((r["row"]["doc_id"], r["kept"]) for r in line_dedup.apply_bitmaps(df, line_dedup.keep_bitmaps(df)).collect())
+    assert got == [(3, ["an old line here", blanks]), (7, ["first line of seven"]), (7, ["second line of seven"]), (9, [])]
+
+
 def union_find(n, links):
     root = list(range(n))
 
@@ -156,13 +163,23 @@ def test_near_duplicates_of_many_edits_and_small_blocks(spark):
     want = [min(j for j in range(150) if comp[j] == comp[i]) for i in range(150)]
     got = [r["component_id"] for r in near_dup.near_duplicates(df).orderBy("doc_id").collect()]
     assert got == want and 1 < len(set(want)) < 150
-    every = near_dup.sketches(df).selectExpr("doc_id", "keys", "odd", "n_shingles")
+    every = near_dup.sketches(df).selectExpr("doc_id as node", "keys", "odd", "n_shingles")
     assert near_dup.candidate_links(every, block=16).count() > 0
-    links = near_dup.exact_links(df.selectExpr("0L as cluster", "doc_id", "text", "100 as n_shingles"), block=16)
+    every = df.selectExpr("0L as cluster", "doc_id as node", "text", "100 as n_shingles")
+    links = near_dup.exact_links(every.drop("n_shingles"), every.drop("text"), block=16)
     again = union_find(150, [(r["a"], r["b"]) for r in links.collect()])
     assert [min(j for j in range(150) if again[j] == again[i]) for i in range(150)] == want
 
 
+def test_near_duplicates_of_shared_ids(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    df = spark.createDataFrame([(1, one), (3, two), (7, one + " end"), (7, two + " end"), (7, None), (5, three), (5, three), (5, "other words of five here alone"), (None, one)], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(df).collect())
+    assert got == [(0, 36, None, True), (1, 36, 1, True), (3, 36, 1, False), (5, 2, 5, True), (5, 36, 5, True), (5, 36, 5, True), (7, 0, 1, False), (7, 37, 1, False), (7, 37, 1, False)]
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in near_dup.without_near_duplicates(df.withColumn("row", F.lit("clash"))).collect())
+    assert kept == sorted([(0, one), (1, one), (3, two), (5, three), (5, "other words of five here alone"), (7, "")])
+
+
 def test_mixing(docs):
     m = mixing.mix(docs).collect()
     per = {}
@@ -317,6 +334,7 @@ def test_toxicity_on_held_out_labels(spark):
 
 
 def test_toxicity_edges(spark, docs):
+    docs = docs.withColumns({"toxic_score": F.lit("clash"), "row": F.lit(1)})
     none = spark.createDataFrame([], "doc_id long, toxic int")
     one = spark.createDataFrame([(3, 1), (3, None), (None, 1)], "doc_id long, toxic int")
     assert all(r["toxic_score"] < 1e-6 for r in toxicity.score(docs, toxicity.learn(docs, none)).collect())
@@ -352,3 +370,46 @@ def test_pipeline(spark):
             assert again.filter("not kept").count() == 0
     last = c.STAGES[-1][1](spark, docs, DATA)
     assert last.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
+
+
+ROWS = [
+    (1, "One line that is here twice\nfirst words of the document"), (2, "one LINE that is here twice\nsecond words of the document"), (3, None), (4, ""),
+    (7, " ".join(f"x{i}" for i in range(50))), (7, " ".join(f"y{i}" for i in range(50))), (8, " ".join(f"x{i}" for i in range(50)) + " more"),
+    (9, " ".join(f"y{i}" for i in range(50))), (None, " ".join(f"x{i}" for i in range(50))),
+]
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    """Rows that share an id, null texts and ids, extra columns with the names that stages use inside."""
+    import corpus_pipeline as c
+
+    df = spark.createDataFrame([(i, t, "s", "en", len(t or "")) for i, t in ROWS], "doc_id long, text string, source string, lang string, n_chars long")
+    df = df.withColumns({x: F.lit("clash") for x in ("kept", "n_lines", "row", "toxic_score", "words", "component", "n", "th", "copies")})
+    stages = dict(c.STAGES)
+    texts = lambda d: sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "") for r in d.collect())
+    same = lambda rows: sorted((i is not None, i or 0, t or "") for i, t in rows)
+    clean = stages["toxicity"](spark, df, DATA)
+    assert texts(clean) == same(ROWS) and clean.columns == df.columns
+    lines = stages["line_dedup"](spark, clean, DATA)
+    want, seen = [], {}
+    for i, t in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0)):
+        kept = []
+        for line in (t or "").split("\n"):
+            key = line.strip(" \t\n\x0b\f\r").lower()
+            if len(key) < 10 or seen.setdefault(key, i) == i:
+                kept.append(line)
+        want.append((i, "\n".join(kept)))
+    assert texts(lines) == same(want) and lines.filter("text is not null and n_chars <> char_length(text)").count() == 0
+    near = stages["near_dup"](spark, clean, DATA)
+    assert texts(near) == same([r for r in ROWS if r[0] not in (8, 9)])
+    mixed = stages["mixing"](spark, near, DATA)
+    taken = Counter((r["doc_id"], r["text"]) for r in mixed.collect())
+    words_of = sum(len(words(t)) * n for (_, t), n in taken.items())
+    size = sum(len(words(r["text"])) for r in near.collect())
+    assert mixed.columns == df.columns and set(taken) <= {(r["doc_id"], r["text"]) for r in near.collect()} and max(taken.values()) <= 2
+    assert abs(words_of - 1.5 * size) <= max(len(words(t)) for _, t in ROWS)
+    packed = stages["packing"](spark, mixed, DATA)
+    assert packed.count() == sum(taken.values())
+    empty = df.limit(0)
+    for name, stage in c.STAGES:
+        assert stage(spark, empty, DATA).count() == 0, name
