@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.llm.components import block_pairs, components
+from harrow.llm.components import block_pairs, blocks_of, components, ties
 from harrow.llm.shared import WORD, arrow_rows, partitions, read, staged
 from harrow.llm.words import Words, chunks, mix
 
@@ -156,12 +156,12 @@ def sketches(docs: DataFrame, bands: int = 30, rows: int = 4, k: int = 5) -> Dat
                     out.append((len(s), digest[0], digest[1], *sketcher.sketch(s)))
                 else:
                     out.append((0, None, None, None, None))
-            frame = pd.DataFrame(out, columns=["n_shingles", "s1", "s2", "keys", "odd"]).astype({"s1": "Int64", "s2": "Int64"})
+            frame = pd.DataFrame(out, columns=["n_shingles", "d1", "d2", "keys", "odd"]).astype({"d1": "Int64", "d2": "Int64"})
             frame.insert(0, "doc_id", b["doc_id"].astype("Int64"))
             frame.insert(1, "th", b["th"])
             yield frame
 
-    return keyed(docs).mapInPandas(run, "doc_id long, th long, n_shingles long, s1 long, s2 long, keys array<long>, odd binary")
+    return keyed(docs).mapInPandas(run, "doc_id long, th long, n_shingles long, d1 long, d2 long, keys array<long>, odd binary")
 
 
 def candidate_links(classes: DataFrame, bands: int = 30, rows: int = 4, floor: float = 0.5, block: int = 8192) -> DataFrame:
@@ -171,7 +171,7 @@ def candidate_links(classes: DataFrame, bands: int = 30, rows: int = 4, floor: f
     members = members.select("node", F.xxhash64("band", "key").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = members.join(sizes, "bucket").join(classes.select("node", "odd"), "node")
-    dealt = block_pairs(shared, F.ceil(F.col("n") / block), "node")
+    dealt = block_pairs(shared, blocks_of(F.col("n"), block), "node")
     keys = ["bucket", "block_a", "block_b"]
     dealt = dealt.select(*keys, "node", "odd").repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
 
@@ -246,7 +246,6 @@ def exact_links(texts: DataFrame, nodes: DataFrame, k: int = 5, share: int = 75,
     if large.isEmpty():
         return first.select("a", "b")
     found = components(first.join(large, "cluster", "left_semi"), "near-parts")
-    members = staged(texts.join(large, "cluster"), "near-members")
     part = nodes.join(large.select("cluster"), "cluster", "left_semi").join(found, "node", "left").select("cluster", "node", "n_shingles", F.coalesce("component", "node").alias("part"))
     each = part.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
     main = each.groupBy("cluster").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("all"), F.sum("shingles").alias("all_shingles"), F.max("n").alias("most"))
@@ -255,7 +254,7 @@ def exact_links(texts: DataFrame, nodes: DataFrame, k: int = 5, share: int = 75,
         F.greatest(F.ceil(F.sum("n_shingles") / (block_shingles / 2)), F.ceil(F.count(F.lit(1)) / (block / 2))).cast("int").alias("lefts"),
         F.first(F.greatest(F.ceil(F.col("all_shingles") / (block_shingles / 2)), F.ceil(F.col("all") / (block / 2))).cast("int")).alias("rights"))
     deal = staged(deal, "near-loose")
-    rows = members.select("cluster", "node", "text").join(deal, "cluster")
+    rows = texts.select("cluster", "node", "text").join(deal, "cluster")
     left, right = F.pmod(F.xxhash64("node", F.lit(11)), F.col("lefts")).cast("int"), F.pmod(F.xxhash64("node", F.lit(13)), F.col("rights")).cast("int")
     one = rows.join(loose.select("node"), "node", "left_semi").select("cluster", "node", "text", left.alias("left"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("right"))
     two = rows.select("cluster", "node", "text", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("left"), right.alias("right"))
@@ -264,16 +263,16 @@ def exact_links(texts: DataFrame, nodes: DataFrame, k: int = 5, share: int = 75,
 
 
 class Groups:
-    """The rows of documents with their set's digest (``rows``: doc_id, th, n_shingles, s1, s2), the distinct sets
-    (``classes``: node, doc_id, th, s1, s2, n_shingles; doc_id and th are the smallest that have it) and ``links`` (a, b) between their nodes.
+    """The rows of documents with their set's digest (``rows``: doc_id, th, n_shingles, d1, d2), the distinct sets
+    (``classes``: node, doc_id, th, d1, d2, n_shingles; doc_id and th are the smallest that have it) and ``links`` (a, b) between their nodes.
     """
 
     def __init__(self, rows: DataFrame, classes: DataFrame, links: DataFrame):
         self.rows, self.classes, self.links = rows, classes, links
 
-    def named(self, ties: DataFrame | None = None) -> DataFrame:
-        """``classes`` with ``component``, a node, from the links and from ``ties`` (a, b)."""
-        links = self.links if ties is None else self.links.unionByName(ties)
+    def named(self, tied: DataFrame | None = None) -> DataFrame:
+        """``classes`` with ``component``, a node, from the links and from ``tied`` (a, b)."""
+        links = self.links if tied is None else self.links.unionByName(tied)
         found = components(links, "near-components")
         return self.classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
@@ -283,13 +282,13 @@ def groups(docs: DataFrame, bands: int = 30, rows: int = 4, k: int = 5, share: i
     with arrow_rows(spark, 500):
         every = staged(sketches(docs, bands, rows, k), "near-sketches")
         whole = F.struct("doc_id", "th", "n_shingles", "keys", "odd")
-        distinct = every.filter("s1 is not null and doc_id is not null").groupBy("s1", "s2").agg(F.min_by(whole, F.struct("doc_id", "th")).alias("x"))
-        classes = staged(distinct.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "x.*"), "near-classes")  # written, so the numbers stay
+        distinct = every.filter("d1 is not null and doc_id is not null").groupBy("d1", "d2").agg(F.min_by(whole, F.struct("doc_id", "th")).alias("x"))
+        classes = staged(distinct.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "x.*"), "near-classes")  # written, so the numbers stay
         with arrow_rows(spark, 20_000):
             maybe = staged(candidate_links(classes, bands, rows, floor), "near-candidates")
         clusters = components(maybe, "near-clusters").withColumnRenamed("component", "cluster")
         wanted = clusters.join(classes.select("node", "doc_id", "th", "n_shingles"), "node")
-        texts = keyed(docs).join(wanted, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("cluster", "node", "text")
+        texts = staged(keyed(docs).join(wanted, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("cluster", "node", "text"), "near-texts")
         links = exact_links(texts, wanted.select("cluster", "node", "n_shingles"), k, share)
     return Groups(every.drop("keys", "odd"), classes.drop("keys", "odd"), links)
 
@@ -297,20 +296,13 @@ def groups(docs: DataFrame, bands: int = 30, rows: int = 4, k: int = 5, share: i
 def near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of (doc_id, text)."""
     found = groups(docs, **how)
-    several = staged(found.rows.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "near-shared-ids")
-    shared = not several.isEmpty()
-    ties = None
-    if shared:  # rows of one doc_id are one node: their sets are tied to each other
-        sets = found.rows.join(several, "doc_id").select("doc_id", "s1", "s2").distinct().join(found.classes.select("s1", "s2", "node"), ["s1", "s2"])
-        sets = staged(sets.select("doc_id", "node"), "near-ties")
-        low = sets.groupBy("doc_id").agg(F.min("node").alias("a"))
-        ties = sets.join(low, "doc_id").filter("a <> node").select("a", F.col("node").alias("b"))
-    named = staged(found.named(ties).select("node", "s1", "s2", "doc_id", "component"), "near-named")
+    shared = ties(found.rows, found.classes, "doc_id", "near")
+    named = staged(found.named(shared and shared[1]).select("node", "d1", "d2", "doc_id", "component"), "near-named")
     low = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.drop("doc_id").join(low, "component")
-    out = found.rows.join(named.select("s1", "s2", "component_id"), ["s1", "s2"], "left").select("doc_id", "n_shingles", "component_id")
+    out = found.rows.join(named.select("d1", "d2", "component_id"), ["d1", "d2"], "left").select("doc_id", "n_shingles", "component_id")
     if shared:
-        of_id = sets.join(named.select("node", "component_id"), "node").groupBy("doc_id").agg(F.min("component_id").alias("tied"))
+        of_id = shared[0].join(named.select("node", "component_id"), "node").groupBy("doc_id").agg(F.min("component_id").alias("tied"))
         out = out.join(of_id, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "tied")).drop("tied")
     component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component_id.alias("component_id"), F.coalesce(component_id == F.col("doc_id"), F.lit(True)).alias("kept"))
