@@ -65,8 +65,16 @@ def featured(urls: DataFrame, sizes: tuple[int, ...] = (2, 3, 4), buckets: int =
 
 
 def fit(labelled: DataFrame, max_labelled: int = 20_000):
-    """A model from (host, path, verdict); or the one verdict there is, or ``allow``."""
-    sample = staged(labelled.select("host", "path", "verdict").orderBy(F.xxhash64("host", "path"), "host", "path").limit(max_labelled), "urls-labelled")
+    """A model from (host, path, verdict); or the one verdict there is, or ``allow``.
+
+    Rows are thinned by a hash of host and path before equal ones are merged: a first pass estimates how many distinct
+    ones there are, and what the hash leaves is about twice ``max_labelled``, so that no shuffle sees the whole table.
+    """
+    rows = labelled.select("host", "path", "verdict", F.xxhash64("host", "path").alias("h"))
+    number = rows.agg(F.approx_count_distinct("h")).first()[0]
+    if number > 2 * max_labelled:
+        rows = rows.filter(F.pmod("h", F.lit(1 << 40)) < (1 << 41) * max_labelled // number)
+    sample = staged(rows.distinct().orderBy(F.pmod("h", F.lit(1 << 40)), "h", "host", "path", "verdict").limit(max_labelled).drop("h"), "urls-labelled")
     seen = sorted(r[0] for r in sample.select("verdict").distinct().collect())  # two values at most
     if len(seen) < 2:
         return seen[0] if seen else "allow"
@@ -75,11 +83,14 @@ def fit(labelled: DataFrame, max_labelled: int = 20_000):
 
 
 def filter_urls(urls: DataFrame, labelled: DataFrame | None = None, rules=RULES, max_labelled: int = 20_000) -> DataFrame:
-    """``urls`` (with a column ``url``) plus host, path, rule, verdict, p_allow. ``labelled``: (url, verdict); without it, the URLs that rules decide are the labelled ones."""
-    parts = urls.withColumns({"host": url_host(F.col("url")), "path": url_path(F.col("url"))})
-    ruled = parts.withColumn("__rule", rule_of(F.col("host"), F.col("path"), rules))
+    """The columns of ``urls`` (``url`` among them) as a struct ``row`` plus host, path, rule, verdict, p_allow: no input column can clash.
+
+    ``labelled``: (url, verdict); without it, the URLs that rules decide are the labelled ones.
+    """
+    parts = urls.select(F.struct(*urls.columns).alias("row"), url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
+    ruled = parts.withColumn("ruled", rule_of(F.col("host"), F.col("path"), rules))
     if labelled is None:
-        known = ruled.filter(F.col("__rule").isNotNull()).select("host", "path", F.col("__rule.verdict").alias("verdict")).distinct()
+        known = ruled.filter(F.col("ruled").isNotNull()).select("host", "path", F.col("ruled.verdict").alias("verdict"))
     else:
         known = labelled.select(url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), "verdict")
     model = fit(known, max_labelled)
@@ -87,11 +98,11 @@ def filter_urls(urls: DataFrame, labelled: DataFrame | None = None, rules=RULES,
         scored = ruled.withColumn("p_allow", F.lit(1.0 if model == "allow" else 0.0))
     else:
         scored = model.setProbabilityCol("__p").setRawPredictionCol("").setPredictionCol("").transform(featured(ruled))
-        scored = scored.withColumn("p_allow", vector_to_array("__p")[1]).drop("__p", "__features")
+        scored = scored.withColumn("p_allow", vector_to_array("__p")[1])
     learned = F.when(F.col("p_allow") >= 0.5, "allow").otherwise("block")
-    return scored.withColumns({"rule": F.col("__rule.rule"), "verdict": F.coalesce(F.col("__rule.verdict"), learned)}).drop("__rule")
+    return scored.select("row", "host", "path", F.col("ruled.rule").alias("rule"), F.coalesce("ruled.verdict", learned).alias("verdict"), "p_allow")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
-    return filter_urls(pages).select("page_id", "host", "path", "rule", "verdict", "p_allow")
+    return filter_urls(pages).select("row.page_id", "host", "path", "rule", "verdict", "p_allow")

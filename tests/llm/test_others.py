@@ -40,14 +40,14 @@ URLS = [
 
 
 def test_urls(spark):
-    df = spark.createDataFrame([(i, u, "c") for i, u in enumerate(URLS * 2)], "page_id long, url string, grams string")
+    df = spark.createDataFrame([(i, u, "c") for i, u in enumerate(URLS * 2)], "page_id long, url string, grams string").withColumns({c: F.lit("clash") for c in ("host", "path", "rule", "verdict", "p_allow", "h", "row")})
     got = url_filter.filter_urls(df).collect()
     assert len(got) == len(URLS) * 2
     for r in got:
-        host, path = brute_parts(r["url"])
-        assert (r["host"], r["path"]) == (host, path), r["url"]
+        host, path = brute_parts(r["row"]["url"])
+        assert (r["host"], r["path"]) == (host, path) and r["row"]["verdict"] == "clash", r["row"]["url"]
         rule = brute_rule(host, path)
-        assert (r["rule"], r["verdict"]) == rule if rule else (r["rule"] is None and r["verdict"] in ("allow", "block")), r["url"]
+        assert (r["rule"], r["verdict"]) == rule if rule else (r["rule"] is None and r["verdict"] in ("allow", "block")), r["row"]["url"]
     assert url_filter.filter_urls(df.limit(0)).count() == 0
     assert {r["verdict"] for r in url_filter.filter_urls(df.filter("page_id = 2")).collect()} == {"allow"}
     known = spark.createDataFrame([("http://a.bad/x", "block")], "url string, verdict string")
@@ -59,7 +59,7 @@ def test_url_model_learns(spark):
     rows = [(f"http://{rng.choice(['casino', 'pills'])}{rng.randint(0, 99)}.net/win{i}", "block") for i in range(200)] + [(f"http://{rng.choice(['news', 'blog'])}{rng.randint(0, 99)}.net/story{i}", "allow") for i in range(200)]
     known = spark.createDataFrame(rows, "url string, verdict string")
     test = spark.createDataFrame([("http://casino777.net/win", "block"), ("http://blog7.net/story", "allow")], "url string, want string")
-    assert all(r["verdict"] == r["want"] for r in url_filter.filter_urls(test, known).collect())
+    assert all(r["verdict"] == r["row"]["want"] for r in url_filter.filter_urls(test, known).collect())
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar"><header>Top</header><nav><ul><li>Menu</ul></nav>
@@ -158,13 +158,35 @@ def test_vector_recall(spark):
     assert (got <= true).all() and got.sum() >= 0.99 * true.sum()
 
 
+def test_shared_vector_ids(spark):
+    one, two, three = ([float(i == k) for i in range(16)] for k in range(3))
+    df = spark.createDataFrame([(1, one), (2, two), (5, one), (5, one), (5, two), (5, None), (7, three), (None, one)], "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in vector_dup.vector_duplicates(df).collect())
+    assert got == [(0, 0, None, True), (1, 1, 1, True), (2, 1, 1, False), (5, 0, 1, False), (5, 1, 1, False), (5, 1, 1, False), (5, 1, 1, False), (7, 0, 7, True)]
+
+
+@pytest.mark.parametrize("n", [1_000, 1_000_000, 1_000_000_000])
+def test_lattice_designs_find_pairs_and_little_else(n):
+    d = vector_dup.design(n)
+    g = np.random.Generator(np.random.PCG64(4))
+    x, z = g.normal(size=(2, 400, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    z -= (z * x).sum(1)[:, None] * x
+    z /= np.linalg.norm(z, axis=1)[:, None]
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * z
+    a, b = vector_dup.cells(x, **d), vector_dup.cells(y, **d)
+    assert np.mean([np.isin(p, q).any() for p, q in zip(a, b)]) >= 0.97
+    met = d["tables"] * ((1 + d["probes"]) ** 2 * (d["scale"] / (2 * np.sqrt(np.pi))) ** 8) ** d["blocks"]
+    assert a.shape[1] < 600 and n * met < 6000
+
+
 @pytest.mark.parametrize("block", [1, 4096])
 def test_blocks_count_alike(spark, block):
     g = np.random.Generator(np.random.PCG64(3))
     x = g.normal(size=(30, 16)) * 0.1 + 1
     x /= np.linalg.norm(x, axis=1)[:, None]
-    df = spark.createDataFrame([(0, i, 1 + i % 3, bytearray(v.tobytes())) for i, v in enumerate(x)], "cluster long, vec_id long, n long, vec binary")
-    got = {r["vec_id"]: r["links"] for r in vector_dup.count_links(df, 0.97, block).collect()}
+    df = spark.createDataFrame([(0, i, 1 + i % 3, bytearray(v.tobytes())) for i, v in enumerate(x)], "cluster long, node long, n long, vec binary")
+    got = {r["node"]: r["links"] for r in vector_dup.count_links(df, 0.97, block).collect()}
     link = (x @ x.T >= 0.97) & ~np.eye(30, dtype=bool)
     n = np.array([1 + i % 3 for i in range(30)])
     assert got == {i: int((link[i] * n).sum()) for i in range(30)}
