@@ -67,10 +67,10 @@ def choose_setting(curve: DataFrame, audit: DataFrame, unit: str, setting: str,
     return best.select(unit, setting).join(audit, [unit, setting]).join(edge, unit).withColumn("at_edge", (F.col(setting) == F.col("__lo")) | (F.col(setting) == F.col("__hi"))).drop("__lo", "__hi")
 
 
-def year_effects(diffs: DataFrame, dataset: str, period: str, group: str, diff: str = "diff", b: int = 200, seed: str = "k7") -> DataFrame:
-    """K7: mean difference and bootstrap SE by dataset and period, SEs floored."""
-    e = inference.bootstrap_mean(diffs, [dataset, period], group, diff, b, seed).select(dataset, period, "d", F.coalesce("se", F.lit(0.0)).alias("se"), "n_env")
-    return inference.floor_se(e, dataset)
+def year_effects(diffs: DataFrame, dataset: str, period: str, group: str, diff: str = "diff", b: int = 2000, seed="k7", over: tuple[str, ...] = ()) -> DataFrame:
+    """K7: mean difference and bootstrap SE by dataset and period (and ``over``, each with its own floor), SEs floored."""
+    e = inference.bootstrap_mean(diffs, [*over, dataset, period], group, diff, b, seed, [dataset, period])
+    return inference.floor_se(e.select(*over, dataset, period, "d", F.coalesce("se", F.lit(0.0)).alias("se"), "n_env"), dataset, over=over)
 
 
 def check_submission(sub: DataFrame, required: list[str], keys: list[str], known: DataFrame, dataset: str) -> DataFrame:
@@ -84,22 +84,20 @@ def check_submission(sub: DataFrame, required: list[str], keys: list[str], known
     return empty.crossJoin(F.broadcast(dup)).crossJoin(F.broadcast(unknown))  # one row each
 
 
-def score_submission(pred: DataFrame, dataset: str, period: str, group: str, entity: str, value: str, one: str, other: str, least: int = 25, b: int = 200, seed: str = "k8") -> DataFrame:
+def score_submission(pred: DataFrame, dataset: str, period: str, group: str, entity: str, value: str, one: str, other: str, least: int = 25, b: int = 2000, seed: str = "k8") -> DataFrame:
     """K8: the benchmark's report: per-group metric differences, period effects, floored SEs, pooling, threshold, verdict.
 
-    One shuffle by group for the metrics and one by period for the bootstrap; the rest are rows by the dozen.
+    One shuffle by group for the metrics and one by metric and period for the bootstrap of all of them; the rest are rows by the dozen.
     """
     both = pred.unpivot([dataset, period, group, entity, value], [one, other], "method", "score")
     per = metrics.group_metrics(both, ["method", dataset, period, group], entity, value, "score", least)
+    long = per.unpivot(["method", dataset, period, group], ["spearman", "sel_diff"], "metric", "v")
+    diff = metrics.contrast(long, ["metric", dataset, period, group], "method", one, other, "v")
+    effects = year_effects(diff, dataset, period, group, "diff", b, F.concat(F.lit(seed), "metric"), ("metric",))
     cells = pred.filter(F.col(value).isNotNull()).groupBy(dataset).agg(F.count(F.lit(1)).alias("n_cells"))
-    out = None
-    for m in ("spearman", "sel_diff"):
-        diff = metrics.contrast(per, [dataset, period, group], "method", one, other, m)
-        pooled = inference.dersimonian_laird(year_effects(diff, dataset, period, group, "diff", b, seed + m), [dataset]).join(cells, dataset)
-        row = pooled.select(F.lit(m).alias("metric"), dataset, "k", "est", "pooled_se", "lo", "hi", "tau2", inference.resolution(F.col("n_cells")).alias("resolution"))
-        row = row.withColumn("verdict", inference.verdict(F.col("est"), F.col("lo"), F.col("hi"), F.col("resolution")))
-        out = row if out is None else out.unionByName(row)
-    return out
+    pooled = inference.dersimonian_laird(effects, ["metric", dataset]).join(cells, dataset)
+    rows = pooled.select("metric", dataset, "k", "est", "pooled_se", "lo", "hi", "tau2", inference.resolution(F.col("n_cells")).alias("resolution"))
+    return rows.withColumn("verdict", inference.verdict(F.col("est"), F.col("lo"), F.col("hi"), F.col("resolution")))
 
 
 def scrambled(df: DataFrame, period: str, from_period: int, value: str, *key: Column) -> DataFrame:

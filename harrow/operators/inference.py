@@ -22,42 +22,79 @@ def reps(df: DataFrame, b: int) -> DataFrame:
     return df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
 
 
-def bootstrap_draws(units: DataFrame, strata: list[str], unit: str, b: int, seed: str) -> DataFrame:
-    """Resampled rows: for each stratum of n units and each replicate n draws with replacement."""
-    w = Window.partitionBy(*strata)
-    numbered = units.withColumns({"__i": F.row_number().over(w.orderBy(unit)) - 1, "__n": F.count(F.lit(1)).over(w)})
-    slots = reps(numbered.select(*strata, F.col("__i").alias("__slot"), "__n"), b)
-    key = [F.col(s) for s in strata]
-    picked = slots.withColumn("__i", draw(F.col("__n"), seed, *key, F.col("rep"), F.col("__slot")).cast("int")).select(*strata, "rep", "__slot", "__i")
-    return picked.join(numbered.drop("__n"), [*strata, "__i"]).drop("__i", "__slot")
+def once(value: Column, f) -> Column:
+    """f of a value that is worked out once: a lambda variable holds it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def bootstrap_mean(units: DataFrame, by: list[str], unit: str, value: str, b: int = 2000, seed: str = "boot") -> DataFrame:
+def dealt_reps(packed: DataFrame, keys: list[str], b: int, per: int = 50) -> DataFrame:
+    """Each row of ``packed`` with each replicate number, ``per`` replicates to a task's row: few rows are dealt to many tasks."""
+    chunks = packed.withColumn("__c", F.explode(F.sequence(F.lit(0), F.lit((b - 1) // per))))
+    chunks = chunks.repartition(int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "__c")
+    return chunks.withColumn("rep", F.explode(F.sequence(F.col("__c") * per, F.least((F.col("__c") + 1) * per, F.lit(b)) - 1))).drop("__c")
+
+
+def _picked(units: DataFrame, strata: list[str], unit: str, columns: list[str], b: int, seed: str | Column, key: list[str] | None) -> tuple[DataFrame, Column]:
+    """(strata, rep) with the stratum's units as one array, and the array of its draws: the md5 of seed, ``key`` (the strata), replicate and place picks each."""
+    packed = units.groupBy(*strata).agg(F.sort_array(F.collect_list(F.struct(unit, *(c for c in columns if c != unit)))).alias("__u"))
+    packed = packed.withColumn("__u", F.transform("__u", lambda x: F.struct(*(x[c].alias(c) for c in columns)))) if unit not in columns else packed
+    names = [F.col(s) for s in (strata if key is None else key)]
+    n = F.size("__u")
+    at = lambda slot: (draw(n, seed, *names, F.col("rep"), slot) + 1).cast("int")
+    return dealt_reps(packed, strata, b), F.transform(F.sequence(F.lit(0), n - 1), lambda slot: F.element_at("__u", at(slot)))
+
+
+def bootstrap_draws(units: DataFrame, strata: list[str], unit: str, b: int, seed: str | Column, key: list[str] | None = None) -> DataFrame:
+    """Resampled rows: for each stratum of n units and each replicate n draws with replacement.
+
+    A stratum's units (groups or entities of a trial, not records) are one array, and a replicate picks from it: there
+    is no join of draws, and rows of one replicate come out of one task next to each other, so that what sums them is
+    combined before any shuffle.
+    """
+    columns = [unit, *(c for c in units.columns if c not in strata and c != unit)]
+    many, picked = _picked(units, strata, unit, columns, b, seed, key)
+    return many.select(*strata, "rep", F.explode(picked).alias("__x")).select(*strata, "rep", "__x.*")
+
+
+def bootstrap_sums(units: DataFrame, strata: list[str], unit: str, value: str, b: int, seed: str | Column, key: list[str] | None = None) -> DataFrame:
+    """(strata, rep, s, n): sum and number of the drawn values of each replicate, summed where they are drawn."""
+    many, picked = _picked(units.filter(F.col(value).isNotNull()), strata, unit, [value], b, seed, key)
+    return many.select(*strata, "rep", F.aggregate(picked, F.lit(0.0), lambda t, x: t + x[value].cast("double")).alias("s"), F.size("__u").alias("n"))
+
+
+def bootstrap_mean(units: DataFrame, by: list[str], unit: str, value: str, b: int = 2000, seed: str | Column = "boot", key: list[str] | None = None) -> DataFrame:
     """Mean, bootstrap SE and 95 % interval of the mean over units."""
-    d = units.filter(F.col(value).isNotNull())
-    means = bootstrap_draws(d, by, unit, b, seed).groupBy(*by, "rep").agg(F.avg(value).alias("__m"))
+    d = units.filter(F.col(value).isNotNull()).select(*by, unit, value)
+    means = bootstrap_sums(d, by, unit, value, b, seed, key).withColumn("__m", F.col("s") / F.col("n"))
     spread = means.groupBy(*by).agg(F.stddev_samp("__m").alias("se"), F.percentile("__m", F.lit(0.025)).alias("lo"), F.percentile("__m", F.lit(0.975)).alias("hi"))
     return d.groupBy(*by).agg(F.avg(value).alias("d"), F.count(F.lit(1)).alias("n_env")).join(spread, by)
 
 
 def clustered_bootstrap(units: DataFrame, cluster: str, unit: str, value: str, b: int, seed: str) -> DataFrame:
-    """Periods are drawn first, then the units inside each drawn period; SE and interval of the mean."""
-    clusters = units.select(cluster).distinct()
-    n = clusters.agg(F.count(F.lit(1)).alias("__k"))
-    numbered = clusters.withColumn("__c", F.row_number().over(Window.orderBy(cluster)) - 1).crossJoin(F.broadcast(n))  # periods: a short list
-    slots = reps(numbered.select(F.col("__c").alias("__slot"), "__k"), b)
-    drawn = slots.withColumn("__c", draw(F.col("__k"), seed, F.col("rep"), F.col("__slot")).cast("int")).join(F.broadcast(numbered.select("__c", cluster)), "__c").select("rep", "__slot", cluster)
-    w = Window.partitionBy(cluster)
-    inside = units.withColumns({"__i": F.row_number().over(w.orderBy(unit)) - 1, "__n": F.count(F.lit(1)).over(w)}).select(cluster, "__i", "__n", value)
-    seats = drawn.join(inside.select(cluster, F.col("__i").alias("__seat"), "__n"), cluster)
-    picks = seats.withColumn("__i", draw(F.col("__n"), seed, F.col("rep"), F.col("__slot"), F.col("__seat")).cast("int"))
-    means = picks.join(inside.drop("__n"), [cluster, "__i"]).groupBy("rep").agg(F.avg(value).alias("__m"))
+    """Periods are drawn first, then the units inside each drawn period; SE and interval of the mean.
+
+    The units of all periods are one row of nested arrays, dealt to tasks by replicate.
+    """
+    per = units.groupBy(cluster).agg(F.sort_array(F.collect_list(F.struct(unit, value))).alias("u"))
+    packed = per.agg(F.sort_array(F.collect_list(F.struct(cluster, "u"))).alias("__p")).filter(F.size("__p") > 0)
+    k = F.size("__p")
+
+    def seats(total: Column, slot: Column, drawn: Column) -> Column:
+        def add(t: Column, seat: Column) -> Column:
+            x = F.element_at(drawn, (draw(F.size(drawn), seed, F.col("rep"), slot, seat) + 1).cast("int"))[value].cast("double")
+            return F.struct((t["s"] + F.coalesce(x, F.lit(0.0))).alias("s"), (t["n"] + x.isNotNull().cast("long")).alias("n"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(drawn) - 1), total, add)
+
+    sums = F.aggregate(F.sequence(F.lit(0), k - 1), F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n")), lambda total, slot: once(
+        F.element_at("__p", (draw(k, seed, F.col("rep"), slot) + 1).cast("int"))["u"], lambda drawn: seats(total, slot, drawn)))
+    means = dealt_reps(packed, [], b).select(sums.alias("__t")).select(F.try_divide("__t.s", "__t.n").alias("__m"))
     return means.agg(F.avg("__m").alias("mean"), F.stddev_samp("__m").alias("se"), F.percentile("__m", F.lit(0.025)).alias("lo"), F.percentile("__m", F.lit(0.975)).alias("hi"))
 
 
 def stratified_mean(units: DataFrame, stratum: str, unit: str, value: str, b: int, seed: str) -> DataFrame:
     """I4: units are drawn within strata; mean over all drawn units."""
-    means = bootstrap_draws(units, [stratum], unit, b, seed).groupBy("rep").agg(F.avg(value).alias("__m"))
+    means = bootstrap_sums(units, [stratum], unit, value, b, seed).groupBy("rep").agg((F.sum("s") / F.sum("n")).alias("__m"))
     return means.agg(F.avg("__m").alias("mean"), F.stddev_samp("__m").alias("se"), F.percentile("__m", F.lit(0.025)).alias("lo"), F.percentile("__m", F.lit(0.975)).alias("hi"))
 
 
@@ -110,13 +147,17 @@ def pooled_r_bootstrap(pred: DataFrame, group: str, value: str, score: str, b: i
 
 
 def permutation_test(df: DataFrame, stratum: str, tie: str, x: str, y: str, b: int, seed: str) -> DataFrame:
-    """Rank correlation and its permutation p-value, y dealt anew within strata in each replicate."""
+    """Rank correlation and its permutation p-value, y dealt anew within strata in each replicate.
+
+    A stratum is one array in the order of ``tie``; a replicate sorts its copy by md5 and sums products with it. Only
+    sums by stratum and replicate leave a task.
+    """
     d = df.select(stratum, tie, x, y).withColumns({"__rx": midrank(x, stratum), "__ry": midrank(y, stratum)})
-    d = d.withColumn("__rn", F.row_number().over(Window.partitionBy(stratum).orderBy(tie)))
-    many = reps(d, b)
-    order = F.md5(F.concat_ws("|", F.lit(seed), F.col("rep").cast("string"), F.col(stratum).cast("string"), F.col(tie).cast("string")))
-    dealt = many.withColumn("__o", order).withColumn("__rn", F.row_number().over(Window.partitionBy("rep", stratum).orderBy("__o", tie))).select("rep", stratum, "__rn", F.col("__ry").alias("__py"))
-    per = many.join(dealt, ["rep", stratum, "__rn"]).groupBy("rep").agg(pearson("__rx", "__py").alias("__r"))
+    packed = moments(d, [stratum], "__rx", "__ry").join(d.groupBy(stratum).agg(F.sort_array(F.collect_list(F.struct(tie, "__rx", "__ry"))).alias("__u")), stratum)
+    dealt = F.sort_array(F.transform("__u", lambda u: F.struct(
+        F.md5(F.concat_ws("|", F.lit(seed), F.col("rep").cast("string"), F.col(stratum).cast("string"), u[tie].cast("string"))).alias("o"), u[tie].alias("t"), u["__ry"].alias("y"))))
+    products = F.aggregate(F.zip_with("__u", dealt, lambda u, v: u["__rx"] * v["y"]), F.lit(0.0), lambda t, p: t + p)
+    per = dealt_reps(packed, [stratum], b).withColumn("sxy", products).groupBy("rep").agg(r_of_moments().alias("__r"))
     true = d.agg(pearson("__rx", "__ry").alias("r"))
     return per.crossJoin(F.broadcast(true)).groupBy("r").agg(((1 + F.count_if(F.abs("__r") >= F.abs("r") - 1e-12)) / (b + 1)).alias("p"))
 
@@ -138,12 +179,13 @@ def expected_maximum(table: DataFrame, unit: str, method: str, value: str, b: in
     return means.groupBy("rep").agg(F.max("__m").alias("__x")).agg(F.avg("__x").alias("null_max"))
 
 
-def floor_se(ye: DataFrame, dataset: str, se: str = "se", zero_only: bool = False) -> DataFrame:
-    """SE not below the dataset's median positive SE, else the overall one. I13 (``zero_only``): only SEs of zero are raised."""
+def floor_se(ye: DataFrame, dataset: str, se: str = "se", zero_only: bool = False, over: tuple[str, ...] = ()) -> DataFrame:
+    """SE not below the dataset's median positive SE, else the overall one (of each ``over``). I13 (``zero_only``): only SEs of zero are raised."""
     positive = F.when(F.col(se) > 1e-12, F.col(se))
-    own = F.percentile(positive, F.lit(0.5)).over(Window.partitionBy(dataset))
-    every = ye.agg(F.percentile(positive, F.lit(0.5)).alias("__every"))
-    d = ye.withColumn("__own", own).crossJoin(F.broadcast(every))
+    own = F.percentile(positive, F.lit(0.5)).over(Window.partitionBy(*over, dataset))
+    every = ye.groupBy(*over).agg(F.percentile(positive, F.lit(0.5)).alias("__every"))
+    d = ye.withColumn("__own", own)
+    d = d.join(F.broadcast(every), list(over)) if over else d.crossJoin(F.broadcast(every))  # one row for each of ``over``
     low = F.coalesce("__own", "__every")
     new = F.when(F.col(se) <= 1e-12, low).otherwise(F.col(se)) if zero_only else F.greatest(F.col(se), low)
     return d.withColumns({"se_zero": F.col(se) <= 1e-12, se: F.coalesce(new, F.col(se))}).drop("__own", "__every")

@@ -59,7 +59,7 @@ WITH n AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY day) AS i
 k AS (SELECT *, max(CASE WHEN v IS NOT NULL THEN i END) OVER (PARTITION BY group_id ORDER BY i) AS ia,
   min(CASE WHEN v IS NOT NULL THEN i END) OVER (PARTITION BY group_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ib FROM n)
 SELECT k.group_id, k.day, k.v, round(CASE WHEN k.v IS NOT NULL THEN k.v WHEN k.i - k.ia <= 3 THEN a.v + (b.v - a.v) * ((k.i - k.ia)::DOUBLE / (k.ib - k.ia)) END, 6) AS filled
-FROM k LEFT JOIN n a ON a.group_id = k.group_id AND a.i = k.ia LEFT JOIN n b ON b.group_id = k.group_id AND b.i = k.ib""")
+FROM k LEFT JOIN n a ON a.group_id = k.group_id AND a.i = k.ia LEFT JOIN n b ON b.group_id = k.group_id AND b.i = k.ib""", ("v",))
 def _(t):
     return windows.fill_gaps(t.gaps, "v", "day", "group_id").withColumn("filled", r6("filled"))
 
@@ -90,7 +90,7 @@ def _(t):
 @query("w11_shuffled", """
 WITH a AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY entity) AS rn FROM cells),
 b AS (SELECT group_id, value, row_number() OVER (PARTITION BY group_id ORDER BY md5('s1|' || group_id || '|' || entity), entity) AS rn FROM cells)
-SELECT a.group_id, a.entity, a.value, b.value AS value_shuffled FROM a JOIN b USING (group_id, rn)""")
+SELECT a.group_id, a.entity, a.value, b.value AS value_shuffled FROM a JOIN b USING (group_id, rn)""", ("value", "value_shuffled"))
 def _(t):
     return windows.shuffled(t.cells, "value", "entity", "group_id", "s1").select("group_id", "entity", "value", "value_shuffled")
 
@@ -231,7 +231,7 @@ def _(t):
 # Aggregations
 
 
-@query("d1_cell_means", "SELECT group_id, entity, value, n_plots FROM cells")
+@query("d1_cell_means", "SELECT group_id, entity, value, n_plots FROM cells", ("value",))
 def _(t):
     return t.cells.select("group_id", "entity", "value", "n_plots")
 
@@ -274,7 +274,7 @@ def _(t):
 @query("d7_old_entity_targets", """
 WITH f AS (SELECT entity, min(period) AS fp FROM cells GROUP BY entity), o AS (SELECT c.* FROM cells c JOIN f USING (entity) WHERE c.period = 1998 AND fp < 1998),
 g AS (SELECT group_id FROM o GROUP BY group_id HAVING count(DISTINCT entity) >= 10)
-SELECT entity, group_id, value FROM o WHERE group_id IN (SELECT group_id FROM g) AND (SELECT count(*) FROM g) >= 5""")
+SELECT entity, group_id, value FROM o WHERE group_id IN (SELECT group_id FROM g) AND (SELECT count(*) FROM g) >= 5""", ("value",))
 def _(t):
     return aggs.old_entity_targets(t.cells, 1998, "group_id", "entity", "period", 10, 5).select("entity", "group_id", "value")
 
@@ -426,18 +426,18 @@ def _(t):
 
 @query("d31_append_period", """
 WITH u AS (SELECT group_id, entity, period, value FROM cells WHERE period < 2000 UNION ALL SELECT group_id, entity, period, value FROM cells WHERE period >= 1999)
-SELECT *, count(*) OVER (PARTITION BY group_id, entity) > 1 AS duplicate FROM u""")
+SELECT *, count(*) OVER (PARTITION BY group_id, entity) > 1 AS duplicate FROM u""", ("value",))
 def _(t):
     c = t.cells.select("group_id", "entity", "period", "value")
     return aggs.append_period(c.filter("period < 2000"), c.filter("period >= 1999"), ["group_id", "entity"])
 
 
 @query("d33_value_or", """
-SELECT c.group_id, c.entity, coalesce(p.score_a, c.value) AS value_out FROM cells c LEFT JOIN pred p ON p.group_id = c.group_id AND p.entity = c.entity""")
+SELECT c.group_id, c.entity, round(coalesce(p.score_a, c.value), 6) AS value_out FROM cells c LEFT JOIN pred p ON p.group_id = c.group_id AND p.entity = c.entity""")
 def _(t):
     adjusted = t.pred.select("group_id", "entity", F.col("score_a").alias("adj"))
     raw = t.cells.withColumn("adj", F.col("value"))
-    return aggs.value_or(adjusted, raw, ["group_id", "entity"], "adj", "value_out").select("group_id", "entity", "value_out")
+    return aggs.value_or(adjusted, raw, ["group_id", "entity"], "adj", "value_out").select("group_id", "entity", r6("value_out").alias("value_out"))
 
 
 @query("d34_centred_records", """
@@ -449,12 +449,12 @@ def _(t):
 # Joins
 
 
-@query("c1_keep", "SELECT group_id, entity, value FROM cells WHERE entity IN (SELECT p_partkey FROM part WHERE p_size > 25)")
+@query("c1_keep", "SELECT group_id, entity, value FROM cells WHERE entity IN (SELECT p_partkey FROM part WHERE p_size > 25)", ("value",))
 def _(t):
     return joins.keep(t.cells, t.table("part").filter("p_size > 25").select(F.col("p_partkey").alias("entity")), ["entity"]).select("group_id", "entity", "value")
 
 
-@query("c2_drop", "SELECT group_id, entity, value FROM cells WHERE period = 1998 AND entity NOT IN (SELECT entity FROM cells WHERE period < 1998)")
+@query("c2_drop", "SELECT group_id, entity, value FROM cells WHERE period = 1998 AND entity NOT IN (SELECT entity FROM cells WHERE period < 1998)", ("value",))
 def _(t):
     return joins.drop(t.cells.filter("period = 1998"), t.cells.filter("period < 1998"), ["entity"]).select("group_id", "entity", "value")
 
@@ -566,6 +566,6 @@ def _(t):
     return joins.modal(t.plots.select("location", F.col("quantity").cast("int").alias("q")), "location", "q")
 
 
-@query("c17_bind_late", "SELECT group_id, entity, score_a, value FROM pred")
+@query("c17_bind_late", "SELECT group_id, entity, round(score_a, 6) AS score_a, round(value, 6) AS value FROM pred")
 def _(t):
-    return joins.bind_late(t.pred.drop("value"), t.cells, ["group_id", "entity"], "value").select("group_id", "entity", "score_a", "value")
+    return joins.bind_late(t.pred.drop("value"), t.cells, ["group_id", "entity"], "value").select("group_id", "entity", r6("score_a").alias("score_a"), r6("value").alias("value"))

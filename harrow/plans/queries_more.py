@@ -11,7 +11,7 @@ from harrow.plans.queries_core import RANKED, corr_sql
 from harrow.plans.testbed import r6
 from harrow.sources import genotypes
 
-B = 100
+B = 2000  # replicates of the resampling queries
 MD5 = "('0x' || substr(md5({0}), 1, 8))::BIGINT"
 
 
@@ -77,13 +77,13 @@ def _(t):
     return d.select(*(r6(c).alias(c) for c in d.columns))
 
 
-@query("i6_rank_difference", f"""WITH p AS (SELECT * FROM pred WHERE location < 8), bn AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY entity) - 1 AS i, count(*) OVER (PARTITION BY group_id) AS n FROM p),
-bd AS (SELECT group_id, rep, i AS slot, {md5_sql("'i6'", 'group_id', 'rep', 'i')} % n AS i FROM bn, unnest(range(20)) AS q(rep)), x AS (SELECT group_id, rep, value, score_a, score_b FROM bd JOIN bn USING (group_id, i)),
+@query("i6_rank_difference", f"""WITH bn AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY entity) - 1 AS i, count(*) OVER (PARTITION BY group_id) AS n FROM pred),
+bd AS (SELECT group_id, rep, i AS slot, {md5_sql("'i6'", 'group_id', 'rep', 'i')} % n AS i FROM bn, unnest(range(200)) AS q(rep)), x AS (SELECT group_id, rep, value, score_a, score_b FROM bd JOIN bn USING (group_id, i)),
 k AS (SELECT group_id, rep, rank() OVER (PARTITION BY group_id, rep ORDER BY value) + (count(*) OVER (PARTITION BY group_id, rep, value) - 1) / 2.0::DOUBLE AS v,
   rank() OVER (PARTITION BY group_id, rep ORDER BY score_a) + (count(*) OVER (PARTITION BY group_id, rep, score_a) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY group_id, rep ORDER BY score_b) + (count(*) OVER (PARTITION BY group_id, rep, score_b) - 1) / 2.0::DOUBLE AS b FROM x),
 d AS (SELECT group_id, rep, {corr_sql('v', 'a')} - {corr_sql('v', 'b')} AS d FROM k GROUP BY ALL) SELECT group_id, round(avg(d), 6) AS mean, round(stddev_samp(d), 6) AS se FROM d GROUP BY group_id""")
 def _(t):
-    d = inference.bootstrap_rank_difference(t.pred.filter("location < 8"), ["group_id"], "entity", "value", "score_a", "score_b", 20, "i6")
+    d = inference.bootstrap_rank_difference(t.pred, ["group_id"], "entity", "value", "score_a", "score_b", 200, "i6")
     return d.select("group_id", r6("mean").alias("mean"), r6("se").alias("se"))
 
 
@@ -116,17 +116,17 @@ def long_scores(t):
     return a.join(b, "group_id").filter("a is not null and b is not null").unpivot(["group_id"], ["a", "b"], "method", "v")
 
 
-@query("i10_cross_fitted_best", f"""WITH {LONG_SQL}, h AS (SELECT rep, {md5_sql("'i10'", 'rep', 'group_id')} % 2 AS half, method, avg(v) AS m FROM lm, unnest(range(20)) AS q(rep) GROUP BY ALL),
+@query("i10_cross_fitted_best", f"""WITH {LONG_SQL}, h AS (SELECT rep, {md5_sql("'i10'", 'rep', 'group_id')} % 2 AS half, method, avg(v) AS m FROM lm, unnest(range(200)) AS q(rep) GROUP BY ALL),
 b AS (SELECT rep, 1 - half AS half, method FROM (SELECT *, row_number() OVER (PARTITION BY rep, half ORDER BY round(m, 9) DESC, method) AS k FROM h) WHERE k = 1) SELECT round(avg(m), 6) AS value, count(*) AS n FROM b JOIN h USING (rep, half, method)""")
 def _(t):
-    return inference.cross_fitted_best(long_scores(t), "group_id", "method", "v", 20, "i10").select(r6("value").alias("value"), "n")
+    return inference.cross_fitted_best(long_scores(t), "group_id", "method", "v", 200, "i10").select(r6("value").alias("value"), "n")
 
 
 @query("i11_expected_maximum", f"""WITH {LONG_SQL}, c AS (SELECT group_id, method, v - avg(v) OVER (PARTITION BY method) AS c FROM lm), u AS (SELECT group_id, row_number() OVER (ORDER BY group_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT group_id FROM lm)),
-w AS (SELECT rep, group_id, count(*) AS w FROM (SELECT rep, {md5_sql("'i11'", "'all'", 'rep', 'i')} % n AS i FROM u, unnest(range(40)) AS q(rep)) JOIN u USING (i) GROUP BY ALL),
+w AS (SELECT rep, group_id, count(*) AS w FROM (SELECT rep, {md5_sql("'i11'", "'all'", 'rep', 'i')} % n AS i FROM u, unnest(range({B})) AS q(rep)) JOIN u USING (i) GROUP BY ALL),
 m AS (SELECT rep, method, sum(c * w) / sum(w) AS m FROM c JOIN w USING (group_id) GROUP BY ALL) SELECT round(avg(x), 6) AS null_max FROM (SELECT rep, max(m) AS x FROM m GROUP BY rep)""")
 def _(t):
-    return inference.expected_maximum(long_scores(t), "group_id", "method", "v", 40, "i11").select(r6("null_max").alias("null_max"))
+    return inference.expected_maximum(long_scores(t), "group_id", "method", "v", B, "i11").select(r6("null_max").alias("null_max"))
 
 
 # Period effects by region: datasets of the pooling operators
@@ -218,7 +218,7 @@ pg AS (SELECT dataset, period, group_id, {corr_sql('rv', 'rs')} - {corr_sql('rv'
   (avg(value) FILTER (ps <= k) - avg(value) FILTER (pb <= k)) / stddev_samp(value) AS sd FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY score_b DESC, entity) AS pb FROM pd) GROUP BY ALL HAVING count(*) >= 25),
 d AS (SELECT 'spearman' AS metric, dataset, period, group_id, sp AS diff FROM pg WHERE sp IS NOT NULL UNION ALL SELECT 'sel_diff', dataset, period, group_id, sd FROM pg WHERE sd IS NOT NULL),
 bn AS (SELECT *, row_number() OVER (PARTITION BY metric, dataset, period ORDER BY group_id) - 1 AS i, count(*) OVER (PARTITION BY metric, dataset, period) AS n FROM d),
-bd AS (SELECT metric, dataset, period, rep, {md5_sql("'k8' || metric", 'dataset', 'period', 'rep', 'i')} % n AS i FROM bn, unnest(range(200)) AS q(rep)),
+bd AS (SELECT metric, dataset, period, rep, {md5_sql("'k8' || metric", 'dataset', 'period', 'rep', 'i')} % n AS i FROM bn, unnest(range({B})) AS q(rep)),
 bm AS (SELECT metric, dataset, period, rep, avg(diff) AS m FROM bd JOIN bn USING (metric, dataset, period, i) GROUP BY ALL), bs AS (SELECT metric, dataset, period, coalesce(stddev_samp(m), 0) AS se FROM bm GROUP BY ALL),
 ye AS (SELECT metric, dataset, period, avg(diff) AS d, any_value(se) AS se FROM d JOIN bs USING (metric, dataset, period) GROUP BY ALL),
 pos AS (SELECT metric, dataset, quantile_cont(se, 0.5) FILTER (se > 1e-12) AS med FROM ye GROUP BY ALL), alls AS (SELECT metric, quantile_cont(se, 0.5) FILTER (se > 1e-12) AS allmed FROM ye GROUP BY ALL),
@@ -232,7 +232,7 @@ SELECT metric, dataset, k, round(est, 6) AS est, round(pse, 6) AS pooled_se, rou
   CASE WHEN lo > 0 OR hi < 0 THEN (CASE WHEN abs(est) >= res THEN 'resolved' ELSE 'detectable' END) || (CASE WHEN est > 0 THEN ' gain' ELSE ' loss' END) ELSE 'tied' END AS verdict FROM v""")
 def k8_scorer(t):
     p = t.pred.withColumn("dataset", F.concat(F.lit("set"), (F.col("location") % 3).cast("string")))
-    d = ensemble.score_submission(p, "dataset", "period", "group_id", "entity", "value", "score_a", "score_b")
+    d = ensemble.score_submission(p, "dataset", "period", "group_id", "entity", "value", "score_a", "score_b", b=B)
     return d.select("metric", "dataset", "k", *(r6(c).alias(c) for c in ("est", "pooled_se", "lo", "hi", "tau2", "resolution")), "verdict")
 
 
@@ -519,10 +519,10 @@ def _(t):
     return features.flip_to(t.feats.select("entity", "feature", F.col("dosage").alias("v")), x, "entity", "feature", "v").select("entity", "feature", "v")
 
 
-@query("b17_b18_reshape", "SELECT group_id, entity, value, score_a FROM pred WHERE value IS NOT NULL")
+@query("b17_b18_reshape", "SELECT group_id, entity, round(value, 6) AS value, round(score_a, 6) AS score_a FROM pred WHERE value IS NOT NULL")
 def _(t):
     long = clean.melt(t.pred, ["group_id", "entity"], ["value", "score_a"])
-    return clean.widen(long, ["group_id", "entity"], "variable", "value", ["value", "score_a"])
+    return clean.widen(long, ["group_id", "entity"], "variable", "value", ["value", "score_a"]).select("group_id", "entity", r6("value").alias("value"), r6("score_a").alias("score_a"))
 
 
 @query("b19_maf", "SELECT feature, round(avg(d) / 2, 6) AS af, round(avg((d IS NOT NULL)::INT::DOUBLE), 6) AS call_rate FROM feats GROUP BY feature HAVING least(avg(d) / 2, 1 - avg(d) / 2) >= 0.05")
@@ -566,7 +566,7 @@ def _(t):
 
 
 @query("a20_replace_slice", """
-WITH n AS (SELECT group_id, entity, period, -value AS value FROM cells) SELECT group_id, entity, period, value FROM cells WHERE period <> 1999 UNION ALL SELECT * FROM n WHERE (group_id, entity) IN (SELECT (group_id, entity) FROM cells WHERE period = 1999)""")
+WITH n AS (SELECT group_id, entity, period, -value AS value FROM cells) SELECT group_id, entity, period, value FROM cells WHERE period <> 1999 UNION ALL SELECT * FROM n WHERE (group_id, entity) IN (SELECT (group_id, entity) FROM cells WHERE period = 1999)""", ("value",))
 def _(t):
     c = t.cells.select("group_id", "entity", "period", "value")
     return genotypes.replace_slice(c, c.withColumn("value", -F.col("value")), F.col("period") == 1999, ["group_id", "entity"])

@@ -8,7 +8,7 @@ from harrow.operators import aggs, ensemble, inference, joins, learners, metrics
 from harrow.plans import panels
 from harrow.plans.declare import query
 from harrow.plans.queries_core import RANKED, corr_sql
-from harrow.plans.queries_more import DIFFS_SQL, DL_SQL, YE_SQL, boot_sql, diffs, year_table
+from harrow.plans.queries_more import B, DIFFS_SQL, DL_SQL, YE_SQL, diffs, md5_sql, year_table
 from harrow.plans.testbed import r6
 
 PART = "p AS (SELECT p_partkey AS entity, p_size::DOUBLE AS f1, (p_retailprice / 100)::DOUBLE AS f2 FROM part)"
@@ -72,10 +72,14 @@ def _(t):
     return d.select("variant", "dataset", r6("est").alias("est"), r6("pooled_se").alias("pooled_se"), "k")
 
 
-@query("i23_seeds", f"""WITH {DIFFS_SQL}, {boot_sql('df', 'period', 'group_id', 'diff', 'sa', 50, 'x')}, {boot_sql('df', 'period', 'group_id', 'diff', 'sb', 50, 'y')},
-u AS (SELECT period, stddev_samp(m) AS se FROM xbm GROUP BY period UNION ALL SELECT period, stddev_samp(m) FROM ybm GROUP BY period) SELECT period, round(min(se), 6) AS lowest, round(max(se), 6) AS highest, count(*) AS seeds FROM u GROUP BY period""")
+SEEDS = [f"s{k}" for k in range(20)]
+
+
+@query("i23_seeds", f"""WITH {DIFFS_SQL}, bn AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY group_id) - 1 AS i, count(*) OVER (PARTITION BY period) AS n FROM df),
+bd AS (SELECT seed, period, rep, {md5_sql("'s' || seed", 'period', 'rep', 'i')} % n AS i FROM bn, unnest(range({B})) AS q(rep), unnest(range(20)) AS s(seed)), bm AS (SELECT seed, period, rep, avg(diff) AS m FROM bd JOIN bn USING (period, i) GROUP BY ALL),
+u AS (SELECT seed, period, stddev_samp(m) AS se FROM bm GROUP BY ALL) SELECT period, round(min(se), 6) AS lowest, round(max(se), 6) AS highest, count(*) AS seeds FROM u GROUP BY period""")
 def _(t):
-    d = panels.seeds(diffs(t), ["period"], "group_id", "diff", 50, ["sa", "sb"])
+    d = panels.seeds(diffs(t), ["period"], "group_id", "diff", B, SEEDS)
     return d.select("period", r6("lowest").alias("lowest"), r6("highest").alias("highest"), "seeds")
 
 
@@ -212,6 +216,7 @@ def _(t):
     return panels.top_rows(t.cells, ["location"], [F.col("value").desc(), F.col("group_id"), F.col("entity")], 3).select("location", "group_id", "entity")
 
 
-@query("o4_union_by_name", "SELECT group_id, value, NULL::DOUBLE AS score_a FROM cells WHERE period = 1995 UNION ALL SELECT group_id, value, score_a FROM pred WHERE period = 1997")
+@query("o4_union_by_name", "SELECT group_id, round(value, 6) AS value, NULL::DOUBLE AS score_a FROM cells WHERE period = 1995 UNION ALL SELECT group_id, round(value, 6), round(score_a, 6) FROM pred WHERE period = 1997")
 def _(t):
-    return t.cells.filter("period = 1995").select("group_id", "value").unionByName(t.pred.filter("period = 1997").select("group_id", "value", "score_a"), allowMissingColumns=True)
+    return t.cells.filter("period = 1995").select("group_id", r6("value").alias("value")).unionByName(
+        t.pred.filter("period = 1997").select("group_id", r6("value").alias("value"), r6("score_a").alias("score_a")), allowMissingColumns=True)

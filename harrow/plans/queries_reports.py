@@ -118,7 +118,7 @@ def _(t):
     return ensemble.seed_average(c, ["entity"], "cum").select("entity", F.round("cum", 5).alias("target"), F.col("n_seeds").alias("n"))
 
 
-@query("k7_year_effects", f"""WITH {DIFFS_SQL}, du AS (SELECT 'set' AS dataset, period, group_id, diff FROM df), {boot_sql('du', 'dataset, period', 'group_id', 'diff', 'k7', 200)},
+@query("k7_year_effects", f"""WITH {DIFFS_SQL}, du AS (SELECT 'set' AS dataset, period, group_id, diff FROM df), {boot_sql('du', 'dataset, period', 'group_id', 'diff', 'k7')},
 s AS (SELECT dataset, period, coalesce(stddev_samp(m), 0) AS se FROM bm GROUP BY ALL), d AS (SELECT dataset, period, avg(diff) AS d, count(*) AS n_env FROM du GROUP BY ALL), p AS (SELECT quantile_cont(se, 0.5) FILTER (se > 1e-12) AS med FROM s)
 SELECT dataset, period, round(d, 6) AS d, n_env, round(greatest(se, med), 6) AS se, se <= 1e-12 AS se_zero FROM d JOIN s USING (dataset, period), p""")
 def _(t):
