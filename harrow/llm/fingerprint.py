@@ -11,7 +11,7 @@ The next document's text comes from a window over ranges of doc_id: approximate
 about equal size, and the first document of each range is sent to the range before it as well. No sort of the whole.
 
 Defined cases: null and empty texts are the same empty set, alike with likeness 1; texts without words but with white
-space have digests too; a null doc_id comes first in the order; rows that share a doc_id are ordered by text; a
+space have digests too; a null doc_id comes first in the order; rows that share a doc_id are ordered by a hash of the text; a
 single document is its own next one; an empty table gives an empty result; other columns are left out of the work.
 """
 
@@ -25,7 +25,8 @@ from harrow.llm.shared import partitions, read, staged
 PIECE, LONG = 64, 512
 #: The next PIECE words of a long line with the white space around them.
 PIECES = rf"[ \t\x0B\f\r]*+(?:[^\x20\x09-\x0D]++[ \t\x0B\f\r]*+){{1,{PIECE}}}+|[ \t\x0B\f\r]++"
-FIRST, GROW = 8, 2  # cells of a table at first; factor for each retry
+FIRST, GROW, LAST = 8, 2, 2048  # cells of a table at first; factor for each retry; cells at most
+WIDE, PART = 128, 64  # cells from which a pair is taken in parts; digests of a part
 
 
 def digests(text: Column) -> Column:
@@ -121,9 +122,10 @@ def wanted_size(left: Column, right: Column, surplus: Column, size: int) -> Colu
 def differing(rows: DataFrame, left: str, rights: dict[str, str], print_too: tuple[str, ...] = ()) -> DataFrame:
     """``rows`` plus, for each name in ``rights``, the digests on one side only of the digest arrays ``left`` and that one.
 
-    ``sketch_<column>`` holds the sketches of the first size. The first job estimates from them the size each pair wants
-    and peels what is small enough. The next jobs, each with tables ``GROW`` times as large, take the rows whose pairs
-    want their size or failed at a smaller one, until none is left; what succeeds stays in the written table of its job.
+    The first job estimates from the sketches of the first size the size each pair wants, and peels what is small enough.
+    The next jobs, each with tables ``GROW`` times as large, take the rows whose pairs want their size or failed at a
+    smaller one; what succeeds stays in the written table of its job. Pairs that want more than ``WIDE`` cells are taken
+    in parts. What is not peeled with ``LAST`` cells, as good as never anything, is compared digest by digest.
     """
     kept, size = rows.columns, FIRST
     missing = F.lit(False)
@@ -135,21 +137,43 @@ def differing(rows: DataFrame, left: str, rights: dict[str, str], print_too: tup
     first = sized.select(*kept, printed(F.col(f"sketch_{left}")).alias(f"printed_{left}"), *(printed(F.col(f"sketch_{c}")).alias(f"printed_{c}") for c in print_too),
                          *(F.when(F.col(f"{n}_size") <= size, peeled(F.col(f"sketch_{left}"), F.col(f"sketch_{c}"), size)).alias(n) for n, c in rights.items()), *(f"{n}_size" for n in rights))
     kept = [c for c in first.columns if c not in rights and c not in {f"{n}_size" for n in rights}]
-    tried, done = staged(first, f"fingerprint-{size}"), []
-    while True:
-        done.append(tried.filter(~missing).select(*kept, *rights))
-        todo = tried.filter(missing)
-        if todo.isEmpty():
-            break
+    tried = staged(first, f"fingerprint-{size}")
+    done, todo = [tried.filter(~missing).select(*kept, *rights)], tried.filter(missing)
+    wide = F.greatest(*(F.when(F.col(n).isNull(), F.col(f"{n}_size")).otherwise(F.lit(0.0)) for n in rights), F.lit(0.0)) > WIDE
+    if not (far := todo.filter(wide)).isEmpty():
+        done.append(_in_parts(far, left, rights).select(*kept, *rights))
+        todo = todo.filter(~wide)
+    while size < LAST and not todo.isEmpty():
         size *= GROW
         again = (F.when(F.col(n).isNotNull(), F.col(n)).when(F.col(f"{n}_size") <= size, peeled(cells(F.col(left), size), cells(F.col(c), size), size)).alias(n) for n, c in rights.items())
         tried = staged(todo.select(*kept, *again, *(f"{n}_size" for n in rights)), f"fingerprint-{size}")
+        done.append(tried.filter(~missing).select(*kept, *rights))
+        todo = tried.filter(missing)
+    done.append(todo.select(*kept, *(F.coalesce(F.col(n), F.concat(F.array_except(left, c), F.array_except(c, left))).alias(n) for n, c in rights.items())))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
     return out
 
 
+def _in_parts(rows: DataFrame, left: str, rights: dict[str, str]) -> DataFrame:
+    """``differing`` for pairs that differ much: their digests are dealt to parts of about PART each, by other bits than the
+    cells use, and the parts are sketched and peeled as rows of their own. So the work is linear in a text's paragraphs."""
+    rows = staged(rows.drop(*rights).withColumn("__id", F.monotonically_increasing_id()), "fingerprint-wide")  # written, so the numbers stay
+    columns = (left, *rights.values())
+    parts = F.greatest(F.ceil(F.greatest(*(F.array_size(c) for c in columns)) / PART), F.lit(1))
+
+    def tag(column: str, i: int) -> Column:
+        return F.transform(column, lambda d: F.struct(F.lit(i).alias("of"), d.alias("d")))
+
+    tagged = F.flatten(F.array(*(tag(c, i) for i, c in enumerate(columns))))
+    each = rows.select("__id", parts.alias("__n"), F.explode(tagged).alias("x")).select("__id", F.pmod(F.xxhash64("x.d"), "__n").alias("__part"), "x.of", "x.d")
+    sets = each.groupBy("__id", "__part").agg(*(F.collect_list(F.when(F.col("of") == i, F.col("d"))).alias(c) for i, c in enumerate(columns)))
+    found = differing(staged(sets, "fingerprint-parts"), left, rights)
+    found = found.groupBy("__id").agg(*(F.flatten(F.collect_list(n)).alias(n) for n in rights))
+    return rows.join(found, "__id").drop("__id")
+
+
 def likeness(left: Column, right: Column, difference: Column) -> Column:
     total = F.array_size(left) + F.array_size(right)
     return F.when(total == 0, F.lit(1.0)).otherwise((total - F.array_size(difference)) / (total + F.array_size(difference)))

@@ -274,6 +274,34 @@ def test_fingerprints(spark, docs):
     assert got[1]["d"] == [] and len(got[0]["d"]) == 50
 
 
+def test_fingerprints_of_long_texts_that_differ_much(spark):
+    import time
+
+    def run(n):
+        a, b = [f"line {i}" for i in range(n)], [f"line {i}" for i in range(n // 2, n + n // 2)]
+        df = spark.createDataFrame([(1, "\n".join(a), "\n".join(b)), (2, "x", "y")], "i int, l string, r string")
+        df = df.select("i", fingerprint.digests(F.col("l")).alias("own"), fingerprint.digests(F.col("r")).alias("other"))
+        began = time.time()
+        got = {r["i"]: r for r in fingerprint.differing(df, "own", {"d": "other"}).collect()}
+        for r in got.values():
+            assert sorted(r["d"]) == sorted(set(r["own"]) ^ set(r["other"]))
+        assert len(got) == 2 and len(got[1]["d"]) == 2 * (n // 2)
+        return time.time() - began
+
+    run(300)
+    assert run(16_000) < 4 * run(4_000) + 5
+    empty = spark.createDataFrame([], "i int, own array<long>, other array<long>")
+    assert fingerprint.differing(empty, "own", {"d": "other"}).count() == 0
+
+
+def parts_of(text):
+    """The paragraphs of a text: lines, those of 512 characters or more in pieces of 64 words with the white space around them."""
+    out = set()
+    for line in (text or "").split("\n") if text else []:
+        out.update([line] if len(line) < 512 else re.findall(r"[ \t\x0B\f\r]*(?:[^\x20\x09-\x0D]+[ \t\x0B\f\r]*){1,64}|[ \t\x0B\f\r]+", line))
+    return out
+
+
 def test_fingerprint_query(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
     got = {r["doc_id"]: r for r in registry.queries()["op6_fingerprint"](spark, DATA).collect()}
@@ -284,7 +312,9 @@ def test_fingerprint_query(spark):
         edited = d["text"][: n - n // 2] + docs[(k + 1) % len(docs)]["text"][: n // 2]
         r = got[d["doc_id"]]
         assert r["n_chars"] == n and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        sets = [parts_of(t) for t in (d["text"], edited, docs[(k + 1) % len(docs)]["text"])]
+        for name, other in (("near_edited", sets[1]), ("near_next", sets[2])):
+            assert abs(r[name] - (len(sets[0] & other) / len(sets[0] | other) if sets[0] | other else 1)) < 1e-9
         by_print.setdefault(d["text"], set()).add(r["fingerprint"])
     assert all(len(v) == 1 for v in by_print.values())
     assert sum(r["near_edited"] for r in got.values()) > 5 * sum(r["near_next"] for r in got.values())
