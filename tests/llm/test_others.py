@@ -67,11 +67,28 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <div class=related-posts>More</div><ul><li>a<li>b</ul><form>f</form><footer>foot</footer></article><section id="comments"><article class="comment"><p>First!</p></article></section></div><aside>side</aside><footer>&copy;</footer></body></html>"""
 
 
+def kept(page):
+    return [t for _, t, prior, _ in html_text.blocks(page) if not prior]
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<div>", "</section><div>", "<!", "<p <", "<a 'x>", "<b", "<li><p>x", "<script>"])
+def test_html_is_read_in_linear_time(piece):
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        html_text.blocks(piece * n)
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(40_000) < 12 * max(took(8_000), 0.02)
+
+
 def test_html_blocks():
-    assert [t for _, t in html_text.blocks(PAGE)] == ["Head & line", "One two three four", "Five six!", "a", "b"]
-    assert [t for _, t in html_text.blocks("plain &lt; text")] == ["plain < text"]
-    assert html_text.blocks("") == [] and html_text.blocks("<") == [("", "<")] and html_text.blocks("<!-- open") == []
-    assert [t for _, t in html_text.blocks("<main><p>in</p></main><p>out</p>")] == ["in"]
+    assert kept(PAGE) == ["Head & line", "One two three four", "Five six!", "a", "b"]
+    assert kept("plain &lt; text") == ["plain < text"]
+    assert html_text.blocks("") == [] and kept("<") == ["<"] and html_text.blocks("<!-- open") == []
+    assert kept("<main><p>in</p></main><p>out</p>") == ["in"]
     assert len(html_text.blocks("<p>x" * 20_000)) == 20_000
 
 
@@ -95,7 +112,7 @@ def test_style_tree_keeps_copies_and_own_text(spark):
 
 
 def test_noise_around_the_article():
-    of = lambda page: [t for _, t in html_text.blocks(page)]
+    of = kept
     assert of("<div class=has-sidebar><p>menu</p><main><p>in</p></main></div>") == ["in"]
     assert of("<form id=aspnetForm><p>top</p><article><p>in</p><form>f</form></article></form>") == ["in"]
     assert of("<div class=with-ads><article><p>the long article</p></article></div><p>short</p>") == ["the long article"]
@@ -103,6 +120,37 @@ def test_noise_around_the_article():
     assert of("<nav><article>a</article></nav><p>b</p>") == ["b"]
 
 
+def test_tree_alone_removes_menus_adverts_and_footers(spark):
+    """Ablation: without the prior, the tree takes what repeats out of the hosts with enough pages and leaves the articles."""
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url", "html")
+    got = {r["page_id"]: set(r["text"].split("\n\n")) for r in html_text.extract(pages, prior=False).collect()}
+    rows = pages.toPandas()
+    hosts = rows.url.str.extract(r"://([^/]*)")[0]
+    many = rows[hosts.map(hosts.value_counts()) >= 120]
+    left, of, own, whole = 0, 0, 0, 0
+    for i, page in zip(many.page_id, many.html):
+        for _, text, _, inside in html_text.blocks(page):
+            if inside:
+                own, whole = own + (text in got[i]), whole + 1
+            else:
+                left, of = left + (text in got[i]), of + 1
+    assert of > 2000 and left < 0.1 * of and own > 0.99 * whole, (left, of, own, whole)
+
+
+def test_other_templates(spark):
+    def page(i):
+        menu = "".join(f"<li><a href=/{k}>Section {k}</a>" for k in range(5))
+        body = "".join(f"<div class=txt>Paragraph {i} {k} of its own</div>" for k in range(1 + i % 7))
+        return f"<table><tr><td class=left><ul>{menu}</ul><td class=mid><h2>Story {i}</h2>{body}<tr><td class=low>All rights reserved</table>"
+
+    df = spark.createDataFrame([(i, f"http://t.com/{i}", page(i)) for i in range(60)], "page_id long, url string, html string")
+    for r in html_text.extract(df).collect():
+        i = r["page_id"]
+        assert r["text"] == "\n\n".join([f"Story {i}", *(f"Paragraph {i} {k} of its own" for k in range(1 + i % 7))]), r["text"]
+
+
 def test_html_query(spark):
     import html
     import re
