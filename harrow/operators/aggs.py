@@ -179,9 +179,10 @@ def gram_sums(wide: DataFrame, by: list[str], columns: list[str], target: str) -
 
 
 def without_group(sums: DataFrame, by: str) -> DataFrame:
-    """Total minus each group's sums."""
-    w = Window.partitionBy()
-    return sums.select(by, *((F.sum(c).over(w) - F.col(c)).alias(c) for c in sums.columns if c != by))
+    """Total minus each group's sums; the total is one row, broadcast to the groups."""
+    names = [c for c in sums.columns if c != by]
+    total = sums.agg(*(F.sum(c).alias(f"__all_{c}") for c in names))
+    return sums.crossJoin(F.broadcast(total)).select(by, *((F.col(f"__all_{c}") - F.col(c)).alias(c) for c in names))
 
 
 def incidence_weights(cells: DataFrame, group: str, entity: str) -> DataFrame:

@@ -70,8 +70,13 @@ def two_way_bootstrap(rows: DataFrame, group: str, entity: str, value: str, one:
     return per.groupBy("rep").agg((F.sum(F.col("__d") * w) / F.sum(w)).alias("__x")).agg(F.avg("__x").alias("mean"), F.stddev_samp("__x").alias("se"))
 
 
-def kernel_embedding(gram: DataFrame, k: int) -> DataFrame:
-    """(entity, component, x) with x x' near the kernel; for kernels of a few thousand entities, whose eigenvectors fit one machine."""
+def kernel_embedding(gram: DataFrame, k: int, most: int = 4000) -> DataFrame:
+    """(entity, component, x) with x x' near the kernel; for kernels of at most ``most`` entities, whose eigenvectors fit one machine.
+
+    The kernel's size is counted before it is collected; a larger one is an error (``features`` embed those by Nystrom projection).
+    """
+    if gram.count() > most * (most + 1) // 2:
+        raise ValueError(f"a kernel of more than {most} entities: embed a sample and project the others")
     rows = gram.select("i", "j", "k").collect()
     ids = sorted({r["i"] for r in rows} | {r["j"] for r in rows})
     at = {e: n for n, e in enumerate(ids)}
