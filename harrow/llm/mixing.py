@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from harrow.llm.shared import WORD, buckets_for, hash_bucket, hash_fraction, read
+from harrow.llm.shared import WORD, buckets_for, hash_bucket, hash_fraction, read, staged
 
 WEIGHTS = (5, 2, 1)
 
@@ -54,7 +54,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     cls = F.when(F.col("size") < 16, F.col("size")).otherwise(F.floor(F.log2(F.col("size").cast("double")) * 16)).cast("int")
     d = d.withColumn("cls", cls).withColumn("bucket", hash_bucket(buckets, F.lit(seed), F.col("doc_id")))
     cell = ["source", "cls", "bucket"]
-    counts = d.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+    counts = staged(d.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")), "mix-cells")  # read three times
     per_source = counts.groupBy("source").agg(F.sum("words").alias("source_size"))
     targets = source_targets(per_source, weights, share, max_repeats)
     before = Window.partitionBy("source").orderBy("cls").rowsBetween(Window.unboundedPreceding, -1)  # some 400 classes a source
