@@ -8,7 +8,8 @@ Documents are sets of distinct 5-word shingles (A-Z lower-cased); two are linked
 2. Documents with equal sets become one class by aggregation with map-side combine, so copies cost nothing later.
 3. Classes that share a band key are candidates. In a bucket, odd sketches are compared in place; a pair stays a
    candidate if its estimate is at least ``floor`` (0.5: six standard deviations below 0.75). A bucket gives a
-   spanning forest of its candidates, never its pairs; connected components make candidate clusters.
+   spanning forest of its candidates, never its pairs; connected components make candidate clusters. Large buckets
+   are dealt to blocks with pivots, as in 4, and only their members outside the largest component are compared with all.
 4. The texts of each cluster (those of candidates only) are compared on full sets. A cluster that fits one block is
    compared whole in one task. A larger one is dealt to blocks at random, and a few of its members, the pivots, go to all
    of them: what belongs together mostly comes together there. Its members outside the largest component found are then
@@ -35,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.llm.components import block_pairs, blocks_of, components, ties
+from harrow.llm.components import blocks_of, components, pivoted, ties
 from harrow.llm.shared import WORD, arrow_rows, partitions, read, staged
 from harrow.llm.words import Words, chunks, mix
 
@@ -164,20 +165,17 @@ def sketches(docs: DataFrame, bands: int = 30, rows: int = 4, k: int = 5) -> Dat
     return keyed(docs).mapInPandas(run, "doc_id long, th long, n_shingles long, d1 long, d2 long, keys array<long>, odd binary")
 
 
-def candidate_links(classes: DataFrame, bands: int = 30, rows: int = 4, floor: float = 0.5, block: int = 8192) -> DataFrame:
-    """Spanning forests (a, b) of the candidates of each bucket. ``classes``: node, keys, odd."""
-    spark, samples = classes.sparkSession, bands * rows
-    members = classes.select("node", F.posexplode("keys").alias("band", "key"))
-    members = members.select("node", F.xxhash64("band", "key").alias("bucket"))
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = members.join(sizes, "bucket").join(classes.select("node", "odd"), "node")
-    dealt = block_pairs(shared, blocks_of(F.col("n"), block), "node")
-    keys = ["bucket", "block_a", "block_b"]
-    dealt = dealt.select(*keys, "node", "odd").repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
+def bucket_links(dealt: DataFrame, keys: list[str], samples: int, floor: float) -> DataFrame:
+    """Spanning forests (a, b) of the candidates of each group, between parts: what is known to be linked has one part.
+
+    ``dealt``: keys, node, part, odd; a node may be twice in a group.
+    """
+    dealt = dealt.select(*keys, "node", "part", "odd").repartition(partitions(dealt.sparkSession), *keys).sortWithinPartitions(*keys)
 
     def run(batches):
         for g in _grouped(batches, keys):
-            cut, ids = bounds(g, keys), g["node"].to_numpy()
+            g = g.drop_duplicates([*keys, "node"])
+            cut, ids = bounds(g, keys), g["part"].to_numpy()
             odd = np.frombuffer(b"".join(g["odd"]), np.uint64).reshape(len(g), -1)
             size = np.diff(cut)
             two = cut[:-1][size == 2]
@@ -189,11 +187,40 @@ def candidate_links(classes: DataFrame, bands: int = 30, rows: int = 4, floor: f
                 a.append(np.array(x, np.int64))
                 b.append(np.array(y, np.int64))
             a, b = np.concatenate(a), np.concatenate(b)
-            yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+            yield pd.DataFrame({"a": a, "b": b})[a != b].drop_duplicates()
 
     return dealt.mapInPandas(run, "a long, b long")
 
 
+def candidate_links(classes: DataFrame, bands: int = 30, rows: int = 4, floor: float = 0.5, block: int = 8192) -> DataFrame:
+    """Links (a, b) with the components of all candidates of all buckets. ``classes``: node, keys, odd."""
+    samples, odd = bands * rows, classes.select("node", "odd")
+    members = classes.select("node", F.posexplode("keys").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sizes = staged(sizes.withColumn("blocks", blocks_of(F.col("n"), block).cast("int")), "near-buckets")
+    to = pivoted(F.col("n"), F.col("blocks"))
+    first = bucket_links(members.join(sizes, "bucket").withColumn("block", F.explode(to)).join(odd, "node").withColumn("part", F.col("node")), ["bucket", "block"], samples, floor)
+    first, large = staged(first, "near-candidates"), sizes.filter("blocks > 1").select("bucket")
+    if large.isEmpty():
+        return first
+    found = components(first, "near-candidate-parts")
+    stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    part = members.join(large, "bucket").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
+    part = staged(part, "near-bucket-parts")
+    each = part.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
+    main = each.groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).filter("most < all")
+    rights = blocks_of(F.col("all"), block).cast("int")
+    lefts = F.ceil(rights * (F.col("all") - F.col("most")) / F.col("all")).cast("int")  # as many rows to a block
+    deal = staged(main.select("bucket", "main", lefts.alias("lefts"), rights.alias("rights")), "near-bucket-loose")
+    if deal.isEmpty():
+        return stars
+    dealt = part.join(deal, "bucket")
+    left, right = F.pmod(F.xxhash64("node", F.lit(11)), F.col("lefts")).cast("int"), F.pmod(F.xxhash64("node", F.lit(13)), F.col("rights")).cast("int")
+    one = dealt.filter("part <> main").select("bucket", "node", "part", left.alias("left"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("right"))
+    two = dealt.select("bucket", "node", "part", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("left"), right.alias("right"))
+    return stars.unionByName(bucket_links(one.unionByName(two).join(odd, "node"), ["bucket", "left", "right"], samples, floor))
+
+
 def linked(i: int, others: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, postings: tuple, share: int) -> np.ndarray:
     """Which of ``others`` have 100 * intersection >= share * union with set i."""
     member, start, place = postings
@@ -238,9 +265,7 @@ def exact_links(texts: DataFrame, nodes: DataFrame, k: int = 5, share: int = 75,
     load = nodes.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("n"), F.greatest(F.ceil(F.sum("n_shingles") / block_shingles), F.ceil(F.count(F.lit(1)) / block)).cast("int").alias("blocks"))
     sized = texts.join(load, "cluster")
-    pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", F.lit(7)), F.col("n")) < F.greatest(F.col("n") / F.col("blocks") / 16, F.lit(1)))
-    last = F.col("blocks") - 1
-    to = F.when(pivot, F.sequence(F.lit(0), last)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    to = pivoted(F.col("n"), F.col("blocks"))
     first = staged(set_links(sized.withColumn("block", F.explode(to)), ["cluster", "block"], k, share), "near-links")
     large = staged(load.filter("blocks > 1"), "near-large")
     if large.isEmpty():
@@ -285,7 +310,7 @@ def groups(docs: DataFrame, bands: int = 30, rows: int = 4, k: int = 5, share: i
         distinct = every.filter("d1 is not null and doc_id is not null").groupBy("d1", "d2").agg(F.min_by(whole, F.struct("doc_id", "th")).alias("x"))
         classes = staged(distinct.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "x.*"), "near-classes")  # written, so the numbers stay
         with arrow_rows(spark, 20_000):
-            maybe = staged(candidate_links(classes, bands, rows, floor), "near-candidates")
+            maybe = staged(candidate_links(classes, bands, rows, floor), "near-candidate-links")
         clusters = components(maybe, "near-clusters").withColumnRenamed("component", "cluster")
         wanted = clusters.join(classes.select("node", "doc_id", "th", "n_shingles"), "node")
         texts = staged(keyed(docs).join(wanted, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("cluster", "node", "text"), "near-texts")

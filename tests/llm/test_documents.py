@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,6 +172,32 @@ def test_near_duplicates_of_many_edits_and_small_blocks(spark):
     assert [min(j for j in range(150) if again[j] == again[i]) for i in range(150)] == want
 
 
+def test_candidates_of_large_buckets_are_those_of_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for n, changed in ((300, 18), (70, 12), (2, 0), (45, None)):  # groups of near sketches, a pair, and sketches near to none
+        base = rng.integers(0, near_dup.ODD_BITS, 120)
+        for _ in range(n):
+            own = rng.integers(0, near_dup.ODD_BITS, 120) if changed is None else base.copy()
+            at = rng.choice(120, changed or 0, replace=False)
+            own[at] = rng.integers(0, near_dup.ODD_BITS, len(at))
+            bits = np.zeros(near_dup.ODD_BITS, np.uint8)
+            np.bitwise_xor.at(bits, own, 1)
+            rows.append(np.packbits(bits).tobytes())
+    order = rng.permutation(len(rows))
+    rows = [rows[i] for i in order]
+    sets = np.frombuffer(b"".join(rows), np.uint64).reshape(len(rows), -1)
+    near = np.array([near_dup.estimates(sets[i], sets, 120) >= 0.5 for i in range(len(rows))])
+    want = union_find(len(rows), [(int(a), int(b)) for a, b in np.argwhere(near) if a < b])
+    classes = spark.createDataFrame([(i, [1, 2 + i % 2], r) for i, r in enumerate(rows)], "node long, keys array<long>, odd binary")
+    links = [(r["a"], r["b"]) for r in near_dup.candidate_links(classes).collect()]
+    assert all(want[a] == want[b] for a, b in links)
+    got = union_find(len(rows), links)
+    first = lambda comp: [comp.index(c) for c in comp]
+    assert first(list(got)) == first(list(want))
+    assert len(set(got)) > 40 and len(links) < 2 * len(rows)
+
+
 def test_near_duplicates_of_shared_ids(spark):
     one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
     df = spark.createDataFrame([(1, one), (3, two), (7, one + " end"), (7, two + " end"), (7, None), (5, three), (5, three), (5, "other words of five here alone"), (None, one)], "doc_id long, text string")
