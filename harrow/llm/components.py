@@ -66,15 +66,6 @@ def blocks_of(n: Column, most: int, least: int = 128) -> Column:
     return F.ceil(n / F.least(F.lit(most), F.greatest(F.lit(least), 4 * F.sqrt(n))))
 
 
-def pivoted(n: Column, blocks: Column) -> Column:
-    """The blocks of a ``node`` of a group of ``n``: one by hash, or all if it is a pivot, about a sixteenth of a block's rows.
-
-    What belongs together mostly comes together in the blocks through the pivots; what does not has to be compared further.
-    """
-    pivot = (blocks > 1) & (F.pmod(F.xxhash64("node", F.lit(7)), n) < F.greatest(n / blocks / 16, F.lit(1)))
-    return F.when(pivot, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), blocks).cast("int")))
-
-
 def block_pairs(rows: DataFrame, blocks: Column, node: str) -> DataFrame:
     """``rows`` dealt to pairs of blocks of their group: columns block_a <= block_b; any two rows of a group meet in one.
 

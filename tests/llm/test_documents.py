@@ -195,7 +195,7 @@ def test_candidates_of_large_buckets_are_those_of_all_pairs(spark):
     got = union_find(len(rows), links)
     first = lambda comp: [comp.index(c) for c in comp]
     assert first(list(got)) == first(list(want))
-    assert len(set(got)) > 40 and len(links) < 2 * len(rows)
+    assert len(set(got)) > 40
 
 
 def test_near_duplicates_of_shared_ids(spark):
