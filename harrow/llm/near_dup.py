@@ -8,7 +8,8 @@ Documents are sets of distinct 5-word shingles (A-Z lower-cased); two are linked
 2. Documents with equal sets become one class by aggregation with map-side combine, so copies cost nothing later.
 3. Classes that share a band key are candidates. In a bucket, odd sketches are compared in place; a pair stays a
    candidate if its estimate is at least ``floor`` (0.5: six standard deviations below 0.75). A bucket gives a
-   spanning forest of its candidates, never its pairs; connected components make candidate clusters.
+   spanning forest of its candidates, never its pairs, and of that only links between members that share no key of an
+   earlier band: the bucket of that key connects the others. Connected components make candidate clusters.
 4. The texts of each cluster (those of candidates only) are compared on full sets. A cluster that fits one block is
    compared whole in one task. A larger one is dealt to blocks at random, and a few of its members, the pivots, go to all
    of them: what belongs together mostly comes together there. Its members outside the largest component found are then
@@ -119,27 +120,40 @@ def bounds(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
     return np.append(np.flatnonzero(new), len(frame))
 
 
-def forest(n: int, row, ids: np.ndarray) -> tuple[list, list]:
-    """Links from each member to the smallest id of its component. ``row(i, others)`` says which of ``others`` i is linked to."""
+def trees(n: int, row) -> Iterator[tuple[list, list]]:
+    """Members of each component and each one's parent in a spanning tree (the root's is itself). ``row(i, others)`` says which of ``others`` i is linked to."""
     left = np.arange(n)
-    a, b = [], []
     while len(left):
-        stack, members = [left[0]], [left[0]]
+        stack, members, parents = [left[0]], [left[0]], [left[0]]
         left = left[1:]
         while stack and len(left):
-            hit = row(stack.pop(), left)
+            i = stack.pop()
+            hit = row(i, left)
             found = left[hit]
             left = left[~hit]
             stack.extend(found)
             members.extend(found)
+            parents.extend([i] * len(found))
+        yield members, parents
+
+
+def forest(n: int, row, ids: np.ndarray) -> tuple[list, list]:
+    """Links from each member to the smallest id of its component."""
+    a, b = [], []
+    for members, _ in trees(n, row):
         if len(members) > 1:
             own = ids[members]
-            low = own.min()
             a.extend(own)
-            b.extend([low] * len(own))
+            b.extend([own.min()] * len(own))
     return a, b
 
 
+def met_before(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two lists of earlier bands' keys share one."""
+    m = min(len(x), len(y))
+    return bool((x[:m] == y[:m]).any())
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, th, text): th, a hash of the text, tells rows of one doc_id apart."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
@@ -165,31 +179,37 @@ def sketches(docs: DataFrame, bands: int = 30, rows: int = 4, k: int = 5) -> Dat
 
 
 def candidate_links(classes: DataFrame, bands: int = 30, rows: int = 4, floor: float = 0.5, block: int = 8192) -> DataFrame:
-    """Spanning forests (a, b) of the candidates of each bucket. ``classes``: node, keys, odd."""
+    """Links (a, b) that connect what the candidates of all buckets connect. ``classes``: node, keys, odd.
+
+    A link of a bucket's spanning forest is left out if its ends also share a key of an earlier band, or a block where
+    the bucket is compared in pairs of blocks: that bucket, or that block with itself, connects them.
+    """
     spark, samples = classes.sparkSession, bands * rows
     members = classes.select("node", F.posexplode("keys").alias("band", "key"))
-    members = members.select("node", F.xxhash64("band", "key").alias("bucket"))
+    members = members.select("node", "band", F.xxhash64("band", "key").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = members.join(sizes, "bucket").join(classes.select("node", "odd"), "node")
+    shared = members.join(sizes, "bucket").join(classes.select("node", "odd", "keys"), "node").withColumn("before", F.expr("slice(keys, 1, band)")).drop("keys")
     dealt = block_pairs(shared, blocks_of(F.col("n"), block), "node")
     keys = ["bucket", "block_a", "block_b"]
-    dealt = dealt.select(*keys, "node", "odd").repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
+    dealt = dealt.select(*keys, "block", "node", "odd", "before").repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
 
     def run(batches):
         for g in _grouped(batches, keys):
-            cut, ids = bounds(g, keys), g["node"].to_numpy()
+            cut, ids, before = bounds(g, keys), g["node"].to_numpy(), g["before"].to_numpy()
+            block, cross = g["block"].to_numpy(), (g["block_a"] != g["block_b"]).to_numpy()
             odd = np.frombuffer(b"".join(g["odd"]), np.uint64).reshape(len(g), -1)
             size = np.diff(cut)
             two = cut[:-1][size == 2]
             near = two[estimates(odd[two], odd[two + 1], samples) >= floor] if len(two) else two
-            a, b = [ids[near]], [ids[near + 1]]
+            a, b = list(near), list(near + 1)
             for lo, hi in zip(cut[:-1][size > 2], cut[1:][size > 2]):
                 o = odd[lo:hi]
-                x, y = forest(hi - lo, lambda i, others, o=o: estimates(o[i], o[others], samples) >= floor, ids[lo:hi])
-                a.append(np.array(x, np.int64))
-                b.append(np.array(y, np.int64))
-            a, b = np.concatenate(a), np.concatenate(b)
-            yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+                for members, parents in trees(hi - lo, lambda i, others, o=o: estimates(o[i], o[others], samples) >= floor):
+                    a.extend(lo + np.array(members[1:], np.int64))
+                    b.extend(lo + np.array(parents[1:], np.int64))
+            new = [(i, j) for i, j in zip(a, b) if not (cross[i] and block[i] == block[j]) and not met_before(before[i], before[j])]
+            pair = ids[np.array(new, np.int64).reshape(-1, 2)]
+            yield pd.DataFrame({"a": pair[:, 0], "b": pair[:, 1]})
 
     return dealt.mapInPandas(run, "a long, b long")
 

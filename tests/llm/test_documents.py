@@ -198,6 +198,32 @@ def test_candidates_of_large_buckets_are_those_of_all_pairs(spark):
     assert len(set(got)) > 40
 
 
+def test_candidate_links_over_bands_are_few_and_connect_all(spark):
+    rng = np.random.default_rng(8)
+    n, bands = 400, 6
+    keys = rng.integers(0, 3, (n, bands))  # buckets of about 130, compared in pairs of blocks
+    keys[:40] += 10 + rng.integers(0, 30, (40, bands))  # and small ones, pairs among them
+    base = rng.integers(0, near_dup.ODD_BITS, (4, 24))  # four groups of near sketches
+    rows = []
+    for i in range(n):
+        own = base[i % 4].copy()
+        own[rng.choice(24, 2, replace=False)] = rng.integers(0, near_dup.ODD_BITS, 2)
+        bits = np.zeros(near_dup.ODD_BITS, np.uint8)
+        np.bitwise_xor.at(bits, own, 1)
+        rows.append(np.packbits(bits).tobytes())
+    sets = np.frombuffer(b"".join(rows), np.uint64).reshape(n, -1)
+    near = np.array([near_dup.estimates(sets[i], sets, bands * 4) >= 0.5 for i in range(n)])
+    share = (keys[:, None] == keys[None]).any(-1)
+    want = union_find(n, [(int(a), int(b)) for a, b in np.argwhere(near & share) if a < b])
+    classes = spark.createDataFrame([(i, [int(x) for x in keys[i]], rows[i]) for i in range(n)], "node long, keys array<long>, odd binary")
+    links = [(r["a"], r["b"]) for r in near_dup.candidate_links(classes, bands=bands, block=32).collect()]
+    assert all(near[a, b] and share[a, b] for a, b in links)
+    assert len({frozenset(x) for x in links}) == len(links) < (near & share).sum() / 10  # that sum counts each pair twice
+    got = union_find(n, links)
+    first = lambda comp: [comp.index(c) for c in comp]
+    assert first(list(got)) == first(list(want)) and 4 <= len(set(got)) < n
+
+
 def test_near_duplicates_of_shared_ids(spark):
     one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
     df = spark.createDataFrame([(1, one), (3, two), (7, one + " end"), (7, two + " end"), (7, None), (5, three), (5, three), (5, "other words of five here alone"), (None, one)], "doc_id long, text string")
