@@ -5,10 +5,11 @@
    this pass (anchor, digest of the segment's words, place).
 2. Anchors that occur once cannot hold a repeated window; that ends most segments by counting hashes. Of the others,
    segments with equal words are represented by one, with its number of copies.
-3. The words of those representatives are fetched and dealt to shards by anchor. An anchor with more than ``hot``
-   occurrences would make a hot shard: its segments are cut into single windows, equal ones are merged by digest, with
-   their copies added up before the shuffle, and one representative each is dealt by window hash; its decision is joined
-   back to all of them. So every pair of equal windows meets in one shard, and no shard grows with a passage's popularity.
+3. The words of those representatives are fetched and dealt to shards by anchor. An anchor whose distinct segments hold
+   more than ``hot`` words, a quarter of a shard by default, would make a hot shard: its segments are cut into single
+   windows, equal ones are merged by digest, with their copies added up before the shuffle, and one representative each is
+   dealt by window hash; its decision is joined back to all of them. So every pair of equal windows meets in one shard, and
+   no shard grows with a passage's popularity. Occurrences alone do not make an anchor hot: copies are one segment.
 4. Each shard builds a compressed FM-index (wavelet tree) of its segments and streams them through it: backward search
    with parent intervals gives matching statistics, and windows with a match of ``window`` words in two places or more
    are repeated. All decisions come from here.
@@ -163,15 +164,18 @@ def search(shards: DataFrame, window: int) -> DataFrame:
     return shards.mapInPandas(run, "anchor long, seg long, hot boolean, bits long")
 
 
-def repeated_windows(docs: DataFrame, window: int = 35, k: int = 8, hot: int = 1000, shard_words: int = 400_000) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = 35, k: int = 8, hot: int = 100_000, shard_words: int = 400_000) -> DataFrame:
     """(doc_id, th, marks): for each document with repeated windows, pairs (start, bits) of word positions."""
     spark = docs.sparkSession
     with arrow_rows(spark, 500):
         found = staged(scan(docs, window, k), "substring-segments")
-        counts = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", (F.col("n") > hot).alias("hot"))
+        counts = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
         maybe = staged(found.join(counts, "anchor"), "substring-maybe")
-        one = maybe.groupBy("anchor", "seg", "hot").agg(F.min(F.struct("doc_id", "th", "start", "windows")).alias("x"), F.count(F.lit(1)).alias("copies"))
-        one = staged(one.select("anchor", "seg", "hot", "copies", "x.*"), "substring-representatives")
+        one = maybe.groupBy("anchor", "seg").agg(F.min(F.struct("doc_id", "th", "start", "windows")).alias("x"), F.count(F.lit(1)).alias("copies"))
+        one = staged(one.select("anchor", "seg", "copies", "x.*"), "substring-representatives")
+        words = one.groupBy("anchor").agg(F.sum(F.col("windows") + window - 1).alias("n"))
+        large = staged(words.filter(F.col("n") > hot).select("anchor", F.lit(True).alias("hot")), "substring-hot")  # all words / hot rows at most; Spark broadcasts it only if small
+        one = one.join(large, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
         total, n_hot = one.agg(F.sum(F.when(~F.col("hot"), F.col("windows") + window - 1)), F.count_if("hot")).first()
         wanted = one.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "windows", "anchor", "seg", "copies", "hot")).alias("wanted"))
         d, w = _keyed(docs).alias("d"), wanted.alias("w")
