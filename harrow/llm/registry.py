@@ -1,8 +1,8 @@
-"""The eleven queries of this subpackage and the SQL of those that SQL can express."""
+"""The queries of this subpackage and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
-from harrow.llm import fingerprint, html_text, line_dedup, mixing, near_dup, packing, pipeline, substring_dedup, toxicity, url_filter, vector_dup
+from harrow.llm import fingerprint, hard_negatives, html_text, importance, line_dedup, mixing, near_dup, neighbours, packing, pipeline, substring_dedup, toxicity, url_filter, vector_dup
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_near_dup": near_dup.op8_near_dup,
         "op9_vector_dup": vector_dup.op9_vector_dup,
         "op10_line_dedup": line_dedup.op10_line_dedup,
+        "op11_importance_resampling": importance.op11_importance_resampling,
+        "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+        "op13_neighbours": neighbours.op13_neighbours,
         "pipeline": pipeline.run,
     }
 
