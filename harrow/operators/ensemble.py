@@ -130,15 +130,3 @@ def compare_verdicts(primary: DataFrame, sensitivity: DataFrame, key: list[str])
     s = sensitivity.select(*key, F.col("est").alias("est_s"), F.col("verdict").alias("verdict_s"))
     j = primary.select(*key, "est", "verdict").join(s, key, "full_outer")
     return j.withColumn("changed", ~F.col("verdict").eqNullSafe(F.col("verdict_s")))
-
-
-def nearest_neighbours(train: DataFrame, test: DataFrame, entity: str, vector: str, y: str, k: int) -> DataFrame:
-    """Mean response of the k nearest training rows. ``test`` is the query set: a few rows sent to all tasks.
-
-    Each task keeps k candidates for a query before they are shuffled, so the shuffle holds k rows a query and task.
-    """
-    a = train.select(F.col(entity).alias("__t"), F.col(vector).alias("__tv"), F.col(y).alias("__y"))
-    j = a.join(F.broadcast(test.select(entity, vector)))
-    d = F.aggregate(F.zip_with("__tv", vector, lambda p, q: (p.cast("double") - q) * (p.cast("double") - q)), F.lit(0.0), lambda s, x: s + x)
-    w = Window.partitionBy(entity).orderBy(F.round(d, 9), "__t")
-    return j.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k).groupBy(entity).agg(F.avg("__y").alias("predicted"))

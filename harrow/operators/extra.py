@@ -1,4 +1,4 @@
-"""Further operators: one-hot columns, block penalties, mixed spectra, two-way resampling, kernel embedding."""
+"""Further operators: one-hot columns, block penalties, mixed spectra, two-way resampling."""
 
 from __future__ import annotations
 
@@ -68,22 +68,3 @@ def two_way_bootstrap(rows: DataFrame, group: str, entity: str, value: str, one:
     per = d.groupBy(*by).agg((pearson("__v", "__a") - pearson("__v", "__b")).alias("__d")).filter("__d is not null").join(drawn(group), by)
     w = F.col(f"__m_{group}")
     return per.groupBy("rep").agg((F.sum(F.col("__d") * w) / F.sum(w)).alias("__x")).agg(F.avg("__x").alias("mean"), F.stddev_samp("__x").alias("se"))
-
-
-def kernel_embedding(gram: DataFrame, k: int, most: int = 4000) -> DataFrame:
-    """(entity, component, x) with x x' near the kernel; for kernels of at most ``most`` entities, whose eigenvectors fit one machine.
-
-    The kernel's size is counted before it is collected; a larger one is an error (``features`` embed those by Nystrom projection).
-    """
-    if gram.count() > most * (most + 1) // 2:
-        raise ValueError(f"a kernel of more than {most} entities: embed a sample and project the others")
-    rows = gram.select("i", "j", "k").collect()
-    ids = sorted({r["i"] for r in rows} | {r["j"] for r in rows})
-    at = {e: n for n, e in enumerate(ids)}
-    m = np.zeros((len(ids), len(ids)))
-    for r in rows:
-        m[at[r["i"]], at[r["j"]]] = m[at[r["j"]], at[r["i"]]] = r["k"]
-    w, v = np.linalg.eigh(m)
-    top = np.argsort(-w)[:k]
-    x = v[:, top] * np.sqrt(np.maximum(w[top], 0))
-    return gram.sparkSession.createDataFrame([(e, c, float(x[n, c])) for n, e in enumerate(ids) for c in range(len(top))], gram.schema["i"].dataType.simpleString().join(["entity ", ", component int, x double"]))

@@ -1,4 +1,4 @@
-"""Learners of Spark ML on long feature tables."""
+"""Learners of Spark ML on long feature tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import numpy as np
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,27 +27,11 @@ def boosting(train: DataFrame, test: DataFrame, columns: list[str], target: str,
 
 
 def principal_components(train: DataFrame, every: DataFrame, columns: list[str], k: int) -> DataFrame:
-    """components fitted on centred training rows; all rows projected, as columns pc1..pck."""
+    """components fitted on centred training rows; all rows projected, as columns pc1..pck. Each component's largest loading is positive."""
     m = train.agg(*(F.avg(c).alias(c) for c in columns)).first()
     mid = lambda d: assembled(d.select("*", *(F.expr(f"`{c}` - {m[c]!r}D").alias(f"__{c}") for c in columns)), [f"__{c}" for c in columns])
     model = PCA(k=k, inputCol="features", outputCol="__pc").fit(mid(train))
+    loads = model.pc.toArray()
+    sign = np.where(loads[np.abs(loads).argmax(0), np.arange(loads.shape[1])] < 0, -1.0, 1.0)
     out = model.transform(mid(every)).withColumn("__pc", vector_to_array("__pc"))
-    return out.select(*every.columns, *(F.col("__pc")[i].alias(f"pc{i + 1}") for i in range(k)))
-
-
-def mahalanobis(train: DataFrame, test: DataFrame, key: str, columns: list[str], k: int, ridge: float = 1e-3) -> DataFrame:
-    """F16: mean Mahalanobis distance of each test row to its k nearest training rows; the covariance is p x p on the driver."""
-    v = assembled(train, columns)
-    cov = v.agg(Summarizer.metrics("variance").summary(F.col("features"))["variance"].alias("v")).first()["v"].toArray()
-    n = train.agg(*(F.covar_samp(a, b).alias(f"{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns))).first()
-    full = np.array([[n[f"{i}_{j}"] for j in range(len(columns))] for i in range(len(columns))]) + ridge * np.diag(np.maximum(cov, 1e-12))
-    root = np.linalg.cholesky(np.linalg.inv(full))  # distance^2 = |root' (x - y)|^2
-    turn = lambda d, p: [sum((F.col(c) * float(root[i, j]) for i, c in enumerate(columns)), F.lit(0.0)).alias(f"{p}{j}") for j in range(len(columns))]
-    a = train.select(F.col(key).alias("__t"), *turn(train, "__a"))
-    b = test.select(key, *turn(test, "__b"))
-    d = F.sqrt(sum(((F.col(f"__a{j}") - F.col(f"__b{j}")) * (F.col(f"__a{j}") - F.col(f"__b{j}")) for j in range(len(columns))), F.lit(0.0)))
-    from pyspark.sql import Window
-
-    near = a.join(F.broadcast(b)).withColumn("__d", d)  # test groups: a short list
-    w = Window.partitionBy(key).orderBy("__d", "__t")
-    return near.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= k).groupBy(key).agg(F.avg("__d").alias("distance"))
+    return out.select(*every.columns, *((F.col("__pc")[i] * float(sign[i])).alias(f"pc{i + 1}") for i in range(k)))

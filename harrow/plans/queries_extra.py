@@ -38,16 +38,9 @@ def _(t):
 @query("i5_two_way_bootstrap", f"""WITH p AS (SELECT * FROM pred), e AS (SELECT entity, row_number() OVER (ORDER BY entity) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT entity FROM p)), g AS (SELECT group_id, row_number() OVER (ORDER BY group_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT group_id FROM p)),
 me AS (SELECT rep, entity, count(*) AS m FROM (SELECT rep, {md5_sql("'i5'", "'entity'", 'rep', 'i')} % n AS i FROM e, unnest(range(40)) AS q(rep)) JOIN e USING (i) GROUP BY ALL), mg AS (SELECT rep, group_id, count(*) AS m FROM (SELECT rep, {md5_sql("'i5'", "'group_id'", 'rep', 'i')} % n AS i FROM g, unnest(range(40)) AS q(rep)) JOIN g USING (i) GROUP BY ALL),
 x AS (SELECT rep, group_id, value, score_a, score_b, unnest(range(m)) AS again FROM p JOIN me USING (entity)),
-k AS (SELECT rep, group_id, rank() OVER (PARTITION BY rep, group_id ORDER BY value) + (count(*) OVER (PARTITION BY rep, group_id, value) - 1) / 2.0::DOUBLE AS v, rank() OVER (PARTITION BY rep, group_id ORDER BY score_a) + (count(*) OVER (PARTITION BY rep, group_id, score_a) - 1) / 2.0::DOUBLE AS a,
-  rank() OVER (PARTITION BY rep, group_id ORDER BY score_b) + (count(*) OVER (PARTITION BY rep, group_id, score_b) - 1) / 2.0::DOUBLE AS b FROM x),
+k AS (SELECT rep, group_id, rank() OVER (PARTITION BY rep, group_id ORDER BY round(value, 9)) + (count(*) OVER (PARTITION BY rep, group_id, round(value, 9)) - 1) / 2.0::DOUBLE AS v, rank() OVER (PARTITION BY rep, group_id ORDER BY round(score_a, 9)) + (count(*) OVER (PARTITION BY rep, group_id, round(score_a, 9)) - 1) / 2.0::DOUBLE AS a,
+  rank() OVER (PARTITION BY rep, group_id ORDER BY round(score_b, 9)) + (count(*) OVER (PARTITION BY rep, group_id, round(score_b, 9)) - 1) / 2.0::DOUBLE AS b FROM x),
 d AS (SELECT rep, group_id, {corr_sql('v', 'a')} - {corr_sql('v', 'b')} AS d FROM k GROUP BY ALL), r AS (SELECT rep, sum(d * m) / sum(m) AS x FROM d JOIN mg USING (rep, group_id) WHERE d IS NOT NULL GROUP BY rep) SELECT round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS se FROM r""")
 def _(t):
     d = extra.two_way_bootstrap(t.pred, "group_id", "entity", "value", "score_a", "score_b", 40, "i5")
     return d.select(r6("mean").alias("mean"), r6("se").alias("se"))
-
-
-@query("f10_kernel_embedding", "SELECT a.entity AS i, b.entity AS j, round(sum((a.dosage - 1) * (b.dosage - 1))::DOUBLE, 4) + 0.0 AS k FROM feats a JOIN feats b ON a.feature = b.feature AND a.entity <= b.entity WHERE a.entity < 40 AND b.entity < 40 GROUP BY a.entity, b.entity")
-def _(t):
-    g = features.gram(t.feats.filter("entity < 40").select("entity", "feature", (F.col("dosage") - 1).cast("double").alias("z")), "entity", "feature")
-    e = extra.kernel_embedding(g, 12)  # twelve features: rank 12 at most
-    return features.gram(e.withColumnRenamed("x", "z"), "entity", "component").withColumn("k", F.round("k", 4) + 0.0)

@@ -79,8 +79,8 @@ def _(t):
 
 @query("i6_rank_difference", f"""WITH bn AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY entity) - 1 AS i, count(*) OVER (PARTITION BY group_id) AS n FROM pred),
 bd AS (SELECT group_id, rep, i AS slot, {md5_sql("'i6'", 'group_id', 'rep', 'i')} % n AS i FROM bn, unnest(range(200)) AS q(rep)), x AS (SELECT group_id, rep, value, score_a, score_b FROM bd JOIN bn USING (group_id, i)),
-k AS (SELECT group_id, rep, rank() OVER (PARTITION BY group_id, rep ORDER BY value) + (count(*) OVER (PARTITION BY group_id, rep, value) - 1) / 2.0::DOUBLE AS v,
-  rank() OVER (PARTITION BY group_id, rep ORDER BY score_a) + (count(*) OVER (PARTITION BY group_id, rep, score_a) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY group_id, rep ORDER BY score_b) + (count(*) OVER (PARTITION BY group_id, rep, score_b) - 1) / 2.0::DOUBLE AS b FROM x),
+k AS (SELECT group_id, rep, rank() OVER (PARTITION BY group_id, rep ORDER BY round(value, 9)) + (count(*) OVER (PARTITION BY group_id, rep, round(value, 9)) - 1) / 2.0::DOUBLE AS v,
+  rank() OVER (PARTITION BY group_id, rep ORDER BY round(score_a, 9)) + (count(*) OVER (PARTITION BY group_id, rep, round(score_a, 9)) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY group_id, rep ORDER BY round(score_b, 9)) + (count(*) OVER (PARTITION BY group_id, rep, round(score_b, 9)) - 1) / 2.0::DOUBLE AS b FROM x),
 d AS (SELECT group_id, rep, {corr_sql('v', 'a')} - {corr_sql('v', 'b')} AS d FROM k GROUP BY ALL) SELECT group_id, round(avg(d), 6) AS mean, round(stddev_samp(d), 6) AS se FROM d GROUP BY group_id""")
 def _(t):
     d = inference.bootstrap_rank_difference(t.pred, ["group_id"], "entity", "value", "score_a", "score_b", 200, "i6")
@@ -96,7 +96,7 @@ def _(t):
     return d.select(*(r6(c).alias(c) for c in d.columns))
 
 
-@query("i9_permutation_test", f"""WITH k AS (SELECT location, period, group_id, diff, n_e, rank() OVER (PARTITION BY period ORDER BY diff) + (count(*) OVER (PARTITION BY period, diff) - 1) / 2.0::DOUBLE AS rx,
+@query("i9_permutation_test", f"""WITH k AS (SELECT location, period, group_id, diff, n_e, rank() OVER (PARTITION BY period ORDER BY round(diff, 9)) + (count(*) OVER (PARTITION BY period, round(diff, 9)) - 1) / 2.0::DOUBLE AS rx,
   rank() OVER (PARTITION BY period ORDER BY n_e) + (count(*) OVER (PARTITION BY period, n_e) - 1) / 2.0::DOUBLE AS ry, row_number() OVER (PARTITION BY period ORDER BY group_id) AS rn
   FROM (SELECT location, period, group_id, avg(score_a) AS diff, count(*) AS n_e FROM pred GROUP BY ALL)),
 o AS (SELECT rep, period, ry AS py, row_number() OVER (PARTITION BY rep, period ORDER BY md5(concat_ws('|', 'i9', rep, period, group_id)), group_id) AS rn FROM k, unnest(range({B})) AS q(rep)),
@@ -215,7 +215,7 @@ def _(t):
 
 @query("k8_scorer", f"""WITH {RANKED}, pd AS (SELECT *, 'set' || (location % 3) AS dataset FROM r),
 pg AS (SELECT dataset, period, group_id, {corr_sql('rv', 'rs')} - {corr_sql('rv', 'rb')} AS sp,
-  (avg(value) FILTER (ps <= k) - avg(value) FILTER (pb <= k)) / stddev_samp(value) AS sd FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY score_b DESC, entity) AS pb FROM pd) GROUP BY ALL HAVING count(*) >= 25),
+  (avg(value) FILTER (ps <= k) - avg(value) FILTER (pb <= k)) / stddev_samp(value) AS sd FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY round(score_b, 9) DESC, entity) AS pb FROM pd) GROUP BY ALL HAVING count(*) >= 25),
 d AS (SELECT 'spearman' AS metric, dataset, period, group_id, sp AS diff FROM pg WHERE sp IS NOT NULL UNION ALL SELECT 'sel_diff', dataset, period, group_id, sd FROM pg WHERE sd IS NOT NULL),
 bn AS (SELECT *, row_number() OVER (PARTITION BY metric, dataset, period ORDER BY group_id) - 1 AS i, count(*) OVER (PARTITION BY metric, dataset, period) AS n FROM d),
 bd AS (SELECT metric, dataset, period, rep, {md5_sql("'k8' || metric", 'dataset', 'period', 'rep', 'i')} % n AS i FROM bn, unnest(range({B})) AS q(rep)),
@@ -369,14 +369,6 @@ def _(t):
     return features.window_search(s, y, "group_id", "k", "v_max", "y", [1, 5, 9], [3, 6]).withColumn("r", F.round("r", 5))
 
 
-@query("j6_nearest_neighbours", """
-WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 10), d AS (SELECT q.vec_id AS entity, e.vec_id AS t, e.label::DOUBLE AS y, round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), 9) AS d FROM q, embeddings e WHERE e.vec_id >= 100)
-SELECT entity, round(avg(y), 6) AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY d, t) AS k FROM d) WHERE k <= 10 GROUP BY entity""")
-def _(t):
-    e = t.table("embeddings").select(F.col("vec_id").alias("entity"), "embedding", F.col("label").cast("double").alias("y"))
-    return ensemble.nearest_neighbours(e.filter("entity >= 100"), e.filter("entity < 10"), "entity", "embedding", "y", 10).withColumn("predicted", r6("predicted"))
-
-
 # Ensembles
 
 

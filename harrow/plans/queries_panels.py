@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from harrow.operators import aggs, ensemble, inference, joins, learners, metrics, models, splits
+from harrow.operators.staging import staged
+from harrow.operators.windows import center
 from harrow.plans import panels
 from harrow.plans.declare import query
 from harrow.plans.queries_core import RANKED, corr_sql
@@ -51,8 +53,8 @@ def _(t):
 
 
 K11 = """m AS (SELECT period, entity, round(avg(value), 6) AS mean FROM cells GROUP BY ALL HAVING count(DISTINCT group_id) >= 2), s AS (SELECT period, entity, round(avg(score_a), 6) AS a, round(avg(score_b), 6) AS b FROM pred GROUP BY ALL),
-d AS (SELECT * FROM m JOIN s USING (period, entity)), k AS (SELECT period, rank() OVER (PARTITION BY period ORDER BY mean) + (count(*) OVER (PARTITION BY period, mean) - 1) / 2.0::DOUBLE AS rm,
-rank() OVER (PARTITION BY period ORDER BY a) + (count(*) OVER (PARTITION BY period, a) - 1) / 2.0::DOUBLE AS ra, rank() OVER (PARTITION BY period ORDER BY b) + (count(*) OVER (PARTITION BY period, b) - 1) / 2.0::DOUBLE AS rb FROM d)"""
+d AS (SELECT * FROM m JOIN s USING (period, entity)), k AS (SELECT period, rank() OVER (PARTITION BY period ORDER BY round(mean, 9)) + (count(*) OVER (PARTITION BY period, round(mean, 9)) - 1) / 2.0::DOUBLE AS rm,
+rank() OVER (PARTITION BY period ORDER BY round(a, 9)) + (count(*) OVER (PARTITION BY period, round(a, 9)) - 1) / 2.0::DOUBLE AS ra, rank() OVER (PARTITION BY period ORDER BY round(b, 9)) + (count(*) OVER (PARTITION BY period, round(b, 9)) - 1) / 2.0::DOUBLE AS rb FROM d)"""
 
 
 @query("k11_population_contrast", f"WITH {K11} SELECT period, round({corr_sql('rm', 'ra')}, 4) AS r_one, round({corr_sql('rm', 'rb')}, 4) AS r_other, true AS has_se FROM k GROUP BY period")
@@ -106,8 +108,8 @@ def _(t):
 
 
 @query("d28_reference_predictor", """
-WITH h AS (SELECT target, location, p_brand AS brand, avg(cv) AS m FROM hist JOIN part ON p_partkey = entity GROUP BY ALL), b AS (SELECT target, p_brand AS brand, avg(cv) AS m FROM hist JOIN part ON p_partkey = entity GROUP BY ALL)
-SELECT c.group_id, c.entity, round(coalesce(h.m, b.m, 0), 6) AS guess FROM cells c JOIN part ON p_partkey = entity LEFT JOIN h ON h.target = c.period AND h.location = c.location AND h.brand = p_brand LEFT JOIN b ON b.target = c.period AND b.brand = p_brand WHERE c.period IN (1997, 1998, 1999)""")
+WITH u AS (SELECT target, location, p_brand AS brand, cv, NULL AS group_id, NULL AS entity FROM hist JOIN part ON p_partkey = entity UNION ALL SELECT period, location, p_brand, NULL, group_id, entity FROM cells JOIN part ON p_partkey = entity WHERE period IN (1997, 1998, 1999)),
+m AS (SELECT group_id, entity, coalesce(avg(cv) OVER (PARTITION BY target, location, brand), avg(cv) OVER (PARTITION BY target, brand), 0) AS g FROM u) SELECT group_id, entity, round(g, 6) AS guess FROM m WHERE group_id IS NOT NULL""")
 def _(t):
     brand = t.table("part").select(F.col("p_partkey").alias("entity"), F.col("p_brand").alias("brand"))
     h = t.hist.join(brand, "entity")
@@ -133,26 +135,20 @@ def _(t):
     return d.select("location", "period", "missing", F.round("q", 5).alias("q"), F.round("v", 5).alias("v"))
 
 
-@query("f5_principal_components", "SELECT count(*) AS n, true AS centred, true AS uncorrelated FROM embeddings")
+@query("f5_principal_components")
 def _(t):
-    e = t.table("embeddings").select("vec_id", *(F.element_at("embedding", i + 1).cast("double").alias(f"x{i}") for i in range(8)))
-    d = learners.principal_components(e, e, [f"x{i}" for i in range(8)], 2)
-    return d.agg(F.count(F.lit(1)).alias("n"), (F.abs(F.avg("pc1")) < 1e-6).alias("centred"), (F.abs(F.covar_pop("pc1", "pc2")) < 1e-6).alias("uncorrelated"))
+    e = t.table("embeddings").select("vec_id", *(F.element_at("embedding", i + 1).cast("double").alias(f"x{i}") for i in range(64)))
+    d = learners.principal_components(e, e, [f"x{i}" for i in range(64)], 8)
+    return d.select("vec_id", *(r6(f"pc{i + 1}").alias(f"pc{i + 1}") for i in range(8)))
 
 
-@query("f16_mahalanobis", "SELECT vec_id, true AS positive FROM embeddings WHERE vec_id < 10")
+@query("j5_forest_and_boosting")
 def _(t):
-    e = t.table("embeddings").select("vec_id", *(F.element_at("embedding", i + 1).cast("double").alias(f"x{i}") for i in range(4)))
-    d = learners.mahalanobis(e.filter("vec_id >= 10"), e.filter("vec_id < 10"), "vec_id", ["x0", "x1", "x2", "x3"], 5)
-    return d.select("vec_id", (F.col("distance") > 0).alias("positive"))
-
-
-@query("j5_forest_and_boosting", "SELECT count(*) AS n, true AS fits FROM pred WHERE period = 1999")
-def _(t):
-    train, test = t.pred.filter("period < 1999"), t.pred.filter("period = 1999")
-    f = learners.forest(train, test, ["score_a", "score_b"], "value", trees=10).withColumnRenamed("prediction", "rf")
-    b = learners.boosting(train, f, ["score_a", "score_b"], "value", rounds=5)
-    return b.agg(F.count(F.lit(1)).alias("n"), (F.count_if(F.col("rf").isNull() | F.col("prediction").isNull()) == 0).alias("fits"))
+    d = t.pred.withColumn("y", center("value", "group_id"))
+    train, test = staged(d.filter("period < 1999"), "forest-train"), d.filter("period = 1999")
+    f = learners.forest(train, test, ["score_a", "score_b", "location"], "y", trees=300).withColumnRenamed("prediction", "forest")
+    b = learners.boosting(train, f, ["score_a", "score_b", "location"], "y", rounds=60).withColumnRenamed("prediction", "boosting")
+    return b.select("group_id", "entity", r6("forest").alias("forest"), r6("boosting").alias("boosting"))
 
 
 @query("j7_interaction_ridge", """
