@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.operators import inference, metrics
+from harrow.operators.staging import staged
 from harrow.operators.windows import zscore
 
 
@@ -88,12 +89,13 @@ def score_submission(pred: DataFrame, dataset: str, period: str, group: str, ent
     """K8: the benchmark's report: per-group metric differences, period effects, floored SEs, pooling, threshold, verdict.
 
     One shuffle by group for the metrics and one by metric and period for the bootstrap of all of them; the rest are rows by the dozen.
+    Metrics by group and period effects are written once, as what follows reads them many times.
     """
     both = pred.unpivot([dataset, period, group, entity, value], [one, other], "method", "score")
-    per = metrics.group_metrics(both, ["method", dataset, period, group], entity, value, "score", least)
+    per = staged(metrics.group_metrics(both, ["method", dataset, period, group], entity, value, "score", least), "submission-metrics")
     long = per.unpivot(["method", dataset, period, group], ["spearman", "sel_diff"], "metric", "v")
     diff = metrics.contrast(long, ["metric", dataset, period, group], "method", one, other, "v")
-    effects = year_effects(diff, dataset, period, group, "diff", b, F.concat(F.lit(seed), "metric"), ("metric",))
+    effects = staged(year_effects(staged(diff, "submission-differences"), dataset, period, group, "diff", b, F.concat(F.lit(seed), "metric"), ("metric",)), "submission-effects")
     cells = pred.filter(F.col(value).isNotNull()).groupBy(dataset).agg(F.count(F.lit(1)).alias("n_cells"))
     pooled = inference.dersimonian_laird(effects, ["metric", dataset]).join(cells, dataset)
     rows = pooled.select("metric", dataset, "k", "est", "pooled_se", "lo", "hi", "tau2", inference.resolution(F.col("n_cells")).alias("resolution"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from harrow.operators.staging import staged
+
 
 def keep(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Rows whose key is in ``keys``."""
@@ -92,28 +92,15 @@ def shared_content(rows: DataFrame, group: str, within: list[str], entity: str,
     return pairs.join(na, "a").join(nb, "b").withColumn("share", F.col("shared") / F.least("na", "nb")).drop("na", "nb")
 
 
-def _stage_dir(spark: SparkSession) -> str | None:
-    return spark.conf.get("spark.checkpoint.dir", None)
-
-
 def exclusion_groups(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """C11: connected components of flagged pairs: (node, component), component the smallest node reachable.
 
     Smallest labels spread over the links, and along the labels themselves, until nothing changes. Each round is cut
-    from its lineage by a checkpoint, where a checkpoint folder is set.
+    from its lineage by a written table.
     """
-    spark = pairs.sparkSession
     links = pairs.select(F.col(a).alias("u"), F.col(b).alias("v"))
     links = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    folder = _stage_dir(spark)
-
-    def cut(df: DataFrame, k: int) -> DataFrame:
-        if not folder:
-            return df.cache()
-        path = f"{folder.rstrip('/')}/components-{uuid.uuid4().hex}-{k}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
+    cut = lambda df, k: staged(df, f"components-{k}")
     links = cut(links, 0)
     labels = cut(links.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")), 1)
     for k in range(2, 200):

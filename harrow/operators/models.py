@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.operators.aggs import gram_sums
+from harrow.operators.staging import staged
 from harrow.operators.windows import center
 
 
@@ -120,7 +121,7 @@ def em_one_way(cells: DataFrame, key: list[str], value: str, rounds: int = 20) -
 
     Returns shrunken means n u / (n + s2e / s2u), and both variances after a fixed number of rounds.
     """
-    t = cells.groupBy(*key).agg(F.count(value).alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q")).cache()
+    t = staged(cells.groupBy(*key).agg(F.count(value).alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q")), "em-sums")
     total = t.agg(F.sum("n").alias("n"), F.sum("q").alias("q"), F.count(F.lit(1)).alias("k")).first()
     u = e = total["q"] / total["n"] / 2
     for _ in range(rounds):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from harrow.functions import clean
 from harrow.operators import ensemble, features, inference, metrics, splits, windows
+from harrow.operators.staging import staged
 from harrow.plans.declare import query
 from harrow.plans.queries_core import RANKED, corr_sql
 from harrow.plans.testbed import r6
@@ -27,7 +28,7 @@ df AS (SELECT period, location, group_id, round(a - b, 6) AS diff FROM pg WHERE
 def diffs(t):
     both = t.pred.unpivot(["period", "location", "group_id", "entity", "value"], ["score_a", "score_b"], "method", "score")
     per = metrics.spearman(both, ["method", "period", "location", "group_id"], "entity", "value", "score").filter("n >= 25")
-    return metrics.contrast(per, ["period", "location", "group_id"], "method", "score_a", "score_b", "spearman").withColumn("diff", r6("diff"))
+    return staged(metrics.contrast(staged(per, "per-group"), ["period", "location", "group_id"], "method", "score_a", "score_b", "spearman").withColumn("diff", r6("diff")), "diffs")
 
 
 def boot_sql(src: str, strata: str, unit: str, value: str, seed: str, b: int = B, pre: str = "") -> str:
@@ -143,7 +144,7 @@ dl AS (SELECT dataset, count(*) AS k, sum(ws * d) / sum(ws) AS est, sqrt(1 / sum
 def year_table(t):
     d = diffs(t).withColumn("dataset", F.concat(F.lit("set"), (F.col("location") % 4).cast("string")))
     se = F.when((F.col("dataset") == "set3") | (F.col("n_env") < 2), 0.0).otherwise(r6(F.coalesce(F.try_divide(F.col("__s"), F.sqrt("n_env")), F.lit(0.0))))
-    return d.groupBy("dataset", "period").agg(r6(F.avg("diff")).alias("d"), F.stddev_samp("diff").alias("__s"), F.count(F.lit(1)).alias("n_env")).withColumn("se", se).drop("__s")
+    return staged(d.groupBy("dataset", "period").agg(r6(F.avg("diff")).alias("d"), F.stddev_samp("diff").alias("__s"), F.count(F.lit(1)).alias("n_env")).withColumn("se", se).drop("__s"), "year-table")
 
 
 @query("i12_floor_se", f"WITH {YE_SQL} SELECT dataset, period, d, n_env, se_zero, round(se, 6) AS se FROM fl")

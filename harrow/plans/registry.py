@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from harrow.plans import queries_blocks, queries_core, queries_extra, queries_models, queries_more, queries_panels, queries_reports, queries_stages  # noqa: F401  they register themselves
+from harrow.plans import queries_blocks, queries_core, queries_extra, queries_models, queries_more, queries_panels, queries_reports, queries_sources, queries_stages  # noqa: F401  they register themselves
 from harrow.plans.declare import QUERIES, SQL
 
 

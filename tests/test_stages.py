@@ -214,3 +214,11 @@ def test_scored_cells_do_not_leak(spark, changed, name, kind):
     assert len(a) == len(b) > 50 and all(p[:2] == q[:2] or isinstance(p[1], float) for p, q in zip(a, b))
     assert all(abs(x - y) < 2e-3 for p, q in zip(a, b) for x, y in zip(p, q) if isinstance(x, float))
     assert max(abs(x) for p in a for x in p if isinstance(x, float)) > 0.05
+
+
+def test_manifest_query(spark):
+    import hashlib
+
+    got = {r["file"]: (r["bytes"], r["sha256"]) for r in registry.queries()["a16_manifest"](spark, DATA).collect()}
+    want = {n: open(f"{DATA}/{n}", "rb").read() for n in os.listdir(DATA)}
+    assert got == {n: (len(b), hashlib.sha256(b).hexdigest()) for n, b in want.items()}
