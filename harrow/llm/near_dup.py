@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrow.llm.components import block_pairs, blocks_of, components, ties
-from harrow.llm.shared import WORD, arrow_rows, partitions, read, staged
+from harrow.llm.shared import WORD, arrow_rows, lean, partitions, read, staged
 from harrow.llm.words import Words, chunks, mix
 
 ODD_BITS = 512
@@ -175,7 +175,7 @@ def sketches(docs: DataFrame, bands: int = 30, rows: int = 4, k: int = 5) -> Dat
             frame.insert(1, "th", b["th"])
             yield frame
 
-    return keyed(docs).mapInPandas(run, "doc_id long, th long, n_shingles long, d1 long, d2 long, keys array<long>, odd binary")
+    return keyed(docs).mapInPandas(lean(run), "doc_id long, th long, n_shingles long, d1 long, d2 long, keys array<long>, odd binary")
 
 
 def candidate_links(classes: DataFrame, bands: int = 30, rows: int = 4, floor: float = 0.5, block: int = 8192) -> DataFrame:
@@ -211,7 +211,7 @@ def candidate_links(classes: DataFrame, bands: int = 30, rows: int = 4, floor: f
             pair = ids[np.array(new, np.int64).reshape(-1, 2)]
             yield pd.DataFrame({"a": pair[:, 0], "b": pair[:, 1]})
 
-    return dealt.mapInPandas(run, "a long, b long")
+    return dealt.mapInPandas(lean(run), "a long, b long")
 
 
 def linked(i: int, others: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, postings: tuple, share: int) -> np.ndarray:
@@ -250,7 +250,7 @@ def set_links(dealt: DataFrame, keys: list[str], k: int, share: int) -> DataFram
                 of.extend([cluster[lo]] * len(x))
             yield pd.DataFrame({"cluster": np.array(of, np.int64), "a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    return dealt.mapInPandas(run, "cluster long, a long, b long")
+    return dealt.mapInPandas(lean(run), "cluster long, a long, b long")
 
 
 def exact_links(texts: DataFrame, nodes: DataFrame, k: int = 5, share: int = 75, block_shingles: int = 500_000, block: int = 512) -> DataFrame:

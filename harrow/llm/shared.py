@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,3 +79,30 @@ def buckets_for(rows: int, most: int = 50_000) -> int:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+#: Drop what an operator keeps in a worker process between its tasks; operators add theirs.
+kept_in_worker: list[Callable[[], None]] = []
+
+
+def trim() -> None:
+    """Gives memory that is free in this process back to the machine: workers live on, idle, while other stages need it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
+def lean(work: Callable) -> Callable:
+    """``work`` on the batches of a task, in a worker process that keeps nothing of other operators before and nothing of this task after it."""
+
+    def run(batches):
+        for drop in kept_in_worker:
+            drop()
+        trim()
+        yield from work(batches)
+        trim()
+
+    return run

@@ -32,7 +32,7 @@ from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.llm.shared import arrow_rows, read, staged
+from harrow.llm.shared import arrow_rows, lean, read, staged
 
 #: Letters that signs are used for.
 LEET = {
@@ -67,7 +67,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
         at = np.flatnonzero(total)
         yield pd.DataFrame({"gram": at.astype(np.int32), "n": total[at]})
 
-    return docs.select("text").mapInPandas(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInPandas(lean(run), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 class Restorer:
@@ -235,7 +235,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 10_000, most_f
             names = list({**each[1], **each[0]})
             yield pd.DataFrame({"feature": names, "df1": [each[1][f] for f in names], "df0": [each[0][f] for f in names]})
 
-        df = sample.mapInPandas(document_counts, "feature string, df1 long, df0 long").groupBy("feature").agg(F.sum("df1").alias("df1"), F.sum("df0").alias("df0"))
+        df = sample.mapInPandas(lean(document_counts), "feature string, df1 long, df0 long").groupBy("feature").agg(F.sum("df1").alias("df1"), F.sum("df0").alias("df0"))
         p1, p0 = (F.col("df1") + 0.1) / (n1 + 0.2), (F.col("df0") + 0.1) / (n0 + 0.2)
         best = df.filter((F.col("df1") >= 2) & (p1 > 3 * p0)).withColumn("gain", (p1 - p0) * F.log(p1 / p0))
         chosen = sorted((r["feature"], r["df1"], r["df0"]) for r in best.orderBy(F.desc("gain"), "feature").limit(most_features).collect())
@@ -251,7 +251,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 10_000, most_f
                 found = [sorted(of(t)) for t in b["text"]]
                 yield pd.DataFrame({"label": b["toxic"].astype(float), "found": [[vocabulary[i] for i in x] for x in found], "strongest": [float(strength[x].max()) if x else 0.0 for x in found]})
 
-        train = staged(sample.mapInPandas(held, "label double, found array<string>, strongest double"), "toxic-train")
+        train = staged(sample.mapInPandas(lean(held), "label double, found array<string>, strongest double"), "toxic-train")
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="found", outputCol="held")
     vectors.setBinary(True)
     both = VectorAssembler(inputCols=["held", "strongest"], outputCol="features").transform(vectors.transform(train))
@@ -273,7 +273,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             p = pa.array([1 / (1 + math.exp(-min(max(x, -700), 700))) for x in z], pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(0), p], names=["row", "toxic_score"])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("toxic_score", DoubleType())]))
+    return rows.mapInArrow(lean(run), StructType([*rows.schema.fields, StructField("toxic_score", DoubleType())]))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
