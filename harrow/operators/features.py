@@ -42,12 +42,11 @@ def gram(z: DataFrame, entity: str, feature: str, value: str = "z") -> DataFrame
     return a.join(b, feature).filter("i <= j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("k"))
 
 
-def vanraden(dosage: DataFrame, entity: str, feature: str, value: str) -> DataFrame:
-    """F8: kinship: centred dosages' products over the sum of 2 p (1 - p)."""
-    p = dosage.groupBy(feature).agg((F.avg(value) / 2).alias("p"))
-    c = p.agg(F.sum(2 * F.col("p") * (1 - F.col("p"))).alias("c"))
-    z = dosage.join(F.broadcast(p), feature).withColumn("z", F.col(value) - 2 * F.col("p"))
-    return gram(z, entity, feature).crossJoin(F.broadcast(c)).select("i", "j", (F.col("k") / F.col("c")).alias("k"))
+def vanraden_arrays(dosage: DataFrame, x: str) -> tuple[DataFrame, float]:
+    """F8: dosages of each entity, an array, less twice the features' frequencies, and the sum of 2 p (1 - p) that divides products of them."""
+    p = [r["p"] for r in dosage.select(F.posexplode(x).alias("i", "d")).groupBy("i").agg((F.avg("d") / 2).alias("p")).orderBy("i").collect()]  # one a feature
+    twice = F.array(*(F.lit(2.0 * q) for q in p))
+    return dosage.withColumn(x, F.zip_with(x, twice, lambda d, q: d - q)), sum(2 * q * (1 - q) for q in p)
 
 
 def arc_cosine(kij: Column, kii: Column, kjj: Column) -> Column:
@@ -58,12 +57,6 @@ def arc_cosine(kij: Column, kii: Column, kjj: Column) -> Column:
     return norm / F.lit(3.141592653589793) * (F.sin(t) + (F.lit(3.141592653589793) - t) * F.cos(t))
 
 
-def arc_cosine_kernel(g: DataFrame) -> DataFrame:
-    d = g.filter("i = j").select(F.col("i").alias("e"), F.col("k").alias("d"))
-    j = g.join(d.select(F.col("e").alias("i"), F.col("d").alias("di")), "i").join(d.select(F.col("e").alias("j"), F.col("d").alias("dj")), "j")
-    return j.select("i", "j", arc_cosine(F.col("k"), F.col("di"), F.col("dj")).alias("k"))
-
-
 def mixed_correlation(r: DataFrame, rho: float) -> DataFrame:
     """(1 - rho) I + rho R."""
     return r.withColumn("k", F.when(F.col("i") == F.col("j"), F.lit(1.0 - rho) + rho * F.col("k")).otherwise(rho * F.col("k")))

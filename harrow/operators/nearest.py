@@ -1,4 +1,4 @@
-"""Nearest rows by distance: a query set against all rows, in blocks.
+"""Nearest rows by distance: a query set against all rows, in blocks.
 
 Queries and rows are dealt by hash to blocks of bounded size; a pair of blocks is one group of a cogroup and gives each
 query's k nearest of the block. Neither side is broadcast or collected, and what is shuffled after is k rows for each query
@@ -41,8 +41,8 @@ def _closest(k: int, turn: np.ndarray | None, step: int = 256):
     return run
 
 
-def nearest(rows: DataFrame, queries: DataFrame, key: str, x: str, k: int, turn: np.ndarray | None = None, row_block: int = 16_384, query_block: int = 4_096) -> DataFrame:
-    """(key, other, square, place): the k nearest of ``rows`` for each of ``queries`` by squared distance to 9 decimals, after ``turn`` if given. Keys are whole numbers."""
+def _in_blocks(rows: DataFrame, queries: DataFrame, key: str, x: str, work, schema: str, row_block: int, query_block: int) -> DataFrame:
+    """``work`` on every pair of a block of queries and a block of rows, both as (key, x)."""
 
     def plain(t: DataFrame) -> DataFrame:
         return known(t, x).select(F.col(key).cast("long").alias("key"), F.transform(x, lambda v: v.cast("double")).alias("x"))
@@ -52,11 +52,28 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str, x: str, k: int, turn:
     dealt = lambda t, own, a, other, b: t.withColumn(own, F.pmod(F.xxhash64("key"), F.lit(a)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
     left, right = dealt(queries, "of_queries", m, "of_rows", n), dealt(rows, "of_rows", n, "of_queries", m)
     fresh = lambda t: t.select(*(F.col(c).alias(c) for c in ("of_queries", "of_rows", "key", "x")))  # noqa: E731  both sides may come from one table
-    near = fresh(left).groupBy("of_queries", "of_rows").cogroup(fresh(right).groupBy("of_queries", "of_rows")).applyInPandas(_closest(k, turn), "key long, other long, square double")
+    return fresh(left).groupBy("of_queries", "of_rows").cogroup(fresh(right).groupBy("of_queries", "of_rows")).applyInPandas(work, schema)
+
+
+def nearest(rows: DataFrame, queries: DataFrame, key: str, x: str, k: int, turn: np.ndarray | None = None, row_block: int = 16_384, query_block: int = 4_096) -> DataFrame:
+    """(key, other, square, place): the k nearest of ``rows`` for each of ``queries`` by squared distance to 9 decimals, after ``turn`` if given. Keys are whole numbers."""
+    near = _in_blocks(rows, queries, key, x, _closest(k, turn), "key long, other long, square double", row_block, query_block)
     w = Window.partitionBy("key").orderBy("square", "other")
     return near.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).withColumnRenamed("key", key)
 
 
+def inner_products(rows: DataFrame, queries: DataFrame, key: str, x: str, row_block: int = 8_192, query_block: int = 512) -> DataFrame:
+    """(i, j, k): inner products of each of ``queries`` with all of ``rows``: the kernel's rows of a query set, block by block."""
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"i": np.zeros(0, np.int64), "j": np.zeros(0, np.int64), "k": np.zeros(0)})
+        k = _stack(a["x"]) @ _stack(b["x"]).T
+        return pd.DataFrame({"i": np.repeat(a["key"].to_numpy(), len(b)), "j": np.tile(b["key"].to_numpy(), len(a)), "k": k.ravel()})
+
+    return _in_blocks(rows, queries, key, x, run, "i long, j long, k double", row_block, query_block)
+
+
 def nearest_mean(rows: DataFrame, queries: DataFrame, key: str, x: str, y: str, k: int) -> DataFrame:
     """Mean response of the k nearest rows."""
     near = nearest(rows, queries, key, x, k)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from harrow.operators import extra, features, models
+from harrow.operators import extra, models
 from harrow.plans.declare import query
 from harrow.plans.queries_core import corr_sql
 from harrow.plans.queries_models import CENTRED_PRED

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from harrow.functions import clean
-from harrow.operators import ensemble, features, inference, metrics, splits, windows
+from harrow.operators import blocks, ensemble, features, inference, metrics, nearest, splits, windows
 from harrow.operators.staging import staged
 from harrow.plans.declare import query
 from harrow.plans.queries_core import RANKED, corr_sql
@@ -202,10 +202,10 @@ def _(t):
     return n.groupBy("period").agg(r6(inference.size_ratio("n")).alias("ratio"))
 
 
-@query("i22_sign_test", f"""WITH {DIFFS_SQL}, s AS (SELECT period, count(*) FILTER (diff > 0) AS pos, count(*) AS n FROM df WHERE location < 30 GROUP BY period)
+@query("i22_sign_test", f"""WITH {DIFFS_SQL}, s AS (SELECT period, count(*) FILTER (diff > 0) AS pos, count(*) AS n FROM df GROUP BY period)
 SELECT period, pos, n, round((SELECT sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2))) FROM unnest(range(pos, n + 1)) AS q(k)), 6) AS p FROM s""")
 def _(t):
-    s = diffs(t).filter("location < 30").groupBy("period").agg(F.count_if(F.col("diff") > 0).alias("pos"), F.count(F.lit(1)).alias("n"))
+    s = diffs(t).groupBy("period").agg(F.count_if(F.col("diff") > 0).alias("pos"), F.count(F.lit(1)).alias("n"))
     return s.withColumn("p", r6(inference.sign_test(F.col("pos"), F.col("n"))))
 
 
@@ -247,9 +247,9 @@ def _(t):
 
 @query("s2_grouped_folds", """
 WITH g AS (SELECT entity, (row_number() OVER (ORDER BY md5('s2|' || entity), entity) - 1) % 5 AS part FROM (SELECT DISTINCT entity FROM cells))
-SELECT group_id, entity, fold::INT AS fold, CASE WHEN part = fold THEN 'test' WHEN part = (fold + 1) % 5 THEN 'val' ELSE 'train' END AS role FROM cells JOIN g USING (entity), unnest(range(5)) AS q(fold) WHERE location < 10""")
+SELECT group_id, entity, fold::INT AS fold, CASE WHEN part = fold THEN 'test' WHEN part = (fold + 1) % 5 THEN 'val' ELSE 'train' END AS role FROM cells JOIN g USING (entity), unnest(range(5)) AS q(fold)""")
 def _(t):
-    return splits.grouped_folds(t.cells, "entity", 5, "s2").filter("location < 10").select("group_id", "entity", "fold", "role")
+    return splits.grouped_folds(t.cells, "entity", 5, "s2").select("group_id", "entity", "fold", "role")
 
 
 @query("s3_two_way_folds", """
@@ -300,18 +300,18 @@ def _(t):
 
 
 @query("f1_mode_scaler", """
-WITH tr AS (SELECT * FROM feats WHERE entity < 200), n AS (SELECT feature, d, count(*) AS n FROM tr WHERE d IS NOT NULL GROUP BY ALL), m AS (SELECT feature, d AS fill FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY n DESC, d) AS k FROM n) WHERE k = 1)
+WITH tr AS (SELECT * FROM feats), n AS (SELECT feature, d, count(*) AS n FROM tr WHERE d IS NOT NULL GROUP BY ALL), m AS (SELECT feature, d AS fill FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY n DESC, d) AS k FROM n) WHERE k = 1)
 SELECT feature, fill, round(avg(coalesce(d, fill)), 6) AS mean, round(CASE WHEN stddev_pop(coalesce(d, fill)) < 1e-6 THEN 1 ELSE stddev_pop(coalesce(d, fill)) END, 6) AS sd FROM tr JOIN m USING (feature) GROUP BY ALL""")
 def _(t):
-    s = features.mode_scaler(t.feats.filter("entity < 200"), "feature", "d")
+    s = features.mode_scaler(t.feats, "feature", "d")
     return s.select("feature", "fill", r6("mean").alias("mean"), r6("sd").alias("sd"))
 
 
 @query("f2_mean_scaled", """
-WITH s AS (SELECT feature, avg(d) AS m FROM feats WHERE entity < 200 GROUP BY feature), v AS (SELECT feature, m, stddev_pop(coalesce(d, m)) AS sd FROM feats JOIN s USING (feature) WHERE entity < 200 GROUP BY ALL HAVING stddev_pop(coalesce(d, m)) > 1e-9)
+WITH s AS (SELECT feature, avg(d) AS m FROM feats WHERE entity % 5 <> 0 GROUP BY feature), v AS (SELECT feature, m, stddev_pop(coalesce(d, m)) AS sd FROM feats JOIN s USING (feature) WHERE entity % 5 <> 0 GROUP BY ALL HAVING stddev_pop(coalesce(d, m)) > 1e-9)
 SELECT entity, feature, round((coalesce(d, m) - m) / sd, 6) AS z FROM feats JOIN v USING (feature)""")
 def _(t):
-    s = features.mean_scaler(t.feats.filter("entity < 200"), "feature", "d")
+    s = features.mean_scaler(t.feats.filter("entity % 5 <> 0"), "feature", "d")
     return features.scale(t.feats, s, "feature", "d").select("entity", "feature", r6("z").alias("z"))
 
 
@@ -323,25 +323,35 @@ def _(t):
     return s.select("feature", r6("mean").alias("mean"), r6("sd").alias("sd"))
 
 
-@query("f7_gram", "SELECT a.entity AS i, b.entity AS j, sum(a.dosage * b.dosage)::DOUBLE AS k FROM feats a JOIN feats b ON a.feature = b.feature AND a.entity <= b.entity WHERE a.entity < 100 AND b.entity < 100 GROUP BY ALL")
+VECTORS_SQL = "v AS MATERIALIZED (SELECT entity, list(dosage::DOUBLE ORDER BY feature) AS x FROM feats GROUP BY entity)"
+
+
+def dosage_arrays(t):
+    return staged(t.feats.groupBy("entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", F.col("dosage").cast("double").alias("d")))), lambda s: s["d"]).alias("x")), "dosage-arrays")
+
+
+@query("f7_gram", f"WITH {VECTORS_SQL} SELECT a.entity AS i, b.entity AS j, list_dot_product(a.x, b.x) AS k FROM v a, v b WHERE a.entity % 100 = 0")
 def _(t):
-    return features.gram(t.feats.filter("entity < 100").withColumn("z", F.col("dosage").cast("double")), "entity", "feature")
+    x = dosage_arrays(t)
+    return nearest.inner_products(x, x.filter("entity % 100 = 0"), "entity", "x")
 
 
-@query("f8_f9_kernels", """
-WITH f AS (SELECT entity, feature, dosage FROM feats WHERE entity < 100), p AS (SELECT feature, avg(dosage) / 2 AS p FROM f GROUP BY feature), c AS (SELECT sum(2 * p * (1 - p)) AS c FROM p), z AS (SELECT entity, feature, dosage - 2 * p AS z FROM f JOIN p USING (feature)),
-g AS (SELECT a.entity AS i, b.entity AS j, sum(a.z * b.z) / any_value(c.c) AS k FROM z a JOIN z b ON a.feature = b.feature AND a.entity <= b.entity, c GROUP BY ALL), d AS (SELECT i AS e, k AS d FROM g WHERE i = j),
-h AS (SELECT g.i, g.j, g.k, sqrt(a.d * b.d) AS norm, greatest(-1, least(1, g.k / sqrt(a.d * b.d))) AS c FROM g JOIN d a ON a.e = g.i JOIN d b ON b.e = g.j)
-SELECT i, j, round(k, 5) AS vanraden, round(norm / pi() * (sin(acos(c)) + (pi() - acos(c)) * cos(acos(c))), 5) AS arc FROM h""")
+@query("f8_f9_kernels", f"""
+WITH p AS (SELECT feature, avg(dosage) / 2 AS p FROM feats GROUP BY feature), c AS (SELECT sum(2 * p * (1 - p)) AS c FROM p), v AS MATERIALIZED (SELECT entity, list(dosage - 2 * p ORDER BY feature) AS x FROM feats JOIN p USING (feature) GROUP BY entity),
+g AS (SELECT a.entity AS i, b.entity AS j, list_dot_product(a.x, b.x) / c AS k, sqrt(list_dot_product(a.x, a.x) * list_dot_product(b.x, b.x)) / c AS norm FROM v a, v b, c WHERE a.entity % 100 = 0), h AS (SELECT *, greatest(-1, least(1, k / norm)) AS c FROM g)
+SELECT i, j, round(k, 5) AS vanraden, round(norm / pi() * (sin(acos(c)) + (pi() - acos(c)) * cos(acos(c))), 4) AS arc FROM h""")
 def _(t):
-    g = features.vanraden(t.feats.filter("entity < 100"), "entity", "feature", "dosage")
-    return g.join(features.arc_cosine_kernel(g).withColumnRenamed("k", "arc"), ["i", "j"]).select("i", "j", F.round("k", 5).alias("vanraden"), F.round("arc", 5).alias("arc"))
+    x, scale = features.vanraden_arrays(dosage_arrays(t), "x")
+    x = staged(x.withColumn("d", blocks.dot(F.col("x"), F.col("x"))), "centred-arrays")
+    g = nearest.inner_products(x, x.filter("entity % 100 = 0"), "entity", "x").join(x.select(F.col("entity").alias("i"), F.col("d").alias("di")), "i").join(x.select(F.col("entity").alias("j"), F.col("d").alias("dj")), "j")
+    k, di, dj = (F.col(c) / scale for c in ("k", "di", "dj"))
+    return g.select("i", "j", F.round(k, 5).alias("vanraden"), F.round(features.arc_cosine(k, di, dj), 4).alias("arc"))
 
 
-@query("f11_mixed_correlation", "SELECT a.entity AS i, b.entity AS j, round(CASE WHEN a.entity = b.entity THEN 0.6::DOUBLE + 0.4::DOUBLE * sum(a.dosage * b.dosage) ELSE 0.4::DOUBLE * sum(a.dosage * b.dosage) END, 6)::DOUBLE AS k FROM feats a JOIN feats b ON a.feature = b.feature AND a.entity <= b.entity WHERE a.entity < 50 AND b.entity < 50 GROUP BY a.entity, b.entity")
+@query("f11_mixed_correlation", f"WITH {VECTORS_SQL} SELECT a.entity AS i, b.entity AS j, round(CASE WHEN a.entity = b.entity THEN 0.6::DOUBLE ELSE 0 END + 0.4::DOUBLE * list_dot_product(a.x, b.x), 6) AS k FROM v a, v b WHERE a.entity % 100 = 0")
 def _(t):
-    g = features.gram(t.feats.filter("entity < 50").withColumn("z", F.col("dosage").cast("double")), "entity", "feature")
-    return features.mixed_correlation(g, 0.4).withColumn("k", r6("k"))
+    x = dosage_arrays(t)
+    return features.mixed_correlation(nearest.inner_products(x, x.filter("entity % 100 = 0"), "entity", "x"), 0.4).withColumn("k", r6("k"))
 
 
 @query("f12_weather", """
@@ -498,9 +508,9 @@ def _(t):
 
 
 @query("b14_hybrid_dosage", """
-WITH p AS (SELECT DISTINCT entity AS a, (entity * 7 + 5) % 400 AS b FROM feats WHERE entity < 60) SELECT p.a, p.b, x.feature, round_even((x.d + y.d) / 2.0::DOUBLE, 0)::INT AS d FROM p JOIN feats x ON x.entity = p.a JOIN feats y ON y.entity = p.b AND y.feature = x.feature""")
+WITH p AS (SELECT DISTINCT entity AS a, (entity * 7 + 5) % (SELECT count(*) FROM embeddings) AS b FROM feats) SELECT p.a, p.b, x.feature, round_even((x.d + y.d) / 2.0::DOUBLE, 0)::INT AS d FROM p JOIN feats x ON x.entity = p.a JOIN feats y ON y.entity = p.b AND y.feature = x.feature""")
 def _(t):
-    pairs = t.feats.filter("entity < 60").select(F.col("entity").alias("a"), ((F.col("entity") * 7 + 5) % 400).alias("b")).distinct()
+    pairs = t.feats.select(F.col("entity").alias("a"), ((F.col("entity") * 7 + 5) % t.table("embeddings").count()).alias("b")).distinct()
     return features.hybrid_dosage(pairs, t.feats.select("entity", "feature", "d"), "a", "b", "entity", "feature", "d").select("a", "b", "feature", "d")
 
 

@@ -91,18 +91,18 @@ def _(t):
 
 
 @query("d29_unit_variants", """
-WITH c AS (SELECT c.*, p_brand AS b FROM cells c JOIN part ON p_partkey = entity WHERE location < 10)
+WITH c AS (SELECT c.*, p_brand AS b FROM cells c JOIN part ON p_partkey = entity)
 SELECT 'group' AS variant, group_id AS unit, entity, round(value, 6) AS value FROM c UNION ALL SELECT 'centred', group_id, entity, round(value - avg(value) OVER (PARTITION BY group_id, b), 6) FROM c UNION ALL SELECT 'subgroup', group_id || '#' || b, entity, round(value, 6) FROM c""")
 def _(t):
     s = t.table("part").select(F.col("p_partkey").alias("entity"), F.col("p_brand").alias("subgroup"))
-    return panels.unit_variants(t.cells.filter("location < 10"), s, "group_id", "entity", "value").withColumn("value", r6("value"))
+    return panels.unit_variants(t.cells, s, "group_id", "entity", "value").withColumn("value", r6("value"))
 
 
 @query("d11_weighted_correlations", f"""
-WITH c AS (SELECT a.period AS pa, b.period AS pb, count(*) AS n, {corr_sql('a.value', 'b.value')} AS r FROM cells a JOIN cells b ON a.entity = b.entity AND a.group_id < b.group_id WHERE a.location < 20 AND b.location < 20 GROUP BY a.group_id, b.group_id, a.period, b.period HAVING count(*) >= 5)
+WITH c AS (SELECT a.period AS pa, b.period AS pb, count(*) AS n, {corr_sql('a.value', 'b.value')} AS r FROM cells a JOIN cells b ON a.entity = b.entity AND a.group_id < b.group_id GROUP BY a.group_id, b.group_id, a.period, b.period HAVING count(*) >= 5)
 SELECT CASE WHEN pa = pb THEN 'same' ELSE 'other' END AS class, round(sum(r * (n - 3)) / sum(n - 3) FILTER (r IS NOT NULL), 6) AS r, count(r) AS n_defined FROM c GROUP BY ALL""")
 def _(t):
-    c = aggs.pair_correlations(t.cells.filter("location < 20"), "group_id", "entity", "value", ["period"], 5)
+    c = aggs.pair_correlations(t.cells, "group_id", "entity", "value", ["period"], 5)
     c = c.withColumn("class", F.when(F.col("a_period") == F.col("b_period"), "same").otherwise("other"))
     return aggs.weighted_mean(c, ["class"], "r", F.col("shared") - 3).withColumn("r", r6("r"))
 
@@ -191,9 +191,9 @@ def _(t):
 
 
 @query("s5_fit_rows", """
-WITH g AS (SELECT entity, (row_number() OVER (ORDER BY md5('s5|' || entity), entity) - 1) % 5 AS part FROM (SELECT DISTINCT entity FROM cells)) SELECT group_id, entity FROM cells JOIN g USING (entity) WHERE part NOT IN (0, 1) AND location < 10""")
+WITH g AS (SELECT entity, (row_number() OVER (ORDER BY md5('s5|' || entity), entity) - 1) % 5 AS part FROM (SELECT DISTINCT entity FROM cells)) SELECT group_id, entity FROM cells JOIN g USING (entity) WHERE part NOT IN (0, 1)""")
 def _(t):
-    c = t.cells.filter("location < 10")
+    c = t.cells
     s = splits.grouped_folds(t.cells, "entity", 5, "s5").select("group_id", "entity", "fold", "role")
     return splits.fit_rows(c, s, ["group_id", "entity"], 0, ("train",)).select("group_id", "entity")
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from harrow.operators import ensemble, features, metrics, models, windows
+from harrow.operators import ensemble, metrics, models, nearest, windows
 from harrow.plans import reports
 from harrow.plans.declare import query
 from harrow.plans.queries_core import RANKED, corr_sql
-from harrow.plans.queries_more import B, DIFFS_SQL, boot_sql, diffs, md5_sql
+from harrow.plans.queries_more import B, DIFFS_SQL, boot_sql, diffs, dosage_arrays, md5_sql
 from harrow.plans.testbed import r6
 
 
@@ -98,12 +98,12 @@ def _(t):
 
 
 @query("j24_kernel_scores", """
-WITH f AS (SELECT entity, feature, (dosage - 1)::DOUBLE AS z FROM feats WHERE entity < 60), g AS (SELECT a.entity AS i, b.entity AS j, sum(a.z * b.z) / 12 AS k FROM f a JOIN f b USING (feature) GROUP BY a.entity, b.entity),
-y AS (SELECT entity, avg(cv) AS y FROM centred WHERE entity < 40 GROUP BY entity) SELECT i AS entity, round(sum(k * y) / (sum(abs(k)) + 1e-9), 5) AS score FROM g JOIN y ON y.entity = g.j GROUP BY i""")
+WITH v AS MATERIALIZED (SELECT entity, list((dosage - 1)::DOUBLE ORDER BY feature) AS x FROM feats GROUP BY entity), y AS (SELECT entity, avg(cv) AS y FROM centred GROUP BY entity),
+g AS (SELECT a.entity, list_dot_product(a.x, b.x) / 64 AS k, y.y FROM v a, v b JOIN y ON y.entity = b.entity WHERE a.entity % 100 = 0) SELECT entity, round(sum(k * y) / (sum(abs(k)) + 1e-9), 5) AS score FROM g GROUP BY entity""")
 def _(t):
-    f = t.feats.filter("entity < 60").select("entity", "feature", (F.col("dosage") - 1).cast("double").alias("z"))
-    g = features.gram(f, "entity", "feature").withColumn("k", F.col("k") / 12)
-    y = t.centred.filter("entity < 40").groupBy("entity").agg(F.avg("cv").alias("y"))
+    x = dosage_arrays(t).withColumn("x", F.transform("x", lambda v: v - 1))
+    g = nearest.inner_products(x, x.filter("entity % 100 = 0"), "entity", "x").withColumn("k", F.col("k") / 64)
+    y = t.centred.groupBy("entity").agg(F.avg("cv").alias("y"))
     return reports.kernel_average(g, y, "entity", "y").withColumn("score", F.round("score", 5))
 
 
@@ -130,7 +130,7 @@ def _(t):
     return d.select("dataset", "period", r6("d").alias("d"), "n_env", r6("se").alias("se"), "se_zero")
 
 
-@query("o1_sorted_output", "SELECT row_number() OVER (ORDER BY period, group_id, entity) AS place, group_id, entity FROM cells WHERE location = 1")
+@query("o1_sorted_output", "SELECT location, row_number() OVER (PARTITION BY location ORDER BY period, group_id, entity) AS place, group_id, entity FROM cells")
 def _(t):
     order = windows.Window.partitionBy("location").orderBy("period", "group_id", "entity")
-    return t.cells.filter("location = 1").select(F.row_number().over(order).cast("long").alias("place"), "group_id", "entity").orderBy("place")
+    return t.cells.select("location", F.row_number().over(order).cast("long").alias("place"), "group_id", "entity").orderBy("location", "place")

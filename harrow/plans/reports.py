@@ -40,9 +40,8 @@ def search_audit(series: DataFrame, response: DataFrame, train: Column, group: s
 
 
 def kernel_average(gram: DataFrame, known: DataFrame, entity: str, y: str) -> DataFrame:
-    """J24 for scores by similarity: kernel-weighted average of known values; ``gram`` has (i, j, k) with i <= j."""
-    both = gram.select("i", "j", "k").unionByName(gram.filter("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "k"))
-    j = both.join(known.select(F.col(entity).alias("j"), F.col(y).alias("__y")), "j")
+    """J24 for scores by similarity: kernel-weighted average of known values; ``gram`` has (i, j, k) with all wanted i."""
+    j = gram.join(known.select(F.col(entity).alias("j"), F.col(y).alias("__y")), "j")
     return j.groupBy(F.col("i").alias(entity)).agg((F.sum(F.col("k") * F.col("__y")) / (F.sum(F.abs("k")) + 1e-9)).alias("score"))
 
 

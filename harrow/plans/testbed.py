@@ -19,9 +19,9 @@ TARGETS = (1997, 1998, 1999)
 
 BASE = """
 plots AS (
-  SELECT l_suppkey AS location, year(l_shipdate)::INT AS period, l_suppkey || '_' || year(l_shipdate) AS group_id, l_partkey AS entity,
-         l_linenumber AS rep, sqrt(l_extendedprice * (1 - l_discount)) / 10 AS value, l_quantity AS quantity
-  FROM lineitem WHERE year(l_shipdate) >= 1995 + l_partkey % 5
+  SELECT location, period, location || '_' || period AS group_id, entity, rep, value, quantity FROM (
+    SELECT l_suppkey AS location, greatest(year(l_shipdate), 1995 + l_partkey % 5)::INT AS period, l_partkey AS entity,
+           l_linenumber AS rep, sqrt(l_extendedprice * (1 - l_discount)) / 10 AS value, l_quantity AS quantity FROM lineitem)
 ), cells AS MATERIALIZED (
   SELECT group_id, location, period, entity, avg(value) AS value, count(*) AS n_plots FROM plots GROUP BY ALL
 ), centred AS MATERIALIZED (
@@ -46,7 +46,7 @@ plots AS (
 ), feats AS (
   SELECT vec_id AS entity, i AS feature, floor(((vec_id * 31 + i * 17) % 97) / 33.0)::INT AS dosage,
          CASE WHEN (vec_id + i) % 11 = 0 THEN NULL ELSE (CASE WHEN embedding[i] > 0.06 THEN 2 WHEN embedding[i] > -0.06 THEN 1 ELSE 0 END) END AS d
-  FROM embeddings, unnest(range(1, 13)) AS r(i) WHERE vec_id < 400
+  FROM embeddings, unnest(range(1, 65)) AS r(i)
 )"""
 
 
@@ -63,8 +63,9 @@ class Testbed:
 
     @cached_property
     def plots(self) -> DataFrame:
-        period = F.year("l_shipdate")
-        return self.table("lineitem").filter(period >= 1995 + F.col("l_partkey") % 5).select(
+        """All line items; those before a part's release count in the year of the release, so that new entities come in every year."""
+        period = F.greatest(F.year("l_shipdate"), (1995 + F.col("l_partkey") % 5).cast("int"))
+        return self.table("lineitem").select(
             F.col("l_suppkey").alias("location"), period.alias("period"), F.concat_ws("_", "l_suppkey", period).alias("group_id"), F.col("l_partkey").alias("entity"),
             F.col("l_linenumber").alias("rep"), (F.sqrt(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / 10).alias("value"), F.col("l_quantity").alias("quantity"))
 
@@ -108,8 +109,8 @@ class Testbed:
 
     @cached_property
     def feats(self) -> DataFrame:
-        """Long features: entity, feature, dosage (complete) and d (0, 1, 2 or null) for the first 400 vectors' first 12 components."""
-        x = self.table("embeddings").filter("vec_id < 400").select(F.col("vec_id").alias("entity"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(12).cast("long"))).alias("feature"), "embedding")
+        """Long features: entity, feature, dosage (complete) and d (0, 1, 2 or null) for the 64 components of all vectors."""
+        x = self.table("embeddings").select(F.col("vec_id").alias("entity"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(64).cast("long"))).alias("feature"), "embedding")
         e = F.element_at("embedding", F.col("feature").cast("int")).cast("double")
         d = F.when(e > 0.06, 2).when(e > -0.06, 1).otherwise(0)
         return x.select("entity", "feature", F.floor(((F.col("entity") * 31 + F.col("feature") * 17) % 97) / F.lit(33.0)).cast("int").alias("dosage"),
