@@ -1,6 +1,9 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in DataFrame functions only.
 
-A text is the set of digests of its paragraphs: its lines, long lines in pieces of ``PIECE`` words. Each digest is put
+A text is the set of digests of its paragraphs. They are its lines; a long line is cut where its content says so, after
+words whose hash is divisible by the mean length wanted, so that an insertion changes the pieces around it only. Short
+texts are cut by content too, and finer (``TIERS``), so that they have enough digests to tell how much two of them
+share; near a tier's end a text has the pieces of both tiers, so that versions on either side of it still compare. Each digest is put
 into one cell of each of three tables (count, XOR of digests, XOR of check values). Subtracting two versions' cells
 cancels what both hold; peeling cells that hold one digest then recovers the digests that differ, at a cost that follows
 the difference and not the texts. Where peeling gets stuck, the pair is taken again with tables ``GROW`` times as large.
@@ -11,7 +14,7 @@ The next document's text comes from a window over ranges of doc_id: approximate
 about equal size, and the first document of each range is sent to the range before it as well. No sort of the whole.
 
 Defined cases: null and empty texts are the same empty set, alike with likeness 1; texts without words but with white
-space have digests too; a null doc_id comes first in the order; rows that share a doc_id are ordered by a hash of the text; a
+space have a digest too; a null doc_id comes first in the order; rows that share a doc_id are ordered by a hash of the text; a
 single document is its own next one; an empty table gives an empty result; other columns are left out of the work.
 """
 
@@ -22,19 +25,45 @@ from pyspark.sql import functions as F
 
 from harrow.llm.shared import partitions, read, staged
 
-PIECE, LONG = 64, 512
-#: The next PIECE words of a long line with the white space around them.
-PIECES = rf"[ \t\x0B\f\r]*+(?:[^\x20\x09-\x0D]++[ \t\x0B\f\r]*+){{1,{PIECE}}}+|[ \t\x0B\f\r]++"
+#: Texts up to so many characters are cut into pieces of so many words on average, longer ones (None) at their lines.
+TIERS = ((256, 1), (1024, 8), (None, None))
+#: Lines of so many characters or more are cut into pieces of so many words on average.
+LONG, PIECE = 512, 64
+#: The first characters of a longer text are a paragraph too, so that an edit further on leaves one at least.
+HEAD = 64
+#: A text within this factor of a tier's end has the pieces of both tiers.
+OVERLAP = 1.25
+#: A word with the white space behind it, or white space at the beginning.
+TOKEN = r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+|^[\x20\x09-\x0D]++"
+MARK = "\x01"
 FIRST, GROW, LAST = 8, 2, 2048  # cells of a table at first; factor for each retry; cells at most
 WIDE, PART = 128, 64  # cells from which a pair is taken in parts; digests of a part
 
 
+def pieces(text: Column, words: int) -> Column:
+    """Runs of words that end where a word's hash is divisible by ``words``: an insertion moves no cut but its own. White space goes with the word before it."""
+    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    if words == 1:
+        return tokens
+    marked = F.transform(tokens, lambda t: F.when(F.pmod(F.xxhash64(t), F.lit(words)) == 0, F.concat(t, F.lit(MARK))).otherwise(t))
+    return F.filter(F.split(F.array_join(marked, ""), MARK, -1), lambda p: p != "")
+
+
 def digests(text: Column) -> Column:
-    """Distinct digests of the paragraphs of a text: lines, those of LONG characters or more in pieces of PIECE words."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    cut = F.transform(lines, lambda x: F.when(F.char_length(x) < LONG, F.array(x)).otherwise(F.regexp_extract_all(x, F.lit(PIECES), F.lit(0))))
-    found = F.array_distinct(F.transform(F.flatten(cut), lambda p: F.xxhash64(p)))
-    return F.when(F.coalesce(text, F.lit("")) == "", F.expr("cast(array() as array<bigint>)")).otherwise(found)
+    """Distinct digests of the paragraphs of a text: its lines, long ones in pieces, or pieces of a short text; none of an empty text."""
+    t = F.coalesce(text, F.lit(""))
+    none = F.expr("cast(array() as array<string>)")
+    n, low = F.char_length(t), 0.0
+    parts = [F.when(n > 2 * HEAD, F.array(F.concat(F.lit("head:"), F.substring(t, 1, HEAD)))).otherwise(none)]
+    for most, words in TIERS:
+        inside = (n > low / OVERLAP) & (n <= most * OVERLAP if most else F.lit(True))
+        if words is None:
+            lines = F.flatten(F.transform(F.split(t, "\n", -1), lambda x: F.when(F.char_length(x) < LONG, F.array(x)).otherwise(pieces(x, PIECE))))
+            parts.append(F.when(inside, lines).otherwise(none))
+        else:  # the same words in pieces of another tier are not the same paragraph
+            parts.append(F.when(inside, F.transform(pieces(t, words), lambda p: F.concat(F.lit(f"{words}:"), p))).otherwise(none))
+        low = float(most or 0)
+    return F.array_distinct(F.transform(F.concat(*parts), lambda p: F.xxhash64(p)))
 
 
 def check_of(digest: Column) -> Column:
@@ -119,13 +148,13 @@ def wanted_size(left: Column, right: Column, surplus: Column, size: int) -> Colu
     return F.greatest(number * 0.45, F.abs(surplus) * 0.4)
 
 
-def differing(rows: DataFrame, left: str, rights: dict[str, str], print_too: tuple[str, ...] = ()) -> DataFrame:
+def differing(rows: DataFrame, left: str, rights: dict[str, str], printing: tuple[str, ...] = ()) -> DataFrame:
     """``rows`` plus, for each name in ``rights``, the digests on one side only of the digest arrays ``left`` and that one.
 
     The first job estimates from the sketches of the first size the size each pair wants, and peels what is small enough.
     The next jobs, each with tables ``GROW`` times as large, take the rows whose pairs want their size or failed at a
     smaller one; what succeeds stays in the written table of its job. Pairs that want more than ``WIDE`` cells are taken
-    in parts. What is not peeled with ``LAST`` cells, as good as never anything, is compared digest by digest.
+    in parts. ``printing``: digest arrays whose sketches of the first size come as text. What is not peeled with ``LAST`` cells, as good as never anything, is compared digest by digest.
     """
     kept, size = rows.columns, FIRST
     missing = F.lit(False)
@@ -134,7 +163,7 @@ def differing(rows: DataFrame, left: str, rights: dict[str, str], print_too: tup
     surplus = {n: (F.array_size(left) - F.array_size(c)).cast("double") for n, c in rights.items()}
     sketched = rows.select("*", *(cells(F.col(c), size).alias(f"sketch_{c}") for c in (left, *rights.values())))
     sized = sketched.select("*", *(wanted_size(F.col(f"sketch_{left}"), F.col(f"sketch_{c}"), surplus[n], size).alias(f"{n}_size") for n, c in rights.items()))
-    first = sized.select(*kept, printed(F.col(f"sketch_{left}")).alias(f"printed_{left}"), *(printed(F.col(f"sketch_{c}")).alias(f"printed_{c}") for c in print_too),
+    first = sized.select(*kept, *(printed(F.col(f"sketch_{c}")).alias(f"printed_{c}") for c in printing),
                          *(F.when(F.col(f"{n}_size") <= size, peeled(F.col(f"sketch_{left}"), F.col(f"sketch_{c}"), size)).alias(n) for n, c in rights.items()), *(f"{n}_size" for n in rights))
     kept = [c for c in first.columns if c not in rights and c not in {f"{n}_size" for n in rights}]
     tried = staged(first, f"fingerprint-{size}")
@@ -216,7 +245,7 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     edited = F.concat(F.substring(text, F.lit(1), n - half), F.substring(following, F.lit(1), half))
     d = docs.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "own", F.col("next_own").alias("after"))
     d = staged(d.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", digests(F.col("edited")).alias("changed"), "after"), "fingerprint-digests")
-    d = differing(d, "own", {"d_edited": "changed", "d_next": "after"}, ("changed",))
+    d = differing(d, "own", {"d_edited": "changed", "d_next": "after"}, ("own", "changed"))
     return d.select(
         "doc_id", "n_chars", "edited_sha256", F.col("printed_own").alias("fingerprint"), F.col("printed_changed").alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed"), F.col("d_edited")).alias("near_edited"), likeness(F.col("own"), F.col("after"), F.col("d_next")).alias("near_next"))

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from harrow.llm.shared import arrow_rows, buckets_for, hash_bucket, kept_in_worker, read, staged, trim
+from harrow.llm.shared import arrow_rows, buckets_for, hash_bucket, kept_in_worker, read, staged
 from harrow.llm.words import chunks
 
 CAPACITY = 2048

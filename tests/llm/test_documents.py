@@ -338,7 +338,7 @@ def test_fingerprints_of_long_texts_that_differ_much(spark):
         got = {r["i"]: r for r in fingerprint.differing(df, "own", {"d": "other"}).collect()}
         for r in got.values():
             assert sorted(r["d"]) == sorted(set(r["own"]) ^ set(r["other"]))
-        assert len(got) == 2 and len(got[1]["d"]) == 2 * (n // 2)
+        assert len(got) == 2 and len(got[1]["d"]) == 2 * (n // 2) + 2  # the beginnings differ too
         return time.time() - began
 
     run(300)
@@ -347,11 +347,33 @@ def test_fingerprints_of_long_texts_that_differ_much(spark):
     assert fingerprint.differing(empty, "own", {"d": "other"}).count() == 0
 
 
+def cut_by_content(text, words):
+    """Runs of words, each with the white space behind it, that end where a word's hash is divisible by ``words``."""
+    import xxhash
+
+    out, run = [], ""
+    for token in re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*|^[\x20\x09-\x0D]+", text):
+        run += token
+        h = xxhash.xxh64(token.encode(), seed=42).intdigest()
+        if words == 1 or (h - (1 << 64) if h >> 63 else h) % words == 0:
+            out, run = [*out, run], ""
+    return [*out, run] if run else out
+
+
 def parts_of(text):
-    """The paragraphs of a text: lines, those of 512 characters or more in pieces of 64 words with the white space around them."""
-    out = set()
-    for line in (text or "").split("\n") if text else []:
-        out.update([line] if len(line) < 512 else re.findall(r"[ \t\x0B\f\r]*(?:[^\x20\x09-\x0D]+[ \t\x0B\f\r]*){1,64}|[ \t\x0B\f\r]+", line))
+    """The paragraphs of a text: lines, those of 512 characters or more cut by content to 64 words on average; up to 1,024
+    characters by content to 8 words, up to 256 to single words; those of both sides within a factor of 1.25 of a limit; and the first 64 characters."""
+    text = text or ""
+    n, out = len(text), set()
+    if n > 128:
+        out.add("head:" + text[:64])
+    if 0 < n <= 256 * 1.25:
+        out.update("1:" + p for p in cut_by_content(text, 1))
+    if 256 / 1.25 < n <= 1024 * 1.25:
+        out.update("8:" + p for p in cut_by_content(text, 8))
+    if n > 1024 / 1.25:
+        for line in text.split("\n"):
+            out.update([line] if len(line) < 512 else cut_by_content(line, 64))
     return out
 
 
@@ -359,7 +381,7 @@ def test_fingerprint_query(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
     got = {r["doc_id"]: r for r in registry.queries()["op6_fingerprint"](spark, DATA).collect()}
     assert len(got) == len(docs)
-    by_print = {}
+    by_print, higher, whole = {}, 0, 0
     for k, d in enumerate(docs):
         n = len(d["text"])
         edited = d["text"][: n - n // 2] + docs[(k + 1) % len(docs)]["text"][: n // 2]
@@ -368,9 +390,23 @@ def test_fingerprint_query(spark):
         sets = [parts_of(t) for t in (d["text"], edited, docs[(k + 1) % len(docs)]["text"])]
         for name, other in (("near_edited", sets[1]), ("near_next", sets[2])):
             assert abs(r[name] - (len(sets[0] & other) / len(sets[0] | other) if sets[0] | other else 1)) < 1e-9
+        if n >= 50 and edited != d["text"]:
+            assert r["near_edited"] > 0
+            higher += r["near_edited"] > r["near_next"]
+            whole += 1
         by_print.setdefault(d["text"], set()).add(r["fingerprint"])
     assert all(len(v) == 1 for v in by_print.values())
-    assert sum(r["near_edited"] for r in got.values()) > 5 * sum(r["near_next"] for r in got.values())
+    assert sum(r["near_edited"] for r in got.values()) > 5 * sum(r["near_next"] for r in got.values()) and higher >= 0.99 * whole > 100
+
+
+def test_short_and_shifted_texts_keep_a_likeness(spark):
+    words = "the quick brown fox jumps over the lazy dog while seven grey geese watch from a low stone wall near the river".split()
+    one = " ".join(words)
+    long = " ".join(f"{w}{i}" for i in range(40) for w in words)
+    pairs = [(one, one[: len(one) // 2] + "x" * 50), (long, "a " + long), (long[:1000], long[:1100]), (one, "nothing in common at all between these")]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, l string, r string")
+    got = [r["like"] for r in df.select("i", fingerprint.digests(F.col("l")).alias("a"), fingerprint.digests(F.col("r")).alias("b")).select("i", (F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))).alias("like")).orderBy("i").collect()]
+    assert got[0] > 0.2 and got[1] > 0.7 and got[2] > 0.5 and got[3] < 0.15, got
 
 
 def test_restored_words():
