@@ -6,8 +6,8 @@
    each sign may stand for itself or letters it is used for, separators may go, repeated letters may be one. The Viterbi
    path under the trigram model and the channel's costs is the restored word. Plain words are left alone.
 3. A text's features are its restored words and their beginnings. Those that toxic documents of the labelled sample hold
-   clearly more often than the others are kept (``most_features`` at most), and a logistic regression on them gives the
-   score. The sample has at most ``max_labelled`` documents, chosen by hash, never a held-out one.
+   clearly more often than the others are kept, all of them: their number is bounded by the sample's words. A logistic
+   regression on them gives the score. The sample has at most ``max_labelled`` documents, chosen by hash, never a held-out one.
 
 Scoring is one narrow pass over the texts with models of bounded size.
 
@@ -211,7 +211,7 @@ def _logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 10_000, most_features: int = 4000) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 10_000) -> Model:
     spark = docs.sparkSession
     counts = np.zeros(N**3, np.int64)
     with arrow_rows(spark, 1000):
@@ -237,8 +237,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 10_000, most_f
 
         df = sample.mapInPandas(lean(document_counts), "feature string, df1 long, df0 long").groupBy("feature").agg(F.sum("df1").alias("df1"), F.sum("df0").alias("df0"))
         p1, p0 = (F.col("df1") + 0.1) / (n1 + 0.2), (F.col("df0") + 0.1) / (n0 + 0.2)
-        best = df.filter((F.col("df1") >= 2) & (p1 > 3 * p0)).withColumn("gain", (p1 - p0) * F.log(p1 / p0))
-        chosen = sorted((r["feature"], r["df1"], r["df0"]) for r in best.orderBy(F.desc("gain"), "feature").limit(most_features).collect())
+        chosen = sorted((r["feature"], r["df1"], r["df0"]) for r in df.filter((F.col("df1") >= 2) & (p1 > 3 * p0)).collect())  # of the labelled sample
         vocabulary = [c[0] for c in chosen]
         if not vocabulary:
             return Model(counts, [], np.zeros(0), _logit(n1 / (n1 + n0)))

@@ -1,6 +1,7 @@
 """Operators on documents: edge cases, brute force, SQL."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -452,6 +453,80 @@ def test_toxicity_on_held_out_labels(spark):
     assert auc > 0.85 and (q >= 0.3).mean() < 0.05
 
 
+def test_viterbi_finds_the_cheapest_path():
+    """Every path through short lattices, priced one by one."""
+    import itertools
+
+    g = random.Random(3)
+    words = [g.choice(["stupid", "idiot", "house", "garden", "moron", "letter"]) for _ in range(3000)]
+    counts = np.zeros(toxicity.N**3, np.int64)
+    c = toxicity.letter_class(np.array([ord(x) for x in "  " + " ".join(words) + " "]))
+    np.add.at(counts, (c[:-2] * toxicity.N + c[1:-1]) * toxicity.N + c[2:], 1)
+    r = toxicity.Restorer(counts)
+    for word in ("stup1d", "1d10t", "m.o.r.o.n", "stuuupid", "h0use", "g@rd3n", "l3tt3r", "a1", "x--y", "sstt"):
+        best = None
+        for ways in itertools.product(*r.lattice(word)):
+            text, total, x, y = "", 0.0, 0, 0
+            for way, price in ways:
+                total += price
+                for ch in way:
+                    z = r.code(ch)
+                    total, x, y = total + r.cost[x][y][z], y, z
+                text += way
+            total += r.cost[x][y][0]
+            best = min(best or (math.inf, ""), (total, text))
+        got = r.restore(word)
+        assert got == best[1] or abs(priced(r, word, got) - best[0]) < 1e-9, (word, got, best)
+    assert r.restore("stup1d") == "stupid" and r.restore("1d10t") == "idiot" and r.restore("m.o.r.o.n") == "moron"
+
+
+def priced(r, word, text):
+    """The least cost of a path through the word's lattice that spells ``text``."""
+    import itertools
+
+    out = math.inf
+    for ways in itertools.product(*r.lattice(word)):
+        if "".join(w for w, _ in ways) == text:
+            total, x, y = sum(p for _, p in ways), 0, 0
+            for ch in text:
+                z = r.code(ch)
+                total, x, y = total + r.cost[x][y][z], y, z
+            out = min(out, total + r.cost[x][y][0])
+    return out
+
+
+def test_decoding_finds_planted_disguises(spark):
+    """Toxic words in plain letters are learnt; held-out texts hold them disguised. With and without the decode."""
+    g = random.Random(4)
+    plain = ["".join(g.choice("bcdfglmnprst") + g.choice("aeiou") for _ in range(g.randint(2, 4))) for _ in range(300)]
+    bad = ["dunderhead", "nincompoop", "blockhead", "simpleton", "halfwit"]
+    disguise = [lambda w: w.replace("e", "3").replace("o", "0").replace("i", "1"), lambda w: ".".join(w), lambda w: w[:2] + w[2] * 4 + w[3:], lambda w: " ".join(w), lambda w: w.replace("a", "@").replace("l", "|")]
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    rows, labels = [], []
+    for i in range(900):
+        toxic = i % 3 == 0
+        words = [g.choice(plain) for _ in range(40)]
+        if toxic:
+            for _ in range(2):
+                w = g.choice(bad)
+                words[g.randrange(40)] = g.choice(disguise)(w) if held(i) else w
+        else:
+            words[g.randrange(40)] = g.choice(disguise)(g.choice(plain))  # clean texts have odd tokens too
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    model = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    with_it, without = toxicity.Featurizer(model.counts, model.vocabulary), toxicity.Featurizer(model.counts, model.vocabulary)
+    without.restorer.words = toxicity.LETTERS.findall
+    share = lambda of, want: np.mean([1 / (1 + math.exp(-model.logit(of(t)))) >= 0.3 for (i, t), (_, y) in zip(rows, labels) if held(i) and y == want])
+    assert share(with_it, 1) > 0.9 and share(without, 1) < 0.7 and share(with_it, 0) < 0.05, [share(o, y) for o in (with_it, without) for y in (0, 1)]
+    got = {r["doc_id"]: r["toxic_score"] for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).select("row.doc_id", "toxic_score").collect()}
+    for i, text in rows[:200]:  # the score, term by term
+        names = {f for t in toxicity.tokens(text) for f in toxicity.features(with_it.restorer.words(t))} & set(model.vocabulary)
+        at = [model.vocabulary.index(f) for f in names]
+        z = model.intercept + sum(model.weights[k] for k in at) + (model.lead * max(model.strength[k] for k in at) if at else 0)
+        assert abs(got[i] - 1 / (1 + math.exp(-z))) < 1e-9
+
+
 def test_toxicity_edges(spark, docs):
     docs = docs.withColumns({"toxic_score": F.lit("clash"), "row": F.lit(1)})
     none = spark.createDataFrame([], "doc_id long, toxic int")
