@@ -101,7 +101,6 @@ def lean(work: Callable) -> Callable:
     def run(batches):
         for drop in kept_in_worker:
             drop()
-        trim()
         yield from work(batches)
         trim()
 
