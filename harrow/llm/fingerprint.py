@@ -148,13 +148,14 @@ def wanted_size(left: Column, right: Column, surplus: Column, size: int) -> Colu
     return F.greatest(number * 0.45, F.abs(surplus) * 0.4)
 
 
-def differing(rows: DataFrame, left: str, rights: dict[str, str], printing: tuple[str, ...] = ()) -> DataFrame:
+def differing(rows: DataFrame, left: str, rights: dict[str, str], printing: tuple[str, ...] = (), number: str = "__row") -> DataFrame:
     """``rows`` plus, for each name in ``rights``, the digests on one side only of the digest arrays ``left`` and that one.
 
     The first job estimates from the sketches of the first size the size each pair wants, and peels what is small enough.
     The next jobs, each with tables ``GROW`` times as large, take the rows whose pairs want their size or failed at a
     smaller one; what succeeds stays in the written table of its job. Pairs that want more than ``WIDE`` cells are taken
-    in parts. ``printing``: digest arrays whose sketches of the first size come as text. What is not peeled with ``LAST`` cells, as good as never anything, is compared digest by digest.
+    in parts. ``printing``: digest arrays whose sketches of the first size come as text;
+    ``number``: a name for the rows' numbers in the first job's table, so that parts need no table of their own. What is not peeled with ``LAST`` cells, as good as never anything, is compared digest by digest.
     """
     kept, size = rows.columns, FIRST
     missing = F.lit(False)
@@ -163,14 +164,14 @@ def differing(rows: DataFrame, left: str, rights: dict[str, str], printing: tupl
     surplus = {n: (F.array_size(left) - F.array_size(c)).cast("double") for n, c in rights.items()}
     sketched = rows.select("*", *(cells(F.col(c), size).alias(f"sketch_{c}") for c in (left, *rights.values())))
     sized = sketched.select("*", *(wanted_size(F.col(f"sketch_{left}"), F.col(f"sketch_{c}"), surplus[n], size).alias(f"{n}_size") for n, c in rights.items()))
-    first = sized.select(*kept, *(printed(F.col(f"sketch_{c}")).alias(f"printed_{c}") for c in printing),
+    first = sized.select(*kept, F.monotonically_increasing_id().alias(number), *(printed(F.col(f"sketch_{c}")).alias(f"printed_{c}") for c in printing),
                          *(F.when(F.col(f"{n}_size") <= size, peeled(F.col(f"sketch_{left}"), F.col(f"sketch_{c}"), size)).alias(n) for n, c in rights.items()), *(f"{n}_size" for n in rights))
     kept = [c for c in first.columns if c not in rights and c not in {f"{n}_size" for n in rights}]
     tried = staged(first, f"fingerprint-{size}")
     done, todo = [tried.filter(~missing).select(*kept, *rights)], tried.filter(missing)
     wide = F.greatest(*(F.when(F.col(n).isNull(), F.col(f"{n}_size")).otherwise(F.lit(0.0)) for n in rights), F.lit(0.0)) > WIDE
     if not (far := todo.filter(wide)).isEmpty():
-        done.append(_in_parts(far, left, rights).select(*kept, *rights))
+        done.append(_in_parts(far, left, rights, number).select(*kept, *rights))
         todo = todo.filter(~wide)
     while size < LAST and not todo.isEmpty():
         size *= GROW
@@ -182,13 +183,13 @@ def differing(rows: DataFrame, left: str, rights: dict[str, str], printing: tupl
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out
+    return out.drop(number)
 
 
-def _in_parts(rows: DataFrame, left: str, rights: dict[str, str]) -> DataFrame:
+def _in_parts(rows: DataFrame, left: str, rights: dict[str, str], number: str) -> DataFrame:
     """``differing`` for pairs that differ much: their digests are dealt to parts of about PART each, by other bits than the
     cells use, and the parts are sketched and peeled as rows of their own. So the work is linear in a text's paragraphs."""
-    rows = staged(rows.drop(*rights).withColumn("__id", F.monotonically_increasing_id()), "fingerprint-wide")  # written, so the numbers stay
+    rows = rows.drop(*rights)  # of a written table, so the numbers stay
     columns = (left, *rights.values())
     parts = F.greatest(F.ceil(F.greatest(*(F.array_size(c) for c in columns)) / PART), F.lit(1))
 
@@ -196,11 +197,11 @@ def _in_parts(rows: DataFrame, left: str, rights: dict[str, str]) -> DataFrame:
         return F.transform(column, lambda d: F.struct(F.lit(i).alias("of"), d.alias("d")))
 
     tagged = F.flatten(F.array(*(tag(c, i) for i, c in enumerate(columns))))
-    each = rows.select("__id", parts.alias("__n"), F.explode(tagged).alias("x")).select("__id", F.pmod(F.xxhash64("x.d"), "__n").alias("__part"), "x.of", "x.d")
-    sets = each.groupBy("__id", "__part").agg(*(F.collect_list(F.when(F.col("of") == i, F.col("d"))).alias(c) for i, c in enumerate(columns)))
-    found = differing(staged(sets, "fingerprint-parts"), left, rights)
-    found = found.groupBy("__id").agg(*(F.flatten(F.collect_list(n)).alias(n) for n in rights))
-    return rows.join(found, "__id").drop("__id")
+    each = rows.select(number, parts.alias("__n"), F.explode(tagged).alias("x")).select(number, F.pmod(F.xxhash64("x.d"), "__n").alias("__part"), "x.of", "x.d")
+    sets = each.groupBy(number, "__part").agg(*(F.collect_list(F.when(F.col("of") == i, F.col("d"))).alias(c) for i, c in enumerate(columns)))
+    found = differing(staged(sets, "fingerprint-parts"), left, rights, (), f"{number}_")
+    found = found.groupBy(number).agg(*(F.flatten(F.collect_list(n)).alias(n) for n in rights))
+    return rows.join(found, number)
 
 
 def likeness(left: Column, right: Column, difference: Column) -> Column:
