@@ -156,3 +156,26 @@ def test_null_columns_go(spark):
     df = spark.createDataFrame([(1, 1.0, None), (2, 2.0, 3.0)], "k int, a double, b double")
     assert clean.without_null_columns(df, ["k"]).columns == ["k", "a"]
     assert clean.matching(df, "^[ab]$") == ["a", "b"]
+
+
+def test_draws_by_the_array_are_md5_draws():
+    import hashlib
+
+    from harrow.operators.draws import Tails, heads
+
+    for prefix, first, last, n, start in (("i6|9_1997", 0, 120, 30, 0), ("k8spearman|set|1999", 95, 105, 1100, 0), ("i5|entity", 0, 3, 40, 990), ("p" * 60, 0, 2, 5, 0)):
+        want = [[int(hashlib.md5(f"{prefix}|{r}|{s}".encode()).hexdigest()[:8], 16) for s in range(start, start + n)] for r in range(first, last)]
+        assert heads(prefix, first, last, n, start).tolist() == want
+    ends = [f"1997|{i * 37 % 500}_1997é" for i in range(500)]
+    assert Tails(ends).order("i9|12|").tolist() == sorted(range(500), key=lambda i: (hashlib.md5(f"i9|12|{ends[i]}".encode()).hexdigest(), i))
+
+
+def test_correlations_by_replicate_take_nulls_as_the_metric_does(spark):
+    import numpy as np
+
+    nan = float("nan")
+    x, y = np.array([[1.0, 2.0, nan, 4.0, 4.0], [3.0] * 5]), np.array([[2.0, nan, 1.0, 5.0, 3.0], [1.0, 2.0, 3.0, 4.0, 5.0]])
+    rows = [(r, None if x[r, i] != x[r, i] else float(x[r, i]), None if y[r, i] != y[r, i] else float(y[r, i])) for r in range(2) for i in range(5)]
+    want = [r["r"] for r in spark.createDataFrame(rows, "g int, x double, y double").groupBy("g").agg(metrics.pearson("x", "y").alias("r")).orderBy("g").collect()]
+    got = inference.correlations(x, y)
+    assert math.isclose(got[0], want[0], rel_tol=1e-12) and want[1] is None and np.isnan(got[1])
