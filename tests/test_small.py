@@ -179,3 +179,9 @@ def test_correlations_by_replicate_take_nulls_as_the_metric_does(spark):
     want = [r["r"] for r in spark.createDataFrame(rows, "g int, x double, y double").groupBy("g").agg(metrics.pearson("x", "y").alias("r")).orderBy("g").collect()]
     got = inference.correlations(x, y)
     assert math.isclose(got[0], want[0], rel_tol=1e-12) and want[1] is None and np.isnan(got[1])
+
+
+def test_sign_test_of_many_signs(spark):
+    d = spark.createDataFrame([(100_000, 200_000), (0, 7), (3, 4), (5, 5), (0, 0)], "pos long, n long")
+    got = [r["p"] for r in d.select(inference.sign_test(F.col("pos"), F.col("n")).alias("p")).collect()]
+    assert all(math.isclose(a, b, abs_tol=1e-7) for a, b in zip(got, [0.5 + math.comb(200_000, 100_000) / 2**200_001, 1.0, 5 / 16, 1 / 32, 1.0]))
