@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from harrow.operators.inference import draw, reps
-from harrow.operators.metrics import pearson
+from harrow.operators.draws import heads
+from harrow.operators.inference import Ranked, rank_difference
 from harrow.operators.models import centred, normal_equations, reml_grid
-from harrow.operators.windows import midrank
+from harrow.operators.staging import staged
+from harrow.operators.windows import rank_key
 
 
 def one_hot(df: DataFrame, column: str, values: list) -> DataFrame:
@@ -50,21 +52,50 @@ def mixed_reml(spec: DataFrame, yy: float, degrees: int, mixes: list[float], del
 def two_way_bootstrap(rows: DataFrame, group: str, entity: str, value: str, one: str, other: str, b: int, seed: str) -> DataFrame:
     """SE of the mean difference of two rank correlations when groups and entities are drawn; an entity drawn twice is a tie.
 
-    Lists of groups and entities are numbered and drawn by replicate; a drawn entity's rows are repeated inside each group.
+    Entities and groups get the list of the replicates that draw them, once for each time. A group's rows with these lists
+    are one row of arrays; ranks in a replicate follow from how often each row stands in it, so that no row is repeated.
     """
-    from pyspark.sql import Window
-
-    def drawn(key: str) -> DataFrame:
-        k = rows.select(key).distinct()
-        k = k.withColumns({"__i": F.row_number().over(Window.orderBy(key)) - 1, "__n": F.count(F.lit(1)).over(Window.partitionBy())})
-        slots = reps(k.select(F.col("__i").alias("__slot"), "__n"), b)
-        picked = slots.withColumn("__i", draw(F.col("__n"), seed, F.lit(key), F.col("rep"), F.col("__slot")).cast("int"))
-        return picked.join(k.select("__i", key), "__i").groupBy("rep", key).agg(F.count(F.lit(1)).alias(f"__m_{key}"))
-
-    d = rows.select(group, entity, value, one, other).join(drawn(entity), entity)
-    d = d.withColumn("__again", F.explode(F.sequence(F.lit(1), F.col(f"__m_{entity}").cast("int"))))
-    by = ["rep", group]
-    d = d.withColumns({"__v": midrank(value, *by), "__a": midrank(one, *by), "__b": midrank(other, *by)})
-    per = d.groupBy(*by).agg((pearson("__v", "__a") - pearson("__v", "__b")).alias("__d")).filter("__d is not null").join(drawn(group), by)
-    w = F.col(f"__m_{group}")
-    return per.groupBy("rep").agg((F.sum(F.col("__d") * w) / F.sum(w)).alias("__x")).agg(F.avg("__x").alias("mean"), F.stddev_samp("__x").alias("se"))
+    d = rows.select(group, entity, *(rank_key(c, 9).cast("double").alias(n) for c, n in ((value, "v"), (one, "a"), (other, "c"))))
+    d = d.join(drawn_in(rows, entity, b, seed).hint("merge"), entity).withColumnRenamed("in", "__in")
+    packed = d.groupBy(group).agg(F.collect_list(F.struct("v", "a", "c", "__in")).alias("__u")).select(group, *(F.col("__u")[c].alias(c) for c in ("v", "a", "c", "__in")))
+
+    def run(batches):
+        for t in batches:
+            for at in range(0, len(t), 1000):
+                part, out = t.iloc[at : at + 1000], []
+                for row in part[["v", "a", "c", "__in"]].to_dict("records"):
+                    w = np.zeros((b, len(row["v"])), np.int64)
+                    np.add.at(w, (np.concatenate(row["__in"]).astype(int), np.repeat(np.arange(len(row["v"])), [len(x) for x in row["__in"]])), 1)
+                    out.append(rank_difference([Ranked(np.asarray(row[c], float)) for c in ("v", "a", "c")], w))
+                yield pd.DataFrame({group: part[group].repeat(b).to_numpy(), "rep": np.tile(np.arange(b), len(part)), "__d": np.concatenate(out)})
+
+    per = packed.mapInPandas(run, f"`{group}` {rows.schema[group].dataType.simpleString()}, rep int, __d double").filter("__d is not null")
+    of = drawn_in(rows, group, b, seed).select(group, F.explode("in").alias("rep")).groupBy(group, "rep").agg(F.count(F.lit(1)).alias("w"))
+    per = per.join(of.hint("merge"), [group, "rep"])
+    return per.groupBy("rep").agg((F.sum(F.col("__d") * F.col("w")) / F.sum("w")).alias("__x")).agg(F.avg("__x").alias("mean"), F.stddev_samp("__x").alias("se"))
+
+
+def numbered(keys: DataFrame, key: str) -> DataFrame:
+    """(key, i): distinct keys numbered from 0 in their order: by ranges, then inside each; no task sees all of them."""
+    ranges = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    k = staged(keys.select(key).filter(F.col(key).isNotNull()).distinct().repartitionByRange(ranges, key).withColumn("__b", F.spark_partition_id()), "numbered")
+    before = k.groupBy("__b").agg(F.count(F.lit(1)).alias("n")).withColumn("__before", F.coalesce(F.sum("n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("__b").orderBy(key)) - 1
+    return k.join(F.broadcast(before.drop("n")), "__b").select(key, (F.col("__before") + place).alias("i"))  # a row a range
+
+
+def drawn_in(rows: DataFrame, key: str, b: int, seed: str, together: int = 16_384) -> DataFrame:
+    """(key, in): for each distinct key that is drawn the replicates that draw it, once for each time: as many draws as keys in each of ``b``."""
+    k = staged(numbered(rows, key), "numbered-keys")
+    n, spark = k.count(), rows.sparkSession
+
+    def run(batches):
+        for t in batches:
+            for at in t["id"] * together:
+                size = min(together, n - at)
+                got = heads(f"{seed}|{key}", 0, b, size, int(at)) % np.uint32(n)
+                yield pd.DataFrame({"i": got.ravel().astype(np.int64), "rep": np.repeat(np.arange(b), size)})
+
+    chunks = -(-n // together)
+    draws = spark.range(0, chunks, 1, max(1, min(chunks, int(spark.conf.get("spark.sql.shuffle.partitions"))))).mapInPandas(run, "i long, rep int")
+    return draws.groupBy("i").agg(F.collect_list("rep").alias("in")).hint("merge").join(k, "i").select(key, "in")

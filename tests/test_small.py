@@ -185,3 +185,12 @@ def test_sign_test_of_many_signs(spark):
     d = spark.createDataFrame([(100_000, 200_000), (0, 7), (3, 4), (5, 5), (0, 0)], "pos long, n long")
     got = [r["p"] for r in d.select(inference.sign_test(F.col("pos"), F.col("n")).alias("p")).collect()]
     assert all(math.isclose(a, b, abs_tol=1e-7) for a, b in zip(got, [0.5 + math.comb(200_000, 100_000) / 2**200_001, 1.0, 5 / 16, 1 / 32, 1.0]))
+
+
+def test_two_way_draws_are_numbered_by_ranges(spark):
+    from harrow.operators import extra
+
+    keys = spark.range(1000).select((F.col("id") * 7919 % 1009).cast("string").alias("k"))
+    got = {r["k"]: r["i"] for r in extra.numbered(keys, "k").collect()}
+    assert got == {k: i for i, k in enumerate(sorted(str(j * 7919 % 1009) for j in range(1000)))}
+    assert sum(len(r["in"]) for r in extra.drawn_in(keys, "k", 3, "s", together=64).collect()) == 3000
