@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from harrow.operators.draws import heads
 from harrow.operators.inference import Ranked, rank_difference
+from harrow.operators.joins import numbered
 from harrow.operators.models import centred, normal_equations, reml_grid
 from harrow.operators.staging import staged
 from harrow.operators.windows import rank_key
@@ -75,15 +76,6 @@ def two_way_bootstrap(rows: DataFrame, group: str, entity: str, value: str, one:
     return per.groupBy("rep").agg((F.sum(F.col("__d") * F.col("w")) / F.sum("w")).alias("__x")).agg(F.avg("__x").alias("mean"), F.stddev_samp("__x").alias("se"))
 
 
-def numbered(keys: DataFrame, key: str) -> DataFrame:
-    """(key, i): distinct keys numbered from 0 in their order: by ranges, then inside each; no task sees all of them."""
-    ranges = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    k = staged(keys.select(key).filter(F.col(key).isNotNull()).distinct().repartitionByRange(ranges, key).withColumn("__b", F.spark_partition_id()), "numbered")
-    before = k.groupBy("__b").agg(F.count(F.lit(1)).alias("n")).withColumn("__before", F.coalesce(F.sum("n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("__b").orderBy(key)) - 1
-    return k.join(F.broadcast(before.drop("n")), "__b").select(key, (F.col("__before") + place).alias("i"))  # a row a range
-
-
 def drawn_in(rows: DataFrame, key: str, b: int, seed: str, together: int = 16_384) -> DataFrame:
     """(key, in): for each distinct key that is drawn the replicates that draw it, once for each time: as many draws as keys in each of ``b``."""
     k = staged(numbered(rows, key), "numbered-keys")

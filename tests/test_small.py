@@ -194,3 +194,36 @@ def test_two_way_draws_are_numbered_by_ranges(spark):
     got = {r["k"]: r["i"] for r in extra.numbered(keys, "k").collect()}
     assert got == {k: i for i, k in enumerate(sorted(str(j * 7919 % 1009) for j in range(1000)))}
     assert sum(len(r["in"]) for r in extra.drawn_in(keys, "k", 3, "s", together=64).collect()) == 3000
+
+
+def test_pairs_are_counted_where_their_first_is(spark):
+    import re
+
+    from harrow.operators import aggs
+
+    rows = [(f"g{g}", e, float(g * e % 7)) for g in range(12) for e in range(40) if (g * 5 + e * 3) % 4 < 2] + [("g1", 3, 9.0), ("g2", None, 1.0), (None, 3, 1.0)]
+    c = spark.createDataFrame(rows, "g string, e int, v double")
+    a, b = c.selectExpr("g a", "e", "v x"), c.selectExpr("g b", "e", "v y")
+    want = {(r["a"], r["b"]): r["n"] for r in a.join(b, "e").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n >= 8").collect()}
+    assert {(r["a"], r["b"]): r["shared"] for r in aggs.pair_correlations(c, "g", "e", "v", [], 8).collect()} == want and want
+    w = aggs.incidence_weights(c.dropna(), "g", "e")
+    assert not re.search(r"hashpartitioning\(i#\d+L?, j#", w._jdf.queryExecution().toString())
+
+
+def test_shared_content_by_blocks(spark):
+    rows = [(p, f"g{g}", (g * 7 + k * k) % 23, k % 5) for p in (1, 2) for g in range(p * 100, p * 100 + 30) for k in range(12)]
+    d = spark.createDataFrame(rows, "p int, g string, e int, v int").distinct()
+    x, y = d.selectExpr("p", "g a", "e", "v"), d.selectExpr("p", "g b", "e", "v")
+    want = {(r["a"], r["b"]): r["n"] for r in x.join(y, ["p", "e", "v"]).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3").collect()}
+    for block in (4, 1000):
+        got = joins.shared_content(d, "g", ["p"], "e", "v", 3, block=block).collect()
+        assert len(got) == len(want) and {(r["a"], r["b"]): r["shared"] for r in got} == want
+
+
+def test_inner_products_come_in_blocks_of_a_million_at_most():
+    import inspect
+
+    from harrow.operators import nearest
+
+    p = inspect.signature(nearest.inner_products).parameters
+    assert p["row_block"].default * p["query_block"].default <= 2**20
