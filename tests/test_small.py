@@ -227,3 +227,14 @@ def test_inner_products_come_in_blocks_of_a_million_at_most():
 
     p = inspect.signature(nearest.inner_products).parameters
     assert p["row_block"].default * p["query_block"].default <= 2**20
+
+
+def test_quantiles_come_from_places_in_ranges(spark):
+    from harrow.operators import aggs
+
+    rows = [("a", float(i * 37 % 101)) for i in range(500)] + [("b", 1.0)] + [("c", None)] * 3 + [(None, float(i)) for i in range(4)] + [("d", float(i // 50)) for i in range(103)]
+    d = spark.createDataFrame(rows, "g string, v double")
+    got = aggs.describe(d, ["g"], "v")
+    assert "percentile" not in got._jdf.queryExecution().toString()
+    want = d.groupBy("g").agg(F.count("v").alias("n"), *(F.percentile("v", F.lit(s)).alias(f"q{int(100 * s)}") for s in (0.25, 0.5, 0.75)))
+    assert {r["g"]: (r["n"], r["q25"], r["q50"], r["q75"]) for r in got.collect()} == {r["g"]: (r["n"], r["q25"], r["q50"], r["q75"]) for r in want.collect()}
