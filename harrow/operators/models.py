@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from harrow.operators.aggs import gram_sums
 from harrow.operators.staging import staged
-from harrow.operators.windows import center
+from harrow.operators.windows import center, dealt
 
 
 def centred(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
@@ -150,6 +150,7 @@ def count_weighted(cells: DataFrame, entity: str, group: str, value: str) -> Dat
 
 
 def adjusted_means(plots: DataFrame, group: str, entity: str, rep: str, value: str) -> DataFrame:
-    """Entity means adjusted for replicate effects, exact where replicates are complete: value minus its replicate's deviation from the group mean."""
+    """Entity means adjusted for replicate effects, exact where replicates are complete: value minus its replicate's deviation from the group mean. ``plots``: as read, so that files' footers count them."""
+    plots = dealt(plots.select(group, entity, rep, value), plots.count(), group)
     d = plots.withColumn("__adj", F.col(value) - F.avg(value).over(Window.partitionBy(group, rep)) + F.avg(value).over(Window.partitionBy(group)))
     return d.groupBy(group, entity).agg(F.avg("__adj").alias("adjusted"), F.count(F.lit(1)).alias("n"))
