@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from harrow.functions import clean
 from harrow.operators import aggs, ensemble, inference, joins, metrics, splits, windows
+from harrow.plans import reports
 from harrow.sources import genotypes
 
 
@@ -238,3 +239,31 @@ def test_quantiles_come_from_places_in_ranges(spark):
     assert "percentile" not in got._jdf.queryExecution().toString()
     want = d.groupBy("g").agg(F.count("v").alias("n"), *(F.percentile("v", F.lit(s)).alias(f"q{int(100 * s)}") for s in (0.25, 0.5, 0.75)))
     assert {r["g"]: (r["n"], r["q25"], r["q50"], r["q75"]) for r in got.collect()} == {r["g"]: (r["n"], r["q25"], r["q50"], r["q75"]) for r in want.collect()}
+
+
+def test_ranks_sort_once_a_column(spark):
+    rows = [(f"g{i % 3}", i, float(i * 7 % 11), float(i * 5 % 4)) for i in range(90)]
+    df = spark.createDataFrame(rows, "g string, e int, v double, s double")
+    d = metrics.ranked(df, ["g"], "e", "v", "s")
+    assert str(d._jdf.queryExecution().executedPlan().toString()).count("Sort [") == 2
+    for r in d.collect():
+        for key, rank, place in (("v", "__rv", "__pv"), ("s", "__rs", "__ps")):
+            own = [(-x["v" if key == "v" else "s"], x["e"]) for x in (dict(zip("gevs", q)) for q in rows) if x["g"] == r["g"]]
+            assert r[place] == 1 + sum(o < (-r[key], r["e"]) for o in own)
+            assert r[rank] == 1 + sum(o[0] < -r[key] for o in own) + (sum(o[0] == -r[key] for o in own) - 1) / 2
+    one = df.withColumn("m", windows.midrank("v", "g"))
+    assert str(one._jdf.queryExecution().executedPlan().toString()).count("Sort [") == 1
+
+
+def test_rows_are_dealt_by_their_number(spark):
+    df = spark.range(1000).select((F.col("id") % 100).alias("g"), "id")
+    d = windows.dealt(df, 1000, "g", most=20)
+    assert d.rdd.getNumPartitions() >= 50 and d.select("g", F.spark_partition_id().alias("p")).distinct().count() == 100
+    assert windows.dealt(df, 1000, "g") is df
+
+
+def test_scope_report_ranks_once(spark):
+    rows = [("all", p, f"{p}_{g}", e, float(e * 7 % 13), float(e * 5 % 11), float(e * (g + p) % 17)) for p in (1, 2) for g in range(4) for e in range(15)]
+    df = spark.createDataFrame(rows, "scope string, period int, grp string, e int, v double, a double, b double")
+    d = reports.scope_report(df, "scope", "period", "grp", "e", "v", "a", "b", 10, 50, "t")
+    assert "Expand" not in d._jdf.queryExecution().executedPlan().toString() and d.count() == 1
