@@ -9,11 +9,23 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from harrow.operators.staging import staged
+
 
 def assembled(df: DataFrame, columns: list[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol=out, handleInvalid="skip").transform(df)
 
 
+def weighted(train: DataFrame, columns: list[str], target: str) -> DataFrame:
+    """(columns, target, __w): rows of equal features as one, with their mean and number, written once.
+
+    A split by squared error cannot part such rows, and what is left of them after a tree differs by the same amount, so
+    boosting on all rows fits the same trees on means weighted by numbers; the work grows with the distinct features.
+    """
+    mean = F.when(F.count(target) == F.count(F.lit(1)), F.avg(target))  # a null target is Spark ML's to refuse, as in rows
+    return staged(train.groupBy(*columns).agg(mean.alias(target), F.count(F.lit(1)).cast("double").alias("__w")), "boosting-weighted")
+
+
 def forest(train: DataFrame, test: DataFrame, columns: list[str], target: str, trees: int = 300, seed: int = 1) -> DataFrame:
     """Random forest; adds ``prediction``."""
     model = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees, minInstancesPerNode=3, seed=seed).fit(assembled(train, columns))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.operators.blocks import _square, centred_moments, dot, moments, sum_arrays
-from harrow.operators.learners import assembled
+from harrow.operators.learners import assembled, weighted
 from harrow.operators.metrics import mean_metric, pearson
 from harrow.operators.staging import staged
 
@@ -71,7 +71,9 @@ def best_by_folds(scored: DataFrame, fold: str, group: str, y: str, scores: str)
 
 
 def boosted(train: DataFrame, columns: list[str], target: str, rounds: int, depth: int = 4, step: float = 0.1, seed: int = 1, rate: float = 1.0):
-    return GBTRegressor(featuresCol="features", labelCol=target, maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed, subsamplingRate=rate).fit(assembled(train, columns))
+    """Trees that take all rows are fitted on distinct features, weighted; those that take a share of the rows (``rate``), on the rows."""
+    gbt = GBTRegressor(featuresCol="features", labelCol=target, maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed, subsamplingRate=rate)
+    return gbt.fit(assembled(train, columns)) if rate < 1 else gbt.setWeightCol("__w").fit(assembled(weighted(train, columns, target), columns))
 
 
 def staged_scores(model, df: DataFrame, columns: list[str], every: int, out: str = "staged") -> DataFrame:

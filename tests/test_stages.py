@@ -48,6 +48,18 @@ def test_staged_scores_end_where_the_model_does(spark):
     assert len(got[0]["staged"]) == 3 and all(abs(a["staged"][-1] - b["prediction"]) < 1e-9 for a, b in zip(got, want))
 
 
+def test_boosting_of_equal_features_is_that_of_all_rows(spark):
+    rows = [(float(i % 3), float(i // 3 % 5), float((i * 37) % 101) / 10 + 3.0 * (i % 3 == 1) * (i // 3 % 5 > 2)) for i in range(900)]
+    d = spark.createDataFrame(rows, "f0 double, f1 double, y double")
+    few = stages.weighted(d, ["f0", "f1"], "y")
+    assert few.count() == 15 and few.agg(F.sum("__w")).first()[0] == 900
+    model = stages.boosted(d, ["f0", "f1"], "y", 6, 3, 0.3)
+    plain = stages.GBTRegressor(featuresCol="features", labelCol="y", maxIter=6, maxDepth=3, stepSize=0.3, seed=1).fit(stages.assembled(d, ["f0", "f1"]))
+    every = stages.assembled(few, ["f0", "f1"])
+    a, b = (sorted((r["f0"], r["f1"], r["prediction"]) for r in m.transform(every).collect()) for m in (model, plain))
+    assert np.allclose(a, b)
+
+
 def test_residual_boosting(spark):
     d, x, y = nonlinear(spark)
     train, test = d.filter("id < 480"), d.filter("id >= 480")
