@@ -61,10 +61,16 @@ def path_scores(x: str) -> Column:
     return F.zip_with("__c", "__a", lambda c, a: dot(F.col(x), c) + a)
 
 
-def best_by_folds(scored: DataFrame, fold: str, group: str, y: str, scores: str) -> tuple[int, DataFrame]:
-    """Place of the score that is best by the mean over folds of the mean within-group correlation, and the curve (fold, setting, r)."""
-    long = scored.select(fold, group, F.col(y).alias("__y"), F.posexplode(scores).alias("setting", "__s"))
-    per = long.groupBy(fold, "setting", group).agg(pearson("__y", "__s").alias("r"))
+def group_correlations(scored: DataFrame, by: list[str], y: str, scores: Column, n: int) -> DataFrame:
+    """(by, setting, r): correlation of ``y`` with each of ``n`` scores, all in one aggregate: rows are not repeated by setting."""
+    d = scored.select(*by, F.col(y).alias("__y"), scores.alias("__s"))
+    per = d.groupBy(*by).agg(F.array(*(pearson(F.col("__y"), F.col("__s")[i]) for i in range(n))).alias("__r"))
+    return per.select(*by, F.posexplode("__r").alias("setting", "r"))
+
+
+def best_by_folds(scored: DataFrame, fold: str, group: str, y: str, scores: str, n: int) -> tuple[int, DataFrame]:
+    """Place of the score (of ``n``) that is best by the mean over folds of the mean within-group correlation, and the curve (fold, setting, r)."""
+    per = group_correlations(scored, [fold, group], y, F.col(scores), n)
     curve = staged(mean_metric(per, [fold, "setting"], "r").select(fold, "setting", "r"), "fold-curve")
     mean = curve.groupBy("setting").agg(F.avg("r").alias("r")).filter("r is not null").orderBy(F.col("r").desc(), "setting").first()
     return (mean["setting"] if mean else 0), curve
@@ -106,7 +112,7 @@ def residual_boosting(
     total, keys = sum(m.values()), list(m)
     paths = _fits([(k, *_path(ridge_without(total, [m[k]], relative))) for k in keys], train, [fold])
     held = train.join(F.broadcast(paths), fold).withColumn("__scores", path_scores(x)).drop("__c", "__a")
-    setting, curve = best_by_folds(held, fold, group, y, "__scores")
+    setting, curve = best_by_folds(held, fold, group, y, "__scores", len(relative))
     held = staged(held.withColumn("__stage1", F.col("__scores")[setting]).drop("__scores"), "boosting-held")
     at = (relative[setting],)
     both = _fits([(u, v, *_path(ridge_without(total, [m[u], m[v]], at))) for u in keys for v in keys if u != v], train, [fold, f"__other_{fold}"])
@@ -120,7 +126,7 @@ def residual_boosting(
     every_fold = nested[0]
     for n in nested[1:]:
         every_fold = every_fold.unionByName(n)
-    stage, tree_curve = best_by_folds(staged(every_fold, "boosting-nested"), fold, group, y, "__scores")
+    stage, tree_curve = best_by_folds(staged(every_fold, "boosting-nested"), fold, group, y, "__scores", -(-rounds // every))
     final = boosted(held.withColumn("__r", F.col(y) - F.col("__stage1")), columns, "__r", rounds, depth, step)
     coef, a = ridge_without(total, [], at)[0]
     out = staged_scores(final, test.withColumn("stage1", dot(F.col(x), coef) + F.lit(a)), columns, every)
@@ -131,18 +137,38 @@ def residual_boosting(
 # ---- J26, J27: penalty chosen on the last training period, for many variants of the features at once
 
 
-def forward_variants(cells: DataFrame, variant: str, group: str, period: str, y: str, x: str, target: int, relative: tuple[float, ...]) -> tuple[DataFrame, DataFrame]:
+def scaled_moments(m: DataFrame, keys: list[str], factor: str) -> DataFrame:
+    """Moments of (1, x.., factor * x.., y) from those of (1, x.., y): a factor that is one number for each row of ``m`` needs no pass over the cells."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for array, f in zip(b["m"], b[factor]):
+                one = _square(array)
+                p = np.eye(len(one))
+                p = np.vstack([p[:-1], f * p[1:-1], p[-1:]])
+                out.append((p @ one @ p.T).ravel())
+            frame = b[keys].copy()
+            frame["m"] = out
+            yield frame
+
+    kinds = [f"`{k}` {m.schema[k].dataType.simpleString()}" for k in keys]
+    return m.select(*keys, factor, "m").filter(F.col(factor).isNotNull()).mapInPandas(run, ", ".join([*kinds, "m array<double>"]))
+
+
+def forward_variants(cells: DataFrame, variant: str, group: str, period: str, y: str, x: str, target: int, relative: tuple[float, ...], m: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Ridge with group effects for each variant of the features; penalty chosen on the last period before ``target`` by a fit on the earlier ones, then a refit.
 
     ``cells`` has a row for each cell and variant: a base model, anchors, controls with shuffled or true anchors. One pass
     gives the moments of all variants and periods, one job scores all variants and penalties. Nothing of ``target`` or
-    later enters a fit. Returns the target period's rows with ``score``, and (variant, penalty, validation).
+    later enters a fit. Returns the target period's rows with ``score``, and (variant, penalty, validation). ``m``: the moments
+    (variant, group, period, m) of all cells, where the caller has them; then only the last two periods' cells are read.
     """
-    past = cells.filter(F.col(period) < target)
+    past = (cells if m is None else m).filter(F.col(period) < target)
     last = past.agg(F.max(period)).first()[0]
     if last is None:
         raise ValueError(f"no period before {target}")
-    by = centred_moments(moments(past, [variant, group, period], x, y), [variant, group, period])
+    by = centred_moments(moments(past, [variant, group, period], x, y) if m is None else past, [variant, group, period])
     by = staged(by.withColumn("__inner", F.col(period) < last), "variants-moments")
     inner, outer = (_gathered(sum_arrays(m, [variant], "c"), variant, "c") for m in (by.filter("__inner"), by))
 
@@ -155,8 +181,7 @@ def forward_variants(cells: DataFrame, variant: str, group: str, period: str, y:
     zero = [0.0] * len(relative)
     fits = _fits([(k, [c.tolist() for c in paths(m)], zero) for k, m in inner.items()], cells, [variant])
     check = cells.filter(F.col(period) == last).join(F.broadcast(fits), variant)
-    long = check.select(variant, group, F.col(y).alias("__y"), F.posexplode(path_scores(x)).alias("setting", "__s"))
-    curve = mean_metric(long.groupBy(variant, "setting", group).agg(pearson("__y", "__s").alias("r")), [variant, "setting"], "r")
+    curve = mean_metric(group_correlations(check, [variant, group], y, path_scores(x), len(relative)), [variant, "setting"], "r")
     curve = staged(curve.filter("r is not null"), "variants-curve")
     w = Window.partitionBy(variant).orderBy(F.col("r").desc(), "setting")
     best = curve.withColumn("__k", F.row_number().over(w)).filter("__k = 1").select(variant, "setting", "r")

@@ -40,12 +40,13 @@ def _(t):
     past = quantity.filter(F.col("period") < TARGET).groupBy("place").agg(F.avg("q").alias("p"))
     mixed = quantity.select("place", "period", F.first("q").over(Window.partitionBy("period").orderBy(F.md5(F.concat_ws("|", F.lit("j26"), "place", "period"))).rowsBetween(-1, -1)).alias("s"))
     cov = quantity.join(past, "place", "left").join(mixed, ["place", "period"]).withColumns({"s": F.coalesce("s", "q"), "p": F.coalesce("p", "q")})
-    d = d.join(cov, ["place", "period"])
-    times = lambda c: F.concat("x", F.transform("x", lambda v: v * (c - 25.0)))
-    nothing = F.concat("x", F.transform("x", lambda v: F.lit(0.0)))
-    variants = F.explode(F.array(*(F.struct(F.lit(n).alias("variant"), v.alias("z")) for n, v in (("base", nothing), ("true", times(F.col("q"))), ("shuffled", times(F.col("s"))), ("past", times(F.col("p")))))))
-    long = staged(d.select("group_id", "period", "entity", "y", variants.alias("v")).select("group_id", "period", "entity", "y", "v.*"), "variants-cells")
-    out, best = stages.forward_variants(long, "variant", "group_id", "period", "y", "z", TARGET, RELATIVE)
+    cov = staged(cov, "variants-by-group")
+    factors = F.array(*(F.struct(F.lit(n).alias("variant"), f.alias("f")) for n, f in (("base", F.lit(0.0)), ("true", F.col("q") - 25.0), ("shuffled", F.col("s") - 25.0), ("past", F.col("p") - 25.0))))
+    each = cov.select("place", "period", F.explode(factors).alias("v")).select("place", "period", "v.*")
+    m = stages.moments(d, ["group_id", "place", "period"], "x", "y").join(F.broadcast(each), ["place", "period"])  # a row a group and variant
+    m = staged(stages.scaled_moments(m, ["variant", "group_id", "period"], "f"), "variants-raw")
+    long = d.join(F.broadcast(each), ["place", "period"]).select("variant", "group_id", "period", "entity", "y", F.concat("x", F.transform("x", lambda v: v * F.col("f"))).alias("z"))
+    out, best = stages.forward_variants(long, "variant", "group_id", "period", "y", "z", TARGET, RELATIVE, m)
     return out.join(best, "variant").select("variant", "group_id", "entity", "penalty", F.round("validation", 5).alias("validation"), F.round("score", 4).alias("score"))
 
 

@@ -60,6 +60,17 @@ def test_boosting_of_equal_features_is_that_of_all_rows(spark):
     assert np.allclose(a, b)
 
 
+def test_correlations_of_all_settings_in_one_aggregate(spark):
+    d, _, y = nonlinear(spark, 200)
+    got = stages.group_correlations(d, ["grp"], "y", F.array("f0", "f1", F.lit(1.0)), 3)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")  # settings are spread over groups, not over rows
+    long = d.select("grp", "y", F.posexplode(F.array("f0", "f1", F.lit(1.0))).alias("setting", "s"))
+    want = {(r["grp"], r["setting"]): r["r"] for r in long.groupBy("grp", "setting").agg(stages.pearson("y", "s").alias("r")).collect()}
+    rows = got.collect()
+    assert len(rows) == 60 and all(r["r"] is None if r["setting"] == 2 else abs(r["r"] - want[r["grp"], r["setting"]]) < 1e-12 for r in rows)
+
+
 def test_residual_boosting(spark):
     d, x, y = nonlinear(spark)
     train, test = d.filter("id < 480"), d.filter("id >= 480")
@@ -110,6 +121,16 @@ def test_forward_variants(spark):
     assert sorted(round(r["score"], 8) for r in again.collect()) == sorted(round(r["score"], 8) for r in got)
 
 
+def test_moments_of_scaled_features(spark):
+    d, _, _ = nonlinear(spark, 200)
+    d = d.withColumn("f", F.length("grp") - 1.5)
+    m = stages.moments(d, ["grp", "f"], "x", "y")
+    got = {r["grp"]: r["m"] for r in stages.scaled_moments(m, ["grp"], "f").collect()}
+    full = stages.moments(d.withColumn("z", F.concat("x", F.transform("x", lambda v: v * F.col("f")))), ["grp"], "z", "y")
+    want = {r["grp"]: r["m"] for r in full.collect()}
+    assert set(got) == set(want) and all(np.allclose(got[g], want[g]) for g in want)
+
+
 def test_lags(spark):
     history = spark.createDataFrame([("a", 1, 2.0), ("a", 1, 4.0), ("a", 2, 6.0), ("b", 2, 8.0)], "place string, period int, v double")
     cells = spark.createDataFrame([("a", 3), ("b", 3), ("c", 9)], "place string, period int")
