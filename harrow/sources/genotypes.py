@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from harrow.sources import digests
+
 #: Letters for two different bases: fixed values of the format.
 IUPAC_HET = {"R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC"}
 
@@ -101,10 +103,17 @@ def missing_units(expected: DataFrame, present: DataFrame, keys: list[str]) -> D
     return expected.join(present.select(*keys).distinct(), keys, "left_anti")
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(file, bytes, sha256) of the files under a path."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(
-        F.substring_index("path", "/", -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+def manifest(spark: SparkSession, path: str, whole: int = 128 << 20, levels: tuple[tuple[int, int], ...] = digests.LEVELS) -> DataFrame:
+    """(file, bytes, sha256) of the files under a path. Files over ``whole`` bytes are digested piece by piece, so that no task reads or holds one of them."""
+    name = F.substring_index("path", "/", -1).alias("file")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    long = files.filter(F.col("length") > whole).select("path", "length", name).collect()
+    each = files.filter(F.col("length") <= whole)  # pushed down: contents of other files are not read
+    if at_once := [digests.escaped(r["path"]) for r in long if not digests.can_carry(r["path"])]:
+        each = each.unionByName(spark.read.format("binaryFile").load(at_once))
+    out = each.select(name, F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    rows = [(r["file"], r["length"], digests.sha256_by_pieces(spark, r["path"], r["length"], levels)) for r in long if digests.can_carry(r["path"])]
+    return out.unionByName(spark.createDataFrame(rows, "file string, bytes long, sha256 string")) if rows else out
 
 
 def write_predictions(pred: DataFrame, path: str, keys: tuple[str, ...] = ("dataset", "method")) -> None:

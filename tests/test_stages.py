@@ -255,3 +255,18 @@ def test_manifest_query(spark):
     got = {r["file"]: (r["bytes"], r["sha256"]) for r in registry.queries()["a16_manifest"](spark, DATA).collect()}
     want = {n: open(f"{DATA}/{n}", "rb").read() for n in os.listdir(DATA)}
     assert got == {n: (len(b), hashlib.sha256(b).hexdigest()) for n, b in want.items()}
+
+
+def test_manifest_of_files_longer_than_a_piece(spark, tmp_path):
+    import hashlib
+
+    from harrow.sources import genotypes
+
+    g = np.random.Generator(np.random.PCG64(3))
+    sizes = {"one": 1, "at": 1000, "over": 1001, "pieces": 4 * 4096, "odd": 5 * 4096 + 777, "prime [1], {2}": 40_009, "more.parquet": 70_001, "packed.gz": 5000}
+    want = {}
+    for name, n in sizes.items():
+        (tmp_path / name).write_bytes(b := g.bytes(n))
+        want[name] = (n, hashlib.sha256(b).hexdigest())
+    d = genotypes.manifest(spark, f"file://{tmp_path}", 1000, ((4096, 256), (512, 256), (256, 1)))
+    assert {r["file"]: (r["bytes"], r["sha256"]) for r in d.collect()} == want
