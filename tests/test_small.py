@@ -267,3 +267,19 @@ def test_scope_report_ranks_once(spark):
     df = spark.createDataFrame(rows, "scope string, period int, grp string, e int, v double, a double, b double")
     d = reports.scope_report(df, "scope", "period", "grp", "e", "v", "a", "b", 10, 50, "t")
     assert "Expand" not in d._jdf.queryExecution().executedPlan().toString() and d.count() == 1
+
+
+def test_rank_difference_of_groups_over_many_tasks(spark):
+    """The same draws and ranks as where a group is in one task, with ties, and with blocks and ranges much smaller than a group."""
+    import numpy as np
+
+    g = np.random.Generator(np.random.PCG64(4))
+    rows = [(p, e, float(round(v, 1)), float(round(v + g.normal(), 1)), float(e % 5)) for p, n in ((1, 3000), (2, 700), (3, 2)) for e, v in zip(g.permutation(9000)[:n].tolist(), g.normal(size=n))]
+    d = spark.createDataFrame(rows, "period int, entity long, v double, a double, b double")
+    at = inference.placed(d, ["period"], "entity", ["v", "a", "b"], most=500)
+    got = {r["period"]: r for r in inference.rank_difference_of_many(at, ["period"], 7, "t", together=4, most=500, block=256, chunk=1000).collect()}
+    want = {r["period"]: r for r in inference.bootstrap_rank_difference(d, ["period"], "entity", "v", "a", "b", 7, "t").collect()}
+    assert set(got) == set(want) == {1, 2, 3}
+    for p in (1, 2):
+        assert abs(got[p]["mean"] - want[p]["mean"]) < 1e-9 and abs(got[p]["se"] - want[p]["se"]) < 1e-9 and want[p]["se"] > 0
+    assert at.groupBy("period").agg(F.max("__u").alias("u"), F.max("__n").alias("n")).filter("u <> n - 1").isEmpty()
