@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.feature import PCA, VectorAssembler
+import pandas as pd
+from pyspark.ml.feature import PCA, Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harrow.operators.staging import staged
 
+#: Bins of a feature: Spark ML's own number.
+BINS = 32
+
 
 def assembled(df: DataFrame, columns: list[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol=out, handleInvalid="skip").transform(df)
@@ -26,16 +30,138 @@ def weighted(train: DataFrame, columns: list[str], target: str) -> DataFrame:
     return staged(train.groupBy(*columns).agg(mean.alias(target), F.count(F.lit(1)).cast("double").alias("__w")), "boosting-weighted")
 
 
-def forest(train: DataFrame, test: DataFrame, columns: list[str], target: str, trees: int = 300, seed: int = 1) -> DataFrame:
-    """Random forest; adds ``prediction``."""
-    model = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees, minInstancesPerNode=3, seed=seed).fit(assembled(train, columns))
-    return model.transform(assembled(test, columns)).drop("features")
+def bin_edges(train: DataFrame, columns: list[str], bins: int = BINS) -> dict[str, list[float]]:
+    """Lower ends of each column's bins but the first: its values where there are at most ``bins``, else quantiles of all rows."""
+    found = dict(zip(columns, train.approxQuantile(columns, [k / bins for k in range(1, bins)], 1 / (32 * bins))))
+    for c in columns:
+        few = train.select(F.col(c).cast("double")).distinct().limit(bins + 1).collect()
+        found[c] = sorted(set(found[c])) if len(few) > bins else sorted(r[0] for r in few)[1:]
+    return found
+
+
+def binned(df: DataFrame, columns: list[str], edges: dict[str, list[float]]) -> tuple[DataFrame, list[str]]:
+    """``df`` with the number of each column's bin; rows without one of the numbers are skipped, as ``assembled`` skips them."""
+    names = [f"__bin_{c}" for c in columns]
+    d = df.select("*", *(F.col(c).cast("double").alias(f"__d_{c}") for c in columns)).dropna(subset=[f"__d_{c}" for c in columns])
+    splits = [[-np.inf, *edges[c], np.inf] for c in columns]
+    wide = [c for c, s in zip(columns, splits) if len(s) > 2]
+    if wide:
+        d = Bucketizer(splitsArray=[s for s in splits if len(s) > 2], inputCols=[f"__d_{c}" for c in wide], outputCols=[f"__bin_{c}" for c in wide]).transform(d)
+    d = d.withColumns({f"__bin_{c}": F.col(f"__bin_{c}") + 0.0 if c in wide else F.lit(0.0) for c in columns})  # as numbers: Bucketizer calls them categories
+    return d.drop(*(f"__d_{c}" for c in columns)), names
+
+
+def _in_cells(d: DataFrame, names: list[str], bins: int) -> DataFrame:
+    return d.withColumn("__cell", sum((F.col(n).cast("long") * bins**i for i, n in enumerate(names)), F.lit(0).cast("long")))
+
+
+def bagged(d: DataFrame, target: str, trees: int, seed: int, together: int = 10, most: int = 1_000_000) -> DataFrame:
+    """(__cell, __batch, __k, __s): for each tree how often the cell's rows are drawn (Poisson with mean 1, each row by itself) and their target's total.
+
+    What a tree by squared error needs of its bag, so that trees are fitted on cells and not on rows. Trees stand ``together``
+    in a batch's arrays; cells of more than ``most`` rows are dealt to several tasks.
+    """
+    rows = d.select("__cell", F.col(target).cast("double").alias("__y"))
+    share = rows.groupBy("__cell").agg(F.ceil(F.count(F.lit(1)) / most).alias("__of"))
+    rows = rows.join(share, "__cell").withColumn("__salt", F.pmod(F.xxhash64("__y"), "__of")).drop("__of")
+    rows = rows.repartition(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__cell", "__salt").sortWithinPartitions("__cell", "__salt", "__y")
+    batches = [(b, min(together, trees - b * together)) for b in range(-(-trees // together))]
+
+    def out(key, k, s):
+        return {"__cell": [key[0]] * len(batches), "__batch": [b for b, _ in batches], "__k": np.split(k, range(together, trees, together)), "__s": np.split(s, range(together, trees, together))}
+
+    def run(frames):
+        at, k, s, g = None, None, None, None
+        for t in frames:
+            for key, part in t.groupby(["__cell", "__salt"], sort=False)["__y"]:
+                if key != at:
+                    if at is not None:
+                        yield pd.DataFrame(out(at, k, s))
+                    at, k, s, g = key, np.zeros(trees), np.zeros(trees), np.random.Generator(np.random.PCG64([seed, *map(int, key)]))
+                y = part.to_numpy()
+                drawn = g.poisson(1.0, (len(y), trees))
+                k, s = k + drawn.sum(0), s + y @ drawn
+        if at is not None:
+            yield pd.DataFrame(out(at, k, s))
+
+    return rows.mapInPandas(run, "__cell long, __batch int, __k array<double>, __s array<double>")
+
+
+def _tree(x: np.ndarray, w: np.ndarray, s: np.ndarray, bins: int, depth: int, least: int, tried: int, g: np.random.Generator) -> np.ndarray:
+    """(feature or -1, last bin to the left, value) of each node, children of i at 2i + 1 and 2i + 2, from weights and totals by cell."""
+    out = np.full((2 ** (depth + 1) - 1, 3), -1.0)
+    node, live = np.zeros(len(x), np.int64), w > 0
+    x, w, s, node = x[live], w[live], s[live], node[live]
+    for level in range(depth + 1):
+        n, first = 2**level, 2**level - 1
+        tw, ts = (np.bincount(node, v, n) for v in (w, s))
+        out[first : first + n, 2] = np.divide(ts, tw, out=np.zeros(n), where=tw > 0)
+        if level == depth or not len(x):
+            break
+        may = np.argsort(g.random((n, x.shape[1])), 1) < tried
+        best, feature, at = np.zeros(n), np.full(n, -1), np.zeros(n, np.int64)
+        for j in range(x.shape[1]):
+            lw, ls = (np.bincount(node * bins + x[:, j], v, n * bins).reshape(n, bins).cumsum(1)[:, :-1] for v in (w, s))
+            rw, rs = tw[:, None] - lw, ts[:, None] - ls
+            ok = (lw >= least) & (rw >= least) & may[:, [j]]
+            gain = np.where(ok, ls**2 / np.maximum(lw, 1) + rs**2 / np.maximum(rw, 1) - (ts**2 / np.maximum(tw, 1))[:, None], 0.0)
+            k = gain.argmax(1)
+            better = gain[np.arange(n), k] > np.maximum(best, 1e-12)
+            best, feature, at = np.where(better, gain[np.arange(n), k], best), np.where(better, j, feature), np.where(better, k, at)
+        out[first : first + n, 0], out[first : first + n, 1] = feature, at
+        f = feature[node]
+        keep = f >= 0
+        x, w, s, node, f = x[keep], w[keep], s[keep], node[keep], f[keep]
+        node = 2 * node + (x[np.arange(len(x)), f] > at[node])
+    return out
+
+
+def _leaves(tree: np.ndarray, x: np.ndarray, depth: int) -> np.ndarray:
+    at, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+    for _ in range(depth):
+        f = tree[at, 0].astype(np.int64)
+        at = np.where(f < 0, at, 2 * at + 1 + (x[rows, f] > tree[at, 1]))
+    return tree[at, 2]
+
+
+def forest(train: DataFrame, test: DataFrame, columns: list[str], target: str, trees: int = 300, seed: int = 1, depth: int = 5, least: int = 3, bins: int = BINS) -> DataFrame:
+    """Random forest; adds ``prediction``.
+
+    As Spark ML's (bins of each feature, Poisson bags of rows, a third of the features tried at a node), but one pass over the
+    rows draws the bags of all trees and sums them by cell of bins, and trees grow on cells: the passes do not grow with trees.
+    """
+    edges, p, tried = bin_edges(train, columns, bins), len(columns), -(-len(columns) // 3)
+    d, names = binned(train, columns, edges)
+    sums = bagged(_in_cells(d, names, bins), target, trees, seed)
+
+    def grown(key, t):
+        cells, of = np.unique(t["__cell"].to_numpy(), return_inverse=True)
+        k, s = (np.stack(t[c].to_list()) for c in ("__k", "__s"))
+        w, y = (np.zeros((len(cells), k.shape[1])) for _ in range(2))
+        np.add.at(w, of, k), np.add.at(y, of, s)
+        x = cells[:, None] // bins ** np.arange(p) % bins
+        made = [_tree(x, w[:, i], y[:, i], bins, depth, least, tried, np.random.Generator(np.random.PCG64([seed, int(key[0]), i]))) for i in range(k.shape[1])]
+        return pd.DataFrame({"tree": [m.ravel() for m in made]})
+
+    model = [np.array(r["tree"]).reshape(-1, 3) for r in sums.groupBy("__batch").applyInPandas(grown, "tree array<double>").collect()]
+    now = staged(_in_cells(binned(test, columns, edges)[0], names, bins).drop(*names), "forest-test")
+
+    def scored(frames):
+        for t in frames:
+            x = t["__cell"].to_numpy()[:, None] // bins ** np.arange(p) % bins
+            yield t.assign(prediction=sum(_leaves(m, x, depth) for m in model) / len(model))
+
+    cells = now.select("__cell").distinct().mapInPandas(scored, "__cell long, prediction double")
+    return now.join(cells, "__cell").drop("__cell")
 
 
-def boosting(train: DataFrame, test: DataFrame, columns: list[str], target: str, rounds: int = 300, depth: int = 4, step: float = 0.06, seed: int = 1) -> DataFrame:
-    """Gradient boosting; adds ``prediction``."""
-    model = GBTRegressor(featuresCol="features", labelCol=target, maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed).fit(assembled(train, columns))
-    return model.transform(assembled(test, columns)).drop("features")
+def boosting(train: DataFrame, test: DataFrame, columns: list[str], target: str, rounds: int = 300, depth: int = 4, step: float = 0.06, seed: int = 1, bins: int = BINS) -> DataFrame:
+    """Gradient boosting; adds ``prediction``. Spark ML's trees see bins of features, so they are fitted on rows by bins, weighted; its bins are of a sample, these of all rows."""
+    edges = bin_edges(train, columns, bins)
+    d, names = binned(train, columns, edges)
+    gbt = GBTRegressor(featuresCol="features", labelCol=target, weightCol="__w", maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed, maxBins=bins)
+    model = gbt.fit(assembled(weighted(d, names, target), names))
+    return model.transform(assembled(binned(test, columns, edges)[0], names)).drop("features", *names)
 
 
 def principal_components(train: DataFrame, every: DataFrame, columns: list[str], k: int) -> DataFrame:

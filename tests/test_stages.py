@@ -216,6 +216,32 @@ def test_j5_query(spark):
     assert len(rows) > 100 and all(r["forest"] is not None and r["boosting"] is not None for r in rows) and len({r["boosting"] for r in rows}) > 20
 
 
+def test_learners_on_bins_are_those_on_rows(spark, monkeypatch):
+    """Boosting on at most 32 values is Spark ML's own; the forest's scores are near those of Spark ML's; neither fits on rows."""
+    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+
+    from harrow.operators import learners
+
+    g = np.random.Generator(np.random.PCG64(5))
+    n = 6000
+    x = np.c_[g.integers(0, 12, n), g.integers(0, 9, n), g.integers(0, 5, n)] / 2.0
+    y = x[:, 0] + 2.0 * (x[:, 1] > 2) * (x[:, 2] > 1) + g.normal(size=n)
+    d = spark.createDataFrame([(i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y))], "id int, a double, b double, c double, y double").cache()
+    sizes, kept = [], learners.weighted
+    monkeypatch.setattr(learners, "weighted", lambda *a: sizes.append((out := kept(*a)).count()) or out)
+    got = {r["id"]: r["prediction"] for r in learners.boosting(d, d, ["a", "b", "c"], "y", rounds=5).collect()}
+    f = learners.assembled(d, ["a", "b", "c"])
+    want = {r["id"]: r["prediction"] for r in GBTRegressor(labelCol="y", maxIter=5, maxDepth=4, stepSize=0.06, seed=1).fit(f).transform(f).collect()}
+    assert len(sizes) == 1 and sizes[0] <= 12 * 9 * 5 and len(got) == n and max(abs(got[i] - want[i]) for i in want) < 1e-9
+    rf = lambda seed: RandomForestRegressor(labelCol="y", numTrees=60, minInstancesPerNode=3, seed=seed).fit(f).transform(f).orderBy("id").select("prediction").toPandas()["prediction"].to_numpy()
+    own = [learners.forest(d, d, ["a", "b", "c"], "y", 60, seed).orderBy("id").toPandas()["prediction"].to_numpy() for seed in (1, 1, 2)]
+    a, b = rf(1), rf(2)
+    assert np.array_equal(own[0], own[1]) and len(own[0]) == n
+    assert np.abs(own[0] - a).mean() < 2 * np.abs(a - b).mean() and np.corrcoef(own[0], a)[0, 1] > 0.99
+    bags = learners.bagged(learners._in_cells(*learners.binned(d, ["a", "b", "c"], learners.bin_edges(d, ["a", "b", "c"])), 32), "y", 25, 3, most=5).toPandas()
+    assert set(bags["__batch"]) == {0, 1, 2} and abs(sum(map(sum, bags["__k"])) / (25 * n) - 1) < 0.02
+
+
 @pytest.fixture(scope="module")
 def changed(spark, tmp_path_factory):
     """The tables with the prices of all cells that are scored, and of later years, replaced."""
