@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.operators.blocks import _square, centred_moments, dot, moments, sum_arrays
-from harrow.operators.learners import assembled, weighted
+from harrow.operators.learners import assembled, sampled_boosting, weighted
 from harrow.operators.metrics import mean_metric, pearson
 from harrow.operators.staging import staged
 
@@ -76,10 +76,10 @@ def best_by_folds(scored: DataFrame, fold: str, group: str, y: str, scores: str,
     return (mean["setting"] if mean else 0), curve
 
 
-def boosted(train: DataFrame, columns: list[str], target: str, rounds: int, depth: int = 4, step: float = 0.1, seed: int = 1, rate: float = 1.0):
-    """Trees that take all rows are fitted on distinct features, weighted; those that take a share of the rows (``rate``), on the rows."""
-    gbt = GBTRegressor(featuresCol="features", labelCol=target, maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed, subsamplingRate=rate)
-    return gbt.fit(assembled(train, columns)) if rate < 1 else gbt.setWeightCol("__w").fit(assembled(weighted(train, columns, target), columns))
+def boosted(train: DataFrame, columns: list[str], target: str, rounds: int, depth: int = 4, step: float = 0.1, seed: int = 1):
+    """Trees that take all rows are fitted on distinct features, weighted; for those that take a share of the rows see ``learners.sampled_boosting``."""
+    gbt = GBTRegressor(featuresCol="features", labelCol=target, weightCol="__w", maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed)
+    return gbt.fit(assembled(weighted(train, columns, target), columns))
 
 
 def staged_scores(model, df: DataFrame, columns: list[str], every: int, out: str = "staged") -> DataFrame:
@@ -197,8 +197,8 @@ def forward_variants(cells: DataFrame, variant: str, group: str, period: str, y:
 
 def with_lags(cells: DataFrame, history: DataFrame, place: str, period: str, value: str, lags: int = 2) -> tuple[DataFrame, list[str]]:
     """The place's mean value of each of the last ``lags`` periods as columns lag1.., the mean over places where it has none."""
-    means = history.groupBy(place, period).agg(F.avg(value).alias("__v"))
-    every = history.groupBy(period).agg(F.avg(value).alias("__e"))
+    means = staged(history.groupBy(place, period).agg(F.avg(value).alias("__v"), F.sum(value).alias("__s"), F.count(value).alias("__n")), "lag-means")
+    every = means.groupBy(period).agg(F.try_divide(F.sum("__s"), F.sum("__n")).alias("__e"))
     names = []
     for k in range(1, lags + 1):
         earlier = means.select(place, (F.col(period) + k).alias(period), F.col("__v"))
@@ -209,13 +209,11 @@ def with_lags(cells: DataFrame, history: DataFrame, place: str, period: str, val
     return cells, names
 
 
-def averaged_boosting(train: DataFrame, test: DataFrame, columns: list[str], y: str, seeds: Iterable[int], rounds: int = 100, depth: int = 3, step: float = 0.1, rate: float = 0.7, out: str = "boosted") -> DataFrame:
-    """Mean prediction of boosted models that differ in their seed; the training table is assembled and written once for all."""
-    train, names, d = staged(train.select(*columns, y), "averaged-train"), [], assembled(test, columns)
-    for s in seeds:
-        d = boosted(train, columns, y, rounds, depth, step, s, rate).setPredictionCol(f"__seed{s}").transform(d)
-        names.append(f"__seed{s}")
-    return d.withColumn(out, sum((F.col(n) for n in names), F.lit(0.0)) / len(names)).select(*test.columns, out)
+def averaged_boosting(
+    train: DataFrame, test: DataFrame, columns: list[str], y: str, seeds: Iterable[int], rounds: int = 100, depth: int = 3, step: float = 0.1, rate: float = 0.7, out: str = "boosted", keys: list[str] | None = None,
+) -> DataFrame:
+    """Mean prediction of boosted models that differ in their seed; all grow in the same passes. ``keys`` name a row, for the bags."""
+    return sampled_boosting(train, test, columns, y, seeds, rounds, depth, step, rate, keys, out=out).select(*test.columns, out)
 
 
 def on_identical_folds(cells: DataFrame, fold: str, folds: Iterable, methods: dict[str, Callable[[DataFrame, DataFrame], DataFrame]]) -> DataFrame:

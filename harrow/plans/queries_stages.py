@@ -17,11 +17,13 @@ RELATIVE = (0.001, 0.01, 0.1, 1.0, 10.0)
 COLUMNS = [f"f{i}" for i in range(FEATURES)]
 
 
-def wide_cells(t):
-    """Trial cells up to the target year with features as array and as columns, centred values and an inner fold by place."""
-    d = trials(t).filter(F.col("period") <= TARGET).join(markers(t), "entity").filter(F.size("x") == FEATURES)
-    d = d.withColumn("y", F.col("value") - F.avg("value").over(Window.partitionBy("group_id")))
-    return staged(d.select("*", (F.col("place") % 3).cast("int").alias("fold"), *(F.coalesce(F.col("x")[i], F.lit(0.0)).alias(c) for i, c in enumerate(COLUMNS))), "stage-cells")
+def wide_cells(t, cells=None):
+    """Trial cells up to the target year (or ``cells``) with features as array and as columns, centred values and an inner fold by place."""
+    d = trials(t).filter(F.col("period") <= TARGET) if cells is None else cells
+    d = staged(d.join(markers(t), "entity").filter(F.size("x") == FEATURES), "stage-cells")
+    mean = staged(d.groupBy("group_id").agg(F.avg("value").alias("__mean")), "stage-means")
+    d = d.join(F.broadcast(mean), "group_id").withColumn("y", F.col("value") - F.col("__mean")).drop("__mean")
+    return d.select("*", (F.col("place") % 3).cast("int").alias("fold"), *(F.coalesce(F.col("x")[i], F.lit(0.0)).alias(c) for i, c in enumerate(COLUMNS)))
 
 
 @query("j20_residual_boosting")
@@ -59,12 +61,12 @@ def _(t):
 
 @query("j28_boosting_with_lags")
 def _(t):
-    d, lags = stages.with_lags(wide_cells(t), trials(t).filter(F.col("period") < TARGET), "place", "period", "value")
-    d = staged(d.filter(F.col("period").between(TARGET - 2, TARGET - 1)), "lag-cells")
+    past = staged(trials(t).filter(F.col("period").between(TARGET - 4, TARGET - 1)), "lag-trials")  # the two years to fit and score, and those their lags are of
+    d, lags = stages.with_lags(wide_cells(t, past.filter(F.col("period") >= TARGET - 2)), past, "place", "period", "value")
     columns = [*COLUMNS, *lags]
 
     def boosting(train, test):
-        return stages.averaged_boosting(train, test, columns, "y", (1, 2), rounds=15, out="score")
+        return stages.averaged_boosting(train, test, columns, "y", (1, 2), rounds=15, out="score", keys=["group_id", "entity"])
 
     def ridge(train, test):
         a, b, yy, degrees = blocks.total(blocks.centred_moments(blocks.moments(train, ["group_id"], "x", "y"), ["group_id"]))

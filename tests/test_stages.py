@@ -152,6 +152,63 @@ def test_averaged_boosting_on_identical_folds(spark):
     assert np.corrcoef([r["y"] for r in own], [r["score"] for r in own])[0, 1] > 0.6
 
 
+def test_sampled_boosting_is_spark_mls_and_its_passes_do_not_grow_with_seeds(spark):
+    """With all rows in every bag the trees are Spark ML's own; with 70 % scores are near those of Spark ML's, and reruns agree in any partitioning."""
+    from pyspark.ml.regression import GBTRegressor
+
+    from harrow.operators import learners
+
+    g = np.random.Generator(np.random.PCG64(7))
+    n = 4000
+    x = np.c_[g.integers(0, 30, n), g.integers(0, 9, n), g.integers(0, 5, n), np.ones(n)] / 2.0
+    y = x[:, 0] + 4.0 * (x[:, 1] > 2) * (x[:, 2] > 1) + g.normal(size=n)
+    c = ["a", "b", "c", "d"]
+    d = spark.createDataFrame([(i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y))], "id int, a double, b double, c double, d double, y double").cache()
+    f = learners.assembled(d, c)
+    scores = lambda out, name: out.orderBy("id").toPandas()[name].to_numpy()
+    plain = lambda rate, seed: scores(GBTRegressor(labelCol="y", maxIter=4, maxDepth=3, stepSize=0.1, seed=seed, subsamplingRate=rate).fit(f).transform(f).select("id", "prediction"), "prediction")
+    whole = learners.sampled_boosting(d, d, c, "y", [1], 4, 3, 0.1, 1.0, block=1000)
+    assert np.abs(scores(whole, "prediction") - plain(1.0, 1)).max() < 1e-9
+    jobs = []
+
+    def own(frame, seeds):
+        spark.sparkContext.setJobGroup(f"boosting-{len(jobs)}", "")
+        out = stages.averaged_boosting(frame, d, c, "y", seeds, rounds=4, keys=["id"])
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"boosting-{len(jobs)}")))
+        return scores(out, "boosted")
+
+    one, again, three, other = own(d, (1,)), own(d.repartition(7, "y"), (1,)), own(d, (1, 2, 3)), own(d, (2,))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[0] == jobs[2] and np.abs(one - again).max() < 1e-9 and np.abs(one - other).max() > 1e-3
+    a, b = plain(0.7, 1), plain(0.7, 2)
+    assert np.abs(one - a).mean() < 2 * np.abs(a - b).mean() and np.abs(three - one).max() > 1e-3
+    kept = [learners._kept(np.arange(20_000, dtype=np.uint64), 1, tree, 0.7) for tree in (0, 1)]
+    assert all(abs(k.mean() - 0.7) < 0.02 for k in kept) and abs((kept[0] & kept[1]).mean() - 0.49) < 0.02
+    gaps = d.withColumn("a", F.when(F.col("id") > 99, F.col("a")))
+    assert learners.sampled_boosting(gaps, gaps, c, "y", [1], 2, 3, 0.1, 0.7).count() == n - 100
+    with pytest.raises(Exception, match="a number in every row"):
+        own(d.withColumn("y", F.when(F.col("id") != 7, F.col("y"))), (1,))
+    with pytest.raises(ValueError, match="no rows"):
+        own(d.filter("id < 0"), (1,))
+
+
+def test_bin_edges_of_all_columns(spark):
+    from harrow.operators import learners
+
+    rows = [(float(i % 7) if i % 5 else None, float(i), 3.0, float("nan") if i % 3 else -0.0) for i in range(2000)]
+    got = learners.bin_edges(spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(5), ["a", "b", "c", "d"])
+    assert got["a"] == [1.0, 2.0, 3.0, 4.0, 5.0, 6.0] and got["c"] == got["d"] == []
+    assert len(got["b"]) == 31 and all(abs(e - 2000 * k / 32) < 5 for k, e in enumerate(got["b"], 1))
+
+
+def test_wide_cells_are_centred_without_sorting_groups(spark):
+    from harrow.plans import queries_stages, testbed
+
+    d = queries_stages.wide_cells(testbed.Testbed(spark, DATA))
+    assert "Window" not in d._jdf.queryExecution().executedPlan().toString()
+    assert max(abs(r["m"]) for r in d.groupBy("group_id").agg(F.avg("y").alias("m")).collect()) < 1e-9
+
+
 def test_external_folds_resume_and_refuse(spark, tmp_path):
     d, _, _ = nonlinear(spark, 80)
     calls = []
