@@ -221,6 +221,24 @@ def test_shared_content_by_blocks(spark):
         assert len(got) == len(want) and {(r["a"], r["b"]): r["shared"] for r in got} == want
 
 
+def test_shared_content_is_sent_out_as_it_is_counted(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x, y = ([np.unique(np.concatenate([rng.integers(0, 40, 25), rng.integers(40, 3000, 20)])) for _ in range(n)] for n in (37, 1100))
+    want = np.array([[len(np.intersect1d(a, b)) for b in y] for a in x])
+    flat = lambda t: (np.repeat(np.arange(len(t)), [len(v) for v in t]), np.concatenate(t))
+    for width, dense in ((4_096, 1e-3), (16, 1e-3), (4_096, 0.0), (4_096, 2.0)):
+        got = np.concatenate([c for _, c in joins._counts_in_common(flat(x), flat(y), len(x), len(y), tile=10, width=width, dense=dense)])
+        assert (got == want).all(), (width, dense)
+    rows = [(1, "a", e, None) for e in range(122)] + [(1, "a", e, e) for e in range(6)] + [(1, "b", e, 5) for e in range(200)] + [(2, "c", 1, 1), (None, "d", 5, 5), (1, None, 5, 5), (1, "b", 5, 5)]
+    d = spark.createDataFrame(rows, "p int, g string, e int, v int")
+    out = joins.shared_content(d, "g", ["p"], "e", "v", digits=6)
+    assert [tuple(r) for r in out.collect()] == [(1, "a", "b", 1, 0.007813)]  # 1 / 128: half a unit of the last digit goes up
+    plan = out._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInArrow" in plan and "CoGroup" not in plan
+
+
 def test_inner_products_come_in_blocks_of_a_million_at_most():
     import inspect
 
