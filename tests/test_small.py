@@ -1,6 +1,7 @@
 """Hand-made cases: ties, constant groups, nulls, gaps, text formats, leakage."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -211,6 +212,28 @@ def test_pairs_are_counted_where_their_first_is(spark):
     assert not re.search(r"hashpartitioning\(i#\d+L?, j#", w._jdf.queryExecution().toString())
 
 
+def test_incidence_weights_go_by_ranges(spark):
+    import numpy as np
+
+    x = np.array([-(2**62), -5, 0, 1, 127, 128, 20_000, 2**40, 2**62, 3, 300], np.int64)
+    data, ends = aggs._steps(x, np.array([0, 9]))
+    got = aggs._lists(x[[0, 9]], [data[ends[0] : ends[8]].tobytes(), data[ends[9] :].tobytes()])
+    assert (got[0] == x).all() and list(got[1]) == [9, 2]
+    assert list(aggs._half_up(np.array([-1 / 128, 1 / 640, 0.1234564, -2.5e-7]), 6)) == [-0.007813, 0.001563, 0.123456, 0.0]
+    rows = [(f"g{g}", e * e - 30) for g in range(25) for e in range(60) if (g * 5 + e * 3 + g * e) % 5 < 2] + [("g1", 3), ("g1", 3), (None, 3)]
+    d = spark.createDataFrame(rows, "g string, e int")
+    c = d.filter("g IS NOT NULL").distinct().withColumn("w", 1 / F.count(F.lit(1)).over(windows.Window.partitionBy("g")))
+    want = c.selectExpr("g", "e i", "w").join(c.selectExpr("g", "e j"), "g").filter("i <= j").groupBy("i", "j").agg((F.sum((F.col("i") == F.col("j")).cast("int")) - F.sum("w")).alias("w"))
+    want = {(r["i"], r["j"]): r["w"] for r in want.collect()}
+    for most, chunk in ((8_000_000, 2_000_000), (300, 50), (1, 1)):
+        w = aggs.incidence_weights(d, "g", "e", None, most, chunk)
+        got = w.collect()
+        assert len(got) == len(want) and all(math.isclose(want[r["i"], r["j"]], r["weight"], abs_tol=1e-9) for r in got)
+        assert not re.search("Generate explode", w._jdf.queryExecution().toString())  # pairs are no rows before they are summed
+    text = aggs.incidence_weights(d.withColumn("e", F.format_string("e%05d", F.col("e") + 100)), "g", "e", 6, 300, 50).collect()
+    assert {(int(r["i"][1:]) - 100, int(r["j"][1:]) - 100): r["weight"] for r in text} == {k: r["weight"] for k, r in (((r["i"], r["j"]), r) for r in aggs.incidence_weights(d, "g", "e", 6).collect())}
+
+
 def test_shared_content_by_blocks(spark):
     rows = [(p, f"g{g}", (g * 7 + k * k) % 23, k % 5) for p in (1, 2) for g in range(p * 100, p * 100 + 30) for k in range(12)]
     d = spark.createDataFrame(rows, "p int, g string, e int, v int").distinct()
