@@ -234,6 +234,20 @@ def test_incidence_weights_go_by_ranges(spark):
     assert {(int(r["i"][1:]) - 100, int(r["j"][1:]) - 100): r["weight"] for r in text} == {k: r["weight"] for k, r in (((r["i"], r["j"]), r) for r in aggs.incidence_weights(d, "g", "e", 6).collect())}
 
 
+def test_tables_by_entity_are_not_gathered_in_the_driver(spark, monkeypatch):
+    from harrow.plans import testbed
+    from tests.conftest import DATA
+
+    d = spark.range(100_001).select((F.col("id") % 2).alias("p"), F.col("id").alias("v"))
+    out = d.join(windows.places(d, ["p"], "v"), ["p", "v"]).agg(F.sum("n_before").alias("s"))
+    assert out.first()["s"] == 50_000 * 50_001 // 2 + 49_999 * 50_000 // 2
+    out.collect()
+    assert re.search(r"SortMergeJoin \[p#\d+L, v#", out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])
+    monkeypatch.setattr(testbed, "staged", lambda df, label: df)
+    plan = testbed.Testbed(spark, DATA).pred._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"BroadcastHashJoin \[(target#\d+, )?entity#", plan) and len(re.findall(r"SortMergeJoin \[(?:\w+#\d+, )?entity#", plan)) >= 3
+
+
 def test_shared_content_by_blocks(spark):
     rows = [(p, f"g{g}", (g * 7 + k * k) % 23, k % 5) for p in (1, 2) for g in range(p * 100, p * 100 + 30) for k in range(12)]
     d = spark.createDataFrame(rows, "p int, g string, e int, v int").distinct()
